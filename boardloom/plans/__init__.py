@@ -1,6 +1,6 @@
 """The registered queries of the library."""
 
-from boardloom.plans import carries  # noqa: F401
+from boardloom.plans import boards, carries  # noqa: F401
 from boardloom.plans.registry import ORACLES, QUERIES
 
 
