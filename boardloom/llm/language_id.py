@@ -70,7 +70,7 @@ def ngram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         shifted[: len(points) - order] = points[order:]
         for back in range(1, order + 1):
             shifted[ends - back] = 1
-        gram = gram * np.uint32(0x9E3779B1) + shifted + np.uint32(order * 0x85EBCA6B)
+        gram = gram * np.uint32(0x9E3779B1) + shifted + np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)
         out.append(((gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.uint16))
     return out, sizes
 
