@@ -58,8 +58,11 @@ def segments(words: list[bytes], hashes: WordHashes, width: int, gram: int) -> t
     mixed = np.zeros(n - gram + 1, np.uint64)
     for j in range(gram):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[j : n - gram + 1 + j]
-    least = sliding_min(splitmix(mixed), width - gram + 1)
-    cut = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    mixed = splitmix(mixed)
+    least = sliding_min(mixed, width - gram + 1)
+    # a segment ends where the anchor changes or its occurrence leaves the window, so that equal
+    # windows inside one document lie in different segments
+    cut = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (least[:-1] == mixed[: len(least) - 1]))))
     ends = np.append(cut[1:], len(least))
     return least[cut].view(np.int64), cut, ends - cut + width - 1
 
