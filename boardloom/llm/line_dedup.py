@@ -121,7 +121,7 @@ def with_kept_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     text = F.col(text_col).cast("string")
     keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__twin": F.xxhash64(text)})
-    joined = keyed.join(runs.select(F.col("doc").alias("__doc"), F.col("twin").alias("__twin"), "__runs"), ["__doc", "__twin"], "left")
+    joined = keyed.join(runs.select(F.col("doc").alias("__doc"), F.col("twin").alias("__twin"), "__runs").hint("shuffle_hash"), ["__doc", "__twin"], "left")
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: i.between(r["first"], r["last"])))
     gone = F.aggregate("__runs", F.lit(0), lambda acc, r: acc + r["last"] - r["first"] + 1)
