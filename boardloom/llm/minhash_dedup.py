@@ -6,8 +6,9 @@ no band with probability (1 - 0.75**4)**32 = 5e-6. Candidates are confirmed on f
 
 No bucket is expanded into all its pairs. Copies with equal sets are one node. Pass 1 compares a
 node with the hub it meets most often; pass 2 with the hubs of buckets that still hold several
-components; pass 3 with every node of another component in such buckets, so no link of a bucket
-stays untested, while a finished component costs nothing.
+components; pass 3 with further members of such buckets, a turn at a time, and in the end with
+every node of another component. So no link of a bucket stays untested, while pairs within a
+finished component are never made.
 
 Cases: null, empty or blank text has the empty set, is linked with nothing and is kept. Fewer
 than five words are one shingle. Rows that repeat a doc_id are one node; further columns are
@@ -30,6 +31,8 @@ SHINGLE = 5
 PERMUTATIONS = 64
 ROWS_PER_BAND = 4
 CHUNK = 1 << 17
+#: Turns of pass 3 before it falls back to all open pairs, however many.
+PIVOT_TURNS = 12
 
 
 def _odd_constants(n: int, salt: int) -> np.ndarray:
@@ -127,7 +130,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s
                 yield pd.DataFrame({"doc_id": ids[start : start + len(sizes)], "grams": grams})
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, grams binary")
+    # a shuffled join at every size: the documents may be many, and so may the wanted ids
+    return cols.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, grams binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,7 +152,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     u = sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("u_grams"))
     v = sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("v_grams"))
-    both = pairs.join(v, "v").join(u, "u").select("u", "v", "u_grams", "v_grams")
+    both = pairs.join(v.hint("merge"), "v").join(u.hint("merge"), "u").select("u", "v", "u_grams", "v_grams")
     return both.mapInPandas(judge, "u long, v long")
 
 
@@ -186,26 +190,37 @@ def near_duplicate_components(
     links = staged(_confirmed(tested, sets, percent))
     comps = connected_components(links)
 
-    # pass 2: hubs of buckets that hold several components
-    open_pairs = _with_component(met.where("rep <> hub").select("rep", "hub").distinct(), comps, "rep", "hub")
-    pairs = open_pairs.where("c_rep <> c_hub").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
-    second = staged(pairs.join(tested, ["u", "v"], "left_anti"))
-    if not second.isEmpty():
-        tested = tested.unionByName(second)
-        links = links.unionByName(staged(_confirmed(second, sets, percent)))
-        comps = connected_components(links)
-
-    # pass 3: all pairs of different components that share a bucket
-    label = comps.select(F.col("node").alias("rep"), "component")
-    marked = staged(met.join(label, "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("c")))
-    several = marked.groupBy("band", "bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("band", "bucket")
-    mixed = staged(marked.join(staged(several), ["band", "bucket"]))
-    other = mixed.select("band", "bucket", F.col("rep").alias("v"), F.col("c").alias("d"))
-    pairs = mixed.withColumnRenamed("rep", "u").join(other, ["band", "bucket"]).where("u < v and c <> d").select("u", "v").distinct()
-    third = staged(pairs.join(tested, ["u", "v"], "left_anti"))
-    if not third.isEmpty():
-        links = links.unionByName(staged(_confirmed(third, sets, percent)))
+    # pass 2: the hubs of all buckets that hold several components
+    def test(pairs: DataFrame) -> bool:
+        nonlocal tested, links, comps
+        new = staged(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"))
+        if new.isEmpty():
+            return False
+        tested = tested.unionByName(new)
+        links = links.unionByName(staged(_confirmed(new, sets, percent)))
         comps = connected_components(links)
+        return True
+
+    open_hubs = _with_component(met.where("rep <> hub").select("rep", "hub").distinct(), comps, "rep", "hub")
+    test(open_hubs.where("c_rep <> c_hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+
+    # pass 3: while there are more open pairs than rows, nodes outside a bucket's largest component
+    # meet one more of its members; then all open pairs that are left
+    bucket, rows, turn = ["band", "bucket"], met.count(), 0
+    while True:
+        label = comps.select(F.col("node").alias("rep"), "component")
+        marked = met.select(*bucket, "rep").join(label, "rep", "left").select(*bucket, "rep", F.coalesce("component", "rep").alias("c"))
+        groups = marked.groupBy(*bucket, "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot"))
+        sums = groups.groupBy(*bucket).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max_by(F.struct("c", "pivot"), F.struct("n", "c")).alias("main"))
+        several = staged(sums.where("k > 1"))
+        mixed = staged(marked.join(several, bucket))
+        load = several.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+        if load <= rows or turn == PIVOT_TURNS:
+            break
+        turn += 1
+        test(mixed.where(F.col("c") != F.col("main.c")).select(F.col("rep").alias("a"), F.col("main.pivot").alias("b")))
+    other = mixed.select(*bucket, F.col("rep").alias("b"), F.col("c").alias("d"))
+    test(mixed.select(*bucket, F.col("rep").alias("a"), "c").join(other, bucket).where("a < b and c <> d"))
 
     found = comps.select(F.col("node").alias("rep"), "component")
     classes = staged(classes.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id")))
@@ -224,4 +239,4 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` whose doc_id is the smallest of its group, with all their columns."""
     kept = near_duplicate_components(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("doc_id").alias(id_col))
     nulls = docs.where(F.col(id_col).isNull())
-    return docs.join(staged(kept.distinct()), id_col, "left_semi").unionByName(nulls)
+    return docs.join(staged(kept.distinct()).hint("shuffle_hash"), id_col, "left_semi").unionByName(nulls)
