@@ -32,7 +32,7 @@ from ._common import staged
 
 PERIOD = 1024
 BLOCK_CHARS = 65_536
-ROWS_PER_BUCKET = 4_096
+ROWS_PER_BUCKET = 512
 TEMPERATURE = 0.5
 
 
@@ -114,7 +114,7 @@ def schedule(
     length = len(slots) or 1
 
     inside = Window.partitionBy("__source", "__bucket").orderBy("__order", F.col(id_col).cast("long"), F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(F.broadcast(offsets.join(share, "__source")) if n_rows <= ROWS_PER_BUCKET else offsets.join(share, "__source"), ["__source", "__bucket"])
+    placed = keyed.join(offsets.join(F.broadcast(share), "__source").hint("shuffle_hash"), ["__source", "__bucket"])
     placed = placed.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     placed = placed.withColumn("block", F.floor(F.col("__start") / block_chars)).withColumn("__i", F.col("block") % F.col("__share"))
     placed = placed.join(F.broadcast(one_period.select("__source", "__i", "__t")), ["__source", "__i"])
