@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLE_SQL  # noqa: F401
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,4 +77,3 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_topk, op3_line_dedup, op4_language_id, op5_substring_dedup, op6_packing, op7_token_counts, op8_mixing, op9_quality, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {}
