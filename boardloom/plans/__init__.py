@@ -1,6 +1,6 @@
 """The registered queries of the library."""
 
-from boardloom.plans import boards, carries, groups, sampling, store  # noqa: F401
+from boardloom.plans import arrivals, boards, carries, groups, sampling, store  # noqa: F401
 from boardloom.plans.registry import ORACLES, QUERIES
 
 
