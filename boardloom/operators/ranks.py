@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardloom.sources.shared import shared_folder
+
 
 def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """``df`` with the 1-based position of each row in its group; ``order`` must be total.
@@ -18,7 +20,11 @@ def spread_row_number(df: DataFrame, group: list[str], order: list[Column], name
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("__range", F.lit(0))
-    keyed = keyed.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("__range", F.spark_partition_id()).persist()
+    keyed = keyed.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("__range", F.spark_partition_id())
+    # written, since a range that is computed again need not hold the same rows
+    path = shared_folder(df.sparkSession, "ranges")
+    keyed.write.parquet(path)
+    keyed = df.sparkSession.read.schema(keyed.schema).parquet(path)
     sizes = keyed.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     shift = sizes.select(*group, "__range", F.coalesce(before, F.lit(0)).alias("__shift"))
