@@ -1,79 +1,109 @@
 """Lexical retrieval packing.
 
-Documents are tokenised and dealt with in shards (a run of documents of one input partition). A
-shard has a BM25 inverted index over token ids. The first unused document seeds a window; the
-unused documents nearest to the seed by BM25 follow until the window is full. A document that
-does not fit is cut, and what is left of it seeds the next window. So all windows but a shard's
-last are full, and the last is cut into sequences whose lengths are powers of two, which need no
-padding either.
+Documents are tokenised once and staged. Document frequencies and the mean length are counted over
+all of them (at most one row for each token id reaches the driver). Then documents are dealt to bounded
+shards by content, wherever they stand in the input. PIVOTS documents with the smallest hashes are
+pivots; a document's keys are its nearest pivots by the cosine of BM25 weights. A table above the
+bound is split by the nearest pivot, a part still above it by the next one, a part that shares
+DEPTH pivots by a hash of the document, at last by a salt (copies of one row). Small parts of a
+split stand together in a shard, neighbouring pivots first.
 
-Packing needs no shuffle and no state beyond a shard; a lost task is repeated on its own. Sequence
-ids are unique: the partition number stands in their high bits.
+A shard has a BM25 inverted index over token ids with the global statistics. The first unused
+document seeds a window; the unused documents nearest to the seed by BM25 over all its terms follow
+until the window is full. A document that does not fit is cut, and what is left of it seeds the
+next window. So all windows but a shard's last are full, and the last is cut into sequences whose
+lengths are powers of two, which need no padding either.
+
+Neighbours in another shard are not found; a table within the bound is searched as a whole. Shards
+and windows follow from the rows alone and not from how they lie in files. Sequence ids are unique:
+the shard's number stands in their high bits.
 
 Cases: null text is empty and gives one piece, the end id alone. Repeated rows are packed like any
-others. Extra columns are ignored. An empty table gives no piece.
+others. Extra columns are ignored. An empty table gives no piece. A document longer than the bound
+is a shard of its own or with a few others.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import splitmix, staged
 from .tokens import Encoder
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 2048
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 24
+PIVOTS, DEPTH = 64, 4
+#: Shorter documents are pivots only if there are too few others.
+PIVOT_TOKENS = 200
+#: A part split by hash has parts of 1 / SPREAD of the bound on average.
+SPREAD = 1.5
+SHARD_BITS = 24
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct token ids of a document, ascending, and how often each stands in it."""
+    own = ids.astype(np.uint16)
+    own.sort(kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own[at], np.diff(np.append(at, len(own)))
+
+
+class Statistics:
+    """Number of documents, document frequency of each token id and mean length."""
+
+    def __init__(self, n: int, df: np.ndarray, tokens: int):
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = max(1.0, tokens / max(1, n))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
+        norm = np.asarray(K1 * (1 - B + B * length / self.mean), np.float32)
+        tf = tf.astype(np.float32)
+        return self.idf[term] * tf * np.float32(K1 + 1) / (tf + norm)
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        df = np.bincount(np.concatenate([term_counts(d)[0] for d in docs]), minlength=1 << 16)
+        return cls(len(docs), df, sum(map(len, docs)))
+
+
 class Bm25:
     """Inverted index of a shard: for each token id, the documents that hold it and their weights."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        terms, counts, sizes = [], [], []
-        for ids in docs:
-            own = ids.astype(np.uint16)
-            own.sort(kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            terms.append(own[at])
-            counts.append(np.diff(np.append(at, len(own))))
-            sizes.append(len(at))
-        term, tf, size = np.concatenate(terms), np.concatenate(counts).astype(np.float32), np.array(sizes)
-        n, length = len(docs), np.array([len(d) for d in docs], np.float32)
-        doc = np.repeat(np.arange(n, dtype=np.int32), size)
-        df = np.bincount(term, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
-        weight = idf[term] * tf * np.float32(K1 + 1) / (tf + norm[doc].astype(np.float32))
+    def __init__(self, docs: list[np.ndarray], statistics: Statistics):
+        found = [term_counts(ids) for ids in docs]
+        size, length = np.array([len(t) for t, _ in found]), np.array([len(d) for d in docs], np.float32)
+        term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), size)
+        weight = statistics.weights(term, tf, length[doc])
         self.own = np.concatenate(([0], np.cumsum(size)))
-        self.term, self.weight, self.n = term, weight, n
+        self.term, self.n = term, len(docs)
         order = np.argsort(term, kind="stable")
         self.posting_doc, self.posting_weight = doc[order], weight[order]
-        self.at = np.concatenate(([0], np.cumsum(df)))
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=1 << 16))))
 
     def scores(self, d: int) -> np.ndarray:
-        """BM25 of every document of the shard for the most telling terms of document d."""
-        term, weight = self.term[self.own[d] : self.own[d + 1]], self.weight[self.own[d] : self.own[d + 1]]
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(weight, len(weight) - QUERY_TERMS)[-QUERY_TERMS:]]
-        ranges = [slice(self.at[t], self.at[t + 1]) for t in term.tolist()]
+        """BM25 of every document of the shard for all distinct terms of document d."""
+        ranges = [slice(self.at[t], self.at[t + 1]) for t in self.term[self.own[d] : self.own[d + 1]].tolist()]
         docs = np.concatenate([self.posting_doc[r] for r in ranges])
         return np.bincount(docs, np.concatenate([self.posting_weight[r] for r in ranges]), self.n)
 
 
-def fill_order(docs: list[np.ndarray], window: int) -> list[int]:
+def fill_order(docs: list[np.ndarray], window: int, statistics: Statistics | None = None) -> list[int]:
     """The order in which a shard's documents enter its windows."""
-    index = Bm25(docs)
+    index = Bm25(docs, statistics or Statistics.of(docs))
     unused = np.ones(len(docs), bool)
     order: list[int] = []
     filled, next_seed, seed, ranked = 0, 0, -1, None
@@ -112,9 +142,9 @@ def sequence_cuts(total: int, window: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def pack_shard(doc_ids: list, docs: list[np.ndarray], first_sequence: int, window: int = WINDOW) -> tuple[list[tuple], int]:
+def pack_shard(doc_ids: list, docs: list[np.ndarray], first_sequence: int, window: int = WINDOW, statistics: Statistics | None = None) -> tuple[list[tuple], int]:
     """Pieces of a shard and the number of its sequences."""
-    order = fill_order(docs, window)
+    order = fill_order(docs, window, statistics)
     ends = sequence_cuts(sum(map(len, docs)), window)
     pieces, at, s = [], 0, 0
     for d in order:
@@ -129,17 +159,144 @@ def pack_shard(doc_ids: list, docs: list[np.ndarray], first_sequence: int, windo
     return pieces, len(ends)
 
 
-def _shards(doc_ids, texts, encode) -> Iterator[tuple[list, list[np.ndarray]]]:
-    own, docs, load = [], [], 0
-    for i, text in zip(doc_ids, texts):
-        docs.append(np.array([*encode(text), END_ID], np.uint32))
-        own.append(i)
-        load += len(docs[-1])
-        if len(docs) >= SHARD_DOCS or load >= SHARD_TOKENS:
-            yield own, docs
-            own, docs, load = [], [], 0
-    if docs:
-        yield own, docs
+def tokenised(docs: DataFrame, vocabulary: str | None) -> DataFrame:
+    """doc_id, grp, ids (two bytes a token), n_tokens and a salt that tells equal rows apart."""
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, done = Encoder(vocabulary).encode, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids = [np.array([*encode(t), END_ID], "<u2") for t in batch["text"]]
+            salt = (splitmix(np.arange(done, done + len(ids), dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
+            done += len(ids)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "grp": batch["grp"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids], "salt": salt})
+
+    return staged(docs.mapInPandas(encoded, "doc_id long, grp string, ids binary, n_tokens long, salt long"))
+
+
+def statistics_of(rows: DataFrame) -> Statistics:
+    """Counted over every document: partial counts a task, summed by Spark."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for raw in batch["ids"]:
+                df[term_counts(np.frombuffer(raw, "<u2"))[0]] += 1
+        term = np.flatnonzero(df)
+        yield pd.DataFrame({"term": term, "n": df[term]})
+
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    df = np.zeros(1 << 16, np.int64)
+    for r in rows.select("ids").mapInPandas(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]
+    return Statistics(total["n"], df, total["tokens"])
+
+
+def pivots_of(rows: DataFrame) -> list[np.ndarray]:
+    """Token ids of the pivots: distinct texts, long ones first, by their hashes."""
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            found = pd.DataFrame({"short": batch["n_tokens"] < PIVOT_TOKENS, "h": [xxhash.xxh3_64_intdigest(x) >> 1 for x in batch["ids"]], "ids": batch["ids"]})
+            best = pd.concat([best, found]).drop_duplicates("h").sort_values(["short", "h"]).head(PIVOTS)
+        if best is not None:
+            yield best
+
+    local = rows.select("ids", "n_tokens").mapInPandas(smallest, "short boolean, h long, ids binary")
+    best = local.dropDuplicates(["h"]).orderBy("short", "h").limit(PIVOTS).collect()
+    return [np.frombuffer(r["ids"], "<u2") for r in best]
+
+
+class Keys:
+    """What documents are dealt by: DEPTH nearest pivots, a hash of the row, its salt."""
+
+    def __init__(self, pivots: list[np.ndarray], statistics: Statistics):
+        self.statistics, self.table = statistics, None
+        self.pivots = [self.weighted(p) for p in pivots]
+        near, order = np.array([self.cosines(t, w) for t, w in self.pivots]), list(range(len(pivots)))
+        for i in range(1, len(order)):  # a chain in which neighbours are alike
+            order[i:] = sorted(order[i:], key=lambda j: (-near[order[i - 1], j], j))
+        self.pivots, self.table = [self.pivots[j] for j in order], None
+
+    def weighted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        term, tf = term_counts(ids)
+        weight = self.statistics.weights(term, tf, len(ids))
+        return term, weight / max(np.linalg.norm(weight), np.float32(1e-9))
+
+    def cosines(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = np.zeros((1 << 16, len(self.pivots)), np.float32)
+            for j, (t, w) in enumerate(self.pivots):
+                self.table[t, j] = w
+        return weight @ self.table[term]
+
+    def of(self, batch: pd.DataFrame) -> np.ndarray:
+        keys = np.zeros((len(batch), DEPTH + 2), np.int64)
+        for i, (doc_id, raw, salt) in enumerate(zip(batch["doc_id"], batch["ids"], batch["salt"])):
+            near = np.argsort(-self.cosines(*self.weighted(np.frombuffer(raw, "<u2"))), kind="stable")[:DEPTH]
+            keys[i, : len(near)] = near
+            keys[i, DEPTH] = xxhash.xxh3_64_intdigest(raw, 0 if pd.isna(doc_id) else int(doc_id) & (2**64 - 1)) >> 1
+            keys[i, DEPTH + 1] = salt
+        return keys
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+
+def dealt(rows: DataFrame, keys: Keys) -> tuple[dict, dict]:
+    """How parts are split, {(grp, path): n}, and the shard of each part, {(grp, path): number}.
+
+    n is 0 for a split by pivots. Both have at most some PIVOTS rows for each full shard and one
+    for each ``grp``, so they fit the driver.
+    """
+    names, spark = [f"k{i}" for i in range(DEPTH + 2)], rows.sparkSession
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.DataFrame(keys.of(batch), columns=names)
+            yield out.assign(grp=batch["grp"].to_numpy(), load=np.maximum(batch["n_tokens"].to_numpy(), -(-SHARD_TOKENS // SHARD_DOCS)))
+
+    schema = ", ".join(f"{k} long" for k in names) + ", grp string, load long"
+    part = staged(rows.mapInPandas(keyed, schema)).withColumns({"parent": F.lit(""), "step": F.lit(0).cast("long")})
+    splits, shards, number = {}, {}, 0
+    for depth in range(len(names) + 1):
+        nodes = part.groupBy("grp", "parent", "step").agg(F.sum("load").alias("load")).collect()
+        hot, above, filled = [], None, 0
+        for r in sorted(nodes, key=lambda r: (r["grp"], r["parent"], r["step"])):
+            node = (r["grp"], f"{r['parent']}/{r['step']}")
+            if r["load"] > SHARD_TOKENS and depth < len(names):
+                splits[node] = math.ceil(SPREAD * r["load"] / SHARD_TOKENS) if depth >= DEPTH else 0
+                hot.append((r["grp"], r["parent"], r["step"], node[1], splits[node]))
+                continue
+            filled += r["load"]
+            if (r["grp"], r["parent"]) != above or filled > SHARD_TOKENS:
+                number, above, filled = number + 1, (r["grp"], r["parent"]), r["load"]
+            shards[node] = number
+        if not hot:
+            break
+        ways = spark.createDataFrame(hot, "grp string, parent string, step long, path string, n long")
+        key = F.col(names[depth]) if depth < DEPTH else F.col(names[depth]) % F.col("n")
+        part = part.join(F.broadcast(ways), ["grp", "parent", "step"]).withColumns({"parent": F.col("path"), "step": key}).drop("path", "n")
+    return splits, shards
+
+
+def sharded(rows: DataFrame, statistics: Statistics) -> DataFrame:
+    """``rows`` with the number of each document's shard."""
+    keys = Keys(pivots_of(rows), statistics)
+    splits, shards = dealt(rows, keys)
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for grp, own in zip(batch["grp"], keys.of(batch).tolist()):
+                path, left = "/0", iter(own)
+                while (n := splits.get((grp, path))) is not None:
+                    key = next(left)
+                    path = f"{path}/{key % n if n else key}"
+                found.append(shards[grp, path])
+            yield batch[["doc_id", "grp", "ids"]].assign(shard=found)
+
+    return rows.mapInPandas(numbered, "doc_id long, grp string, ids binary, shard long")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
@@ -149,14 +306,15 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit("").alias("grp"))
+    rows = tokenised(cols, vocabulary)
+    statistics = statistics_of(rows)
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, done = Encoder(vocabulary).encode, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for own, ids in _shards(batch["doc_id"].tolist(), batch["text"], encode):
-                pieces, n = pack_shard(own, ids, done, window)
-                done += n
-                yield pd.DataFrame(pieces, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    def packed(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.assign(doc_id=shard["doc_id"].astype("Int64")).sort_values(["doc_id", "ids"])
+        ids = [np.frombuffer(raw, "<u2") for raw in shard["ids"]]
+        pieces, _ = pack_shard(shard["doc_id"].tolist(), ids, int(shard["shard"].iloc[0]) << SHARD_BITS, window, statistics)
+        out = pd.DataFrame(pieces, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInPandas(packed, SCHEMA)
+    return sharded(rows, statistics).groupBy("shard").applyInPandas(packed, SCHEMA)
