@@ -82,16 +82,18 @@ def schedule(
     source_col: str = "source",
     period: int = PERIOD,
     block_chars: int = BLOCK_CHARS,
+    size_col: str | None = None,
 ) -> DataFrame:
     """``docs`` plus block, slot and block_offset; (slot, block_offset, id) is the mixed order.
 
     ``weights`` maps every source to its target weight (null is the key ``"\\0"``); by default
-    :func:`target_weights`. A source without a weight is an error.
+    :func:`target_weights`. A source without a weight is an error. ``size_col`` is a row's size in
+    place of its characters.
     """
     spark = docs.sparkSession
     weights = weights or target_weights(docs, source_col, text_col)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
-    size = (F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
+    size = (F.col(size_col) if size_col else F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
     order = F.xxhash64(F.col(id_col).cast("long"))
     n_rows = docs.count()
     bits = max(1, min(30, math.ceil(math.log2(max(2, n_rows / ROWS_PER_BUCKET)))))

@@ -16,7 +16,9 @@ lengths are powers of two, which need no padding either.
 
 Neighbours in another shard are not found; a table within the bound is searched as a whole. Shards
 and windows follow from the rows alone and not from how they lie in files. Sequence ids are unique:
-the shard's number stands in their high bits.
+the shard's number stands in their high bits. With sources, shards and windows are made source by
+source (statistics still count all documents), since a window of several sources has no place in a
+schedule that holds target weights; sequences then get ascending numbers along that schedule.
 
 Cases: null text is empty and gives one piece, the end id alone. Repeated rows are packed like any
 others. Extra columns are ignored. An empty table gives no piece. A document longer than the bound
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import splitmix, staged
+from .mixing import schedule, target_weights
 from .tokens import Encoder
 
 WINDOW = 2048
@@ -51,6 +54,9 @@ SPREAD = 1.5
 SHARD_BITS = 24
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Tokens of a block of the mixed order; a window is at most that long.
+BLOCK_TOKENS = 16_384
 
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,14 +305,31 @@ def sharded(rows: DataFrame, statistics: Statistics) -> DataFrame:
     return rows.mapInPandas(numbered, "doc_id long, grp string, ids binary, shard long")
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
+def in_mixed_order(pieces: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Number sequences by their place in the Pfair schedule of their sources, and sort by it.
+
+    A slot has one block of one source, and a sequence belongs to the block in which it starts, so
+    slot and offset make the number; numbers ascend along the schedule and leave gaps.
+    """
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sequences = pieces.groupBy("grp", "sequence_id").agg(F.sum("length").alias("tokens"))
+    placed = schedule(sequences, weights=weights, id_col="sequence_id", text_col="tokens", size_col="tokens", source_col="grp", block_chars=BLOCK_TOKENS)
+    number = placed.select("sequence_id", (F.col("slot") * BLOCK_TOKENS + F.col("block_offset")).alias("number"))
+    out = pieces.join(number, "sequence_id").withColumn("sequence_id", F.col("number")).select(*PIECE)
+    return out.repartitionByRange(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+
+
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
     """One row for each piece: which ids of which document stand where in which sequence.
 
-    ``vocabulary`` is the path of the tokenizer file, on every executor; by default the public one.
+    With ``source_col`` a sequence has documents of one source, and sequences follow the schedule of
+    :mod:`.mixing` with its default weights. ``vocabulary`` is the path of the tokenizer file, on
+    every executor; by default the public one.
     """
-    if window & (window - 1):
-        raise ValueError("the window must be a power of two")
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit("").alias("grp"))
+    if window & (window - 1) or source_col is not None and window > BLOCK_TOKENS:
+        raise ValueError("the window must be a power of two, and no longer than a block of the mixed order")
+    grp = F.lit("") if source_col is None else F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), grp.alias("grp"))
     rows = tokenised(cols, vocabulary)
     statistics = statistics_of(rows)
 
@@ -314,7 +337,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
         shard = shard.assign(doc_id=shard["doc_id"].astype("Int64")).sort_values(["doc_id", "ids"])
         ids = [np.frombuffer(raw, "<u2") for raw in shard["ids"]]
         pieces, _ = pack_shard(shard["doc_id"].tolist(), ids, int(shard["shard"].iloc[0]) << SHARD_BITS, window, statistics)
-        out = pd.DataFrame(pieces, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return out.assign(doc_id=out["doc_id"].astype("Int64"))
+        out = pd.DataFrame(pieces, columns=PIECE)
+        return out.assign(doc_id=out["doc_id"].astype("Int64"), grp=shard["grp"].iloc[0])
 
-    return sharded(rows, statistics).groupBy("shard").applyInPandas(packed, SCHEMA)
+    pieces = sharded(rows, statistics).groupBy("shard").applyInPandas(packed, f"{SCHEMA}, grp string")
+    if source_col is None:
+        return pieces.select(*PIECE)
+    return in_mixed_order(staged(pieces), target_weights(docs, source_col, text_col))
