@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 #: A task's table of word hashes is emptied when it holds more words than this.
 WORD_CACHE = 300_000
+#: A null id sorts after every other one.
+LAST_ID = (1 << 63) - 1
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stage_dir(spark: SparkSession) -> str:
@@ -46,10 +49,28 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def staged_by(df: DataFrame, *keys: str) -> DataFrame:
+    """As :func:`staged`, but bucketed by ``keys``: later joins on them leave these rows where they are.
+
+    There are as many buckets as shuffle partitions, so rows that a join or a grouping by the same
+    keys has just dealt go to their buckets without another shuffle.
+    """
+    spark = df.sparkSession
+    name = f"staged_{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    _PATHS[out], _TABLES[out] = path, name
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more: whatever came of them is staged itself."""
     for frame in frames:
         spark = frame.sparkSession
+        if frame in _TABLES:
+            spark.sql(f"DROP TABLE {_TABLES.pop(frame)}")
         path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(frame))
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 

@@ -65,11 +65,21 @@ class FmIndex:
         self.tree = WaveletMatrix(self.bwt, n_symbols)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols))))[:-1]
 
-    def intervals(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the patterns ``text[end-length:end]``, searched from their last symbol."""
+    def matching(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics up to ``length``: how far back from each end the text occurs elsewhere too.
+
+        Returns (reached, low, high): the number of symbols, and the suffix interval of the
+        pattern of that length. An end whose pattern has become unique is searched no further.
+        """
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        reached, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
         for back in range(1, length + 1):
-            symbol = self.text[ends - back]
-            low = self.before[symbol] + self.tree.rank(symbol, low)
-            high = self.before[symbol] + self.tree.rank(symbol, high)
-        return low, high
+            symbol = self.text[ends[live] - back]
+            down = self.before[symbol] + self.tree.rank(symbol, low[live])
+            up = self.before[symbol] + self.tree.rank(symbol, high[live])
+            again = (symbol > 0) & (up - down > 1)
+            live, down, up = live[again], down[again], up[again]
+            low[live], high[live], reached[live] = down, up, back
+            if not len(live):
+                break
+        return reached, low, high

@@ -6,17 +6,19 @@ sequence that also starts earlier (smaller doc_id, or same document and earlier
 Documents can't be streamed against the index of every shard: that is quadratic. Here the text is
 cut so that equal windows always meet in one shard. The anchor of a window is the smallest hash
 of its ``gram``-word runs; neighbouring windows with one anchor form a segment. An anchor that
-occurs once in the corpus can't lie in a repeated window, so its segments are done. The others
-are brought together by anchor, equal segments collapse to one with its earliest place (partial
-aggregation, so thousands of copies cost one row each task), and each shard builds an FM-index
-over its distinct segments and searches each window of each segment by backward search over the
-wavelet matrix. The suffix interval of a window lists all its places; the earliest is the one
-that stays. An anchor with very many distinct segments (a common passage in many contexts) is
-split: its segments become single windows, dealt by their content. Words are compared as words,
-hashes only route them.
+occurs once in the corpus can't lie in a repeated window, so its segments are done. Of the others
+only places and 128-bit digests are shuffled; equal segments collapse to their earliest place
+(partial aggregation, so thousands of copies cost one row each task). Each shard gets the words of
+its distinct segments once, builds an FM-index over them, and streams them against it: backward
+search over the wavelet matrix gives the matching statistics of every position up to ``width``,
+and where they reach it the suffix interval lists all places of the window, of which the earliest
+stays. An anchor with one distinct segment needs no search. An anchor with more distinct segments
+than fit a shard (a common passage in very many contexts) is split: its distinct segments become
+single windows, grouped by their digests.
 
 Cases: null, empty or blank text has no words. Rows that repeat a doc_id are told apart by their
-text, the smaller hash being earlier; equal rows are one document and get equal results.
+text, the smaller hash being earlier; equal rows are one document and get equal results. Rows
+with a null doc_id count as later than all others.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, split_words, splitmix, staged
+from ._common import LAST_ID, WordHashes, discard, split_words, splitmix, staged, staged_by
 from .fm_index import FmIndex
 
 WIDTH = 20
 GRAM = 6
 SHARD_WORDS = 150_000
+#: Distinct segments of an anchor that one shard takes.
 HOT_SEGMENTS = 2_000
 
 
@@ -83,31 +87,55 @@ def _document_rows(docs: DataFrame, id_col: str, text_col: str, width: int, gram
             out.insert(1, "twin", batch["twin"].to_numpy())
             yield out
 
+    return _keyed(docs, id_col, text_col).mapInPandas(scan, "doc long, twin long, n_words long, whole_sha256 string, anchors array<long>, starts array<int>, sizes array<int>")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    cols = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
-    return cols.mapInPandas(scan, "doc long, twin long, n_words long, whole_sha256 string, anchors array<long>, starts array<int>, sizes array<int>")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
+
+
+def _halves(digests: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(d.to_bytes(16, "little") for d in digests), np.int64).reshape(-1, 2)
+    return raw[:, 0], raw[:, 1]
 
 
-def _segment_texts(candidates: DataFrame, width: int) -> DataFrame:
-    """(anchor, doc, twin, start, content) of the candidate segments; hot ones as single windows."""
+def _with_digests(candidates: DataFrame) -> DataFrame:
+    """(doc, twin, anchor, start, size, a, b): candidate segments with the digest (a, b) of their words."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, twin, text, spans in zip(batch["doc"], batch["twin"], batch["text"], batch["spans"]):
+                words = split_words(text)
+                rows = [(s["anchor"], s["start"], s["size"]) for s in spans]
+                out = pd.DataFrame(rows, columns=["anchor", "start", "size"])
+                a, b = _halves([xxhash.xxh3_128_intdigest(b" ".join(words[i : i + n])) for _, i, n in rows])
+                yield out.assign(doc=doc, twin=twin, a=a, b=b)
+
+    return candidates.mapInPandas(cut, "doc long, twin long, anchor long, start int, size int, a long, b long")
+
+
+def _contents(chosen: DataFrame, width: int) -> DataFrame:
+    """The words of chosen segments, and of hot ones the digest of each window instead.
+
+    (doc, twin, anchor, start, content, a, b): content is null in a window's row.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, twin, text, spans in zip(batch["doc"], batch["twin"], batch["text"], batch["picked"]):
                 words, rows = split_words(text), []
                 for s in spans:
-                    start, size = s["start"], s["size"]
+                    i, n = s["start"], s["size"]
                     if s["hot"]:
-                        rows += [(s["anchor"], True, i, b" ".join(words[i : i + width])) for i in range(start, start + size - width + 1)]
+                        starts = range(i, i + n - width + 1)
+                        a, b = _halves([xxhash.xxh3_128_intdigest(b" ".join(words[j : j + width])) for j in starts])
+                        rows += [(s["anchor"], j, None, x, y) for j, x, y in zip(starts, a, b)]
                     else:
-                        rows.append((s["anchor"], False, start, b" ".join(words[start : start + size])))
-                out = pd.DataFrame(rows, columns=["anchor", "hot", "start", "content"])
-                out.insert(0, "doc", doc)
-                out.insert(1, "twin", twin)
-                yield out
+                        rows.append((s["anchor"], i, b" ".join(words[i : i + n]), 0, 0))
+                yield pd.DataFrame(rows, columns=["anchor", "start", "content", "a", "b"]).assign(doc=doc, twin=twin)
 
-    rows = candidates.mapInPandas(cut, "doc long, twin long, anchor long, hot boolean, start int, content binary")
-    return rows.select("doc", "twin", "anchor", "start", "content", F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("anchor")).alias("route"))
+    return chosen.mapInPandas(cut, "doc long, twin long, anchor long, start int, content binary, a long, b long")
 
 
 def late_windows(contents: list[bytes], places: np.ndarray, width: int) -> list[np.ndarray]:
@@ -126,7 +154,7 @@ def late_windows(contents: list[bytes], places: np.ndarray, width: int) -> list[
     windows = sizes - width + 1
     segment = np.repeat(np.arange(len(sizes)), windows)
     offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
-    low, high = index.intervals(begins[segment] + offset + width, width)
+    reached, low, high = index.matching(begins[segment] + offset + width, width)
 
     # the earliest place of every suffix's start, as an order-keeping number
     doc, twin, start = places[:, 0][segment], places[:, 1][segment], places[:, 2][segment] + offset
@@ -141,52 +169,56 @@ def late_windows(contents: list[bytes], places: np.ndarray, width: int) -> list[
     lows, highs = intervals // (len(text) + 1), intervals % (len(text) + 1)
     edges = np.stack((lows, highs), axis=1).ravel()
     least = np.minimum.reduceat(np.append(in_order, np.iinfo(np.int64).max), edges)[::2]
-    late = rank > least[back]
+    late = (reached == width) & (rank > least[back])
     return [offset[a:b][late[a:b]] for a, b in zip(np.cumsum(windows) - windows, np.cumsum(windows))]
 
 
 def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans), one row for each document.
+    """(doc_id, n_words, n_removed, kept_sha256, spans, twin), one row for each document.
 
-    ``spans`` lists the removed word ranges [first, end).
+    ``spans`` lists the removed word ranges [first, end); twin is a hash of the text.
     """
     rows = staged(_document_rows(docs, id_col, text_col, width, gram))
     parts = rows.select("doc", "twin", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("s")).select("doc", "twin", F.col("s.anchors").alias("anchor"), F.col("s.starts").alias("start"), F.col("s.sizes").alias("size"))
-    counts = staged(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    span = F.struct("anchor", "start", "size", (F.col("n") > HOT_SEGMENTS).alias("hot"))
-    wanted = parts.join(counts, "anchor").groupBy("doc", "twin").agg(F.collect_set(span).alias("spans"))
-    text = F.col(text_col).cast("string")
-    cols = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
-    candidates = staged(cols.join(wanted, ["doc", "twin"]))
-
-    key = ["route", "content_a", "content_b"]
-    texts = _segment_texts(candidates, width).withColumns({"content_a": F.xxhash64("content"), "content_b": F.xxhash64(F.lit(3), F.col("content"), F.lit(5))})
-    place = F.struct("doc", "twin", "start")
-    texts = staged(texts)
-    distinct = texts.groupBy(*key).agg(F.min(place).alias("place"), F.first("content").alias("content"), F.count(F.lit(1)).alias("copies"))
-    distinct = staged(distinct)
-    load = distinct.agg(F.sum(F.length("content"))).first()[0] or 0
+    again = staged(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    wanted = parts.join(again, "anchor").groupBy("doc", "twin").agg(F.collect_set(F.struct("anchor", "start", "size")).alias("spans"))
+    candidates = staged_by(_keyed(docs, id_col, text_col).dropDuplicates(["doc", "twin"]).join(wanted, ["doc", "twin"]), "doc", "twin")
+
+    key = ["anchor", "a", "b"]
+    place = F.struct("doc", "twin", "start", "size")
+    texts = staged(_with_digests(candidates))
+    heads = staged(texts.groupBy(*key).agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("copies")))
+    several = staged(heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    picked = heads.select("anchor", "head.*").join(several, "anchor").select("doc", "twin", F.struct("anchor", "start", "size", (F.col("n") > HOT_SEGMENTS).alias("hot")).alias("s"))
+    picked = picked.groupBy("doc", "twin").agg(F.collect_list("s").alias("picked"))
+    contents = staged(_contents(candidates.drop("spans").join(picked, ["doc", "twin"]), width))
+
+    whole = contents.where("content is not null")
+    load = whole.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, math.ceil(load / 6 / SHARD_WORDS))
-    dealt = distinct.select(*key, "content", F.col("place.doc").alias("doc"), F.col("place.twin").alias("twin"), F.col("place.start").alias("start"), F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"))
+    dealt = whole.select("content", "doc", "twin", "start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.reset_index(drop=True)
         late = late_windows(shard["content"].tolist(), shard[["doc", "twin", "start"]].to_numpy(np.int64), width)
-        out = shard[[*key, "doc", "twin", "start"]].copy()
-        out["late"] = late
-        return out
+        return shard[["doc", "twin", "start"]].assign(late=late)
+
+    found = dealt.groupBy("shard").applyInPandas(search, "doc long, twin long, start int, late array<int>").where(F.size("late") > 0)
+    first = found.select("doc", "twin", F.transform("late", lambda o: F.struct((F.col("start") + o).alias("first"), (F.col("start") + o + width).alias("end"))).alias("cut"))
+
+    def spans(first, end):
+        return F.array(F.struct(first.alias("first"), end.alias("end"))).alias("cut")
 
-    found = staged(dealt.groupBy("shard").applyInPandas(search, "route long, content_a long, content_b long, doc long, twin long, start int, late array<int>"))
+    windows = contents.where("content is null").select("doc", "twin", "start", "a", "b")
+    at = F.struct("doc", "twin", "start")
+    earliest = staged(windows.groupBy("a", "b").agg(F.min(at).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    single = windows.join(earliest, ["a", "b"]).where(at != F.col("least")).select("doc", "twin", spans(F.col("start"), F.col("start") + width))
 
     # the earliest copy of a segment loses its late windows; every other copy loses all of it
-    first = found.where(F.size("late") > 0).select("doc", "twin", F.transform("late", lambda o: F.struct((F.col("start") + o).alias("first"), (F.col("start") + o + width).alias("end"))).alias("cut"))
-    heads = found.select(*key, F.col("doc").alias("d0"), F.col("twin").alias("t0"), F.col("start").alias("s0"))
-    size = F.size(F.split(F.decode("content", "ISO-8859-1"), " "))
-    copies = texts.select(*key, "doc", "twin", "start", size.alias("size"))
-    repeated = staged(distinct.where("copies > 1").select(*key)).join(heads, key)
-    again = copies.join(staged(repeated), key).where((F.col("doc") != F.col("d0")) | (F.col("twin") != F.col("t0")) | (F.col("start") != F.col("s0")))
-    again = again.select("doc", "twin", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("end"))).alias("cut"))
-    cuts = first.unionByName(again).groupBy("doc", "twin").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+    repeated = staged(heads.where("copies > 1").drop("copies"))
+    later = texts.join(repeated, key).where(place != F.col("head")).select("doc", "twin", spans(F.col("start"), F.col("start") + F.col("size")))
+    cuts = staged(first.unionByName(single).unionByName(later).groupBy("doc", "twin").agg(F.flatten(F.collect_list("cut")).alias("cut")))
+    discard(again, texts, heads, several, contents, earliest, repeated)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,16 +237,19 @@ def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             got.insert(1, "twin", batch["twin"].to_numpy())
             yield got
 
-    changed = candidates.select("doc", "twin", "text").join(cuts, ["doc", "twin"]).mapInPandas(apply, "doc long, twin long, n_removed long, kept_sha256 string, spans array<struct<first int, end int>>")
-    changed = staged(changed.dropDuplicates(["doc", "twin"]))
+    changed = candidates.drop("spans").join(cuts, ["doc", "twin"]).mapInPandas(apply, "doc long, twin long, n_removed long, kept_sha256 string, spans array<struct<first int, end int>>")
+    changed = staged(changed)
+    discard(candidates, cuts)
     out = rows.select("doc", "twin", "n_words", "whole_sha256").join(changed, ["doc", "twin"], "left")
-    return out.select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "spans")
+    doc = F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
+    return out.select(doc, "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "spans", "twin")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` whose texts are their kept words joined by one space; untouched texts stay as they are."""
     cut = removed_words(docs, id_col=id_col, text_col=text_col, width=width).where("n_removed > 0")
-    spans = staged(cut.select(F.col("doc_id").alias(id_col), F.col("spans").alias("__spans")).dropDuplicates([id_col]))
+    doc = F.coalesce("doc_id", F.lit(LAST_ID)).alias("__doc")
+    found = staged(cut.select(doc, F.col("twin").alias("__twin"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__twin"]))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -230,5 +265,6 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             out.append(b" ".join(left + words[at:]).decode())
         return pd.Series(out)
 
-    joined = docs.join(spans, id_col, "left")
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__twin": F.xxhash64(F.col(text_col).cast("string"))})
+    joined = keyed.join(found, ["__doc", "__twin"], "left")
     return joined.withColumn(text_col, kept(F.col(text_col).cast("string"), F.col("__spans"))).select(*docs.columns)
