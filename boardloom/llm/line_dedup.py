@@ -20,8 +20,9 @@ doubling can stop at the longest such window.
 Cases: null text has no lines and stays null; a document whose every line goes has empty text
 (:func:`drop_repeated_lines` leaves out documents that became empty, and only those). Rows that
 repeat a doc_id are told apart by their text, and the smaller text counts as the earlier; equal
-rows are judged together as one and each gets that result. Blank lines count as lines without
-words.
+rows are judged together as one and each gets that result. Rows with a null doc_id count as later than
+all others. Blank lines count as lines without words. Columns of ``docs`` are passed through; only
+one that is named like a result column is left out of :func:`with_kept_text`.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import LAST_ID, discard, staged
 
 MIN_WORDS = 50
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -51,7 +52,7 @@ def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
 
 def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, twin, pos, line_a, line_b, words): twin tells rows that repeat a doc_id apart."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     twin = F.xxhash64("text").alias("twin")
     lines = base.select("doc", twin, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     words = F.size(F.filter(F.split("line", SPACE), lambda w: w != ""))
@@ -62,13 +63,14 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc, twin, first, last): line ranges that are later copies of a run of ``min_words`` words."""
     lines = _line_table(docs, id_col, text_col)
     again = lines.groupBy("line_a", "line_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line_a", "line_b")
-    names = _ranked(staged(again), ["line_a", "line_b"])
-    at = lines.join(names, ["line_a", "line_b"]).select("doc", "twin", "pos", "words", F.col("rank").cast("long").alias("r0"))
-    at = staged(at.distinct())
+    again = staged(again)
+    names = _ranked(again, ["line_a", "line_b"])
+    told = staged(lines.join(names, ["line_a", "line_b"]).select("doc", "twin", "pos", "words", F.col("rank").cast("long").alias("r0")).distinct())
+    discard(again, names)
 
     # consecutive repeated lines form an island; windows stay inside it
     order = Window.partitionBy("doc", "twin").orderBy("pos")
-    at = at.withColumn("island", F.col("pos") - F.row_number().over(order))
+    at = told.withColumn("island", F.col("pos") - F.row_number().over(order))
     island = Window.partitionBy("doc", "twin", "island")
     upto = F.sum("words").over(island.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     at = staged(at.withColumn("upto", upto.cast("long")).withColumn("before", F.col("upto") - F.col("words")))
@@ -84,6 +86,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ends = reach(F.col("before") + min_words, F.col("upto"), F.desc("goal"), F.min).select("doc", "twin", F.col("pos").alias("first"), F.col("found").alias("last"))
     starts = reach(F.col("upto") - min_words, F.col("before"), F.asc("goal"), F.max).select("doc", "twin", F.col("found").alias("first"), F.col("pos").alias("last"))
     windows = ends.unionByName(starts).distinct()
+    discard(told)
     windows = staged(windows.withColumn("n", F.col("last") - F.col("first") + 1).withColumn("level", F.length(F.bin("n")) - 1))
 
     found = None
@@ -109,8 +112,8 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(heads, ["n", "a", "b"]).where(place > F.col("head")).select("doc", "twin", "first", "last")
 
 
-def with_kept_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` plus n_lines, n_removed and kept_text."""
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``docs`` plus __n_lines, __n_removed and __kept."""
     late = staged(repeated_windows(docs, id_col=id_col, text_col=text_col, min_words=min_words))
     # overlapping windows merge to runs, so a document's list is short
     w = Window.partitionBy("doc", "twin").orderBy("first", "last")
@@ -118,21 +121,28 @@ def with_kept_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cut = late.withColumn("new", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
     runs = cut.withColumn("run", F.sum("new").over(w)).groupBy("doc", "twin", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     runs = staged(runs.groupBy("doc", "twin").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("__runs")))
+    discard(late)
 
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__twin": F.xxhash64(text)})
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__twin": F.xxhash64(text)})
     joined = keyed.join(runs.select(F.col("doc").alias("__doc"), F.col("twin").alias("__twin"), "__runs").hint("shuffle_hash"), ["__doc", "__twin"], "left")
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: i.between(r["first"], r["last"])))
     gone = F.aggregate("__runs", F.lit(0), lambda acc, r: acc + r["last"] - r["first"] + 1)
-    out = joined.withColumns(
+    return joined.withColumns(
         {
-            "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_removed": F.coalesce(gone, F.lit(0)).cast("long"),
-            "kept_text": F.when(F.col("__runs").isNull(), text).otherwise(F.array_join(kept, "\n")),
+            "__n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
+            "__n_removed": F.coalesce(gone, F.lit(0)).cast("long"),
+            "__kept": F.when(F.col("__runs").isNull(), text).otherwise(F.array_join(kept, "\n")),
         }
     )
-    return out.drop("__doc", "__twin", "__runs")
+
+
+def with_kept_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` plus n_lines, n_removed and kept_text."""
+    names = {"n_lines": "__n_lines", "n_removed": "__n_removed", "kept_text": "__kept"}
+    out = _cut(docs, id_col, text_col, min_words)
+    return out.select(*[c for c in docs.columns if c not in names], *[F.col(private).alias(name) for name, private in names.items()])
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -140,6 +150,6 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     A document that consisted of later copies alone is left out.
     """
-    out = with_kept_text(docs, id_col=id_col, text_col=text_col, min_words=min_words)
-    keep = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return keep.withColumn(text_col, F.col("kept_text")).select(*docs.columns)
+    out = _cut(docs, id_col, text_col, min_words)
+    keep = out.where((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
+    return keep.withColumn(text_col, F.col("__kept")).select(*docs.columns)
