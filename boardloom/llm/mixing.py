@@ -1,27 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights are rounded to whole blocks of a period of ``period`` slots (largest remainder, at least
-one each). Within a period, block i of a source with weight w is released at floor(i / w) and due
+Weights are rounded to whole blocks of a period of SLOTS slots a source (largest remainder, at
+least one each). Within a period, block i of a source with weight w is released at floor(i / w) and due
 at ceil((i + 1) / w); the earliest deadline among released blocks runs next, ties to the later
 successor deadline, then to the source name. A Pfair schedule repeats after a period, so one
-period is worked out (its size is a parameter, not a matter of the data) and any block of any
-source is placed by arithmetic: block b lies in period b div p, at the slot of block b mod p.
+period is worked out (its size follows from the number of sources, at most MAX_SOURCES, and not
+from their rows) and any block of any source is placed by arithmetic: block b lies in period b div p, at the slot of block b mod p.
 In every prefix of the schedule each source is less than one block from its share.
 
 Blocks are cut by characters (plus one for each document's end): a document belongs to the block
-in which it starts. Documents of a source are taken in an order fixed by a hash of doc_id. Offsets
+in which it starts. Documents of a source are taken in an order fixed by a hash of doc_id and text. Offsets
 inside a source come from hash buckets: totals for each (source, bucket), a running sum over
 those totals, and a running sum inside each bucket. So a source with a third of all rows is
 spread over as many tasks as its share asks for.
 
 When a source has no blocks left, its slots stay empty and the others keep their proportions; no
 document is dropped or repeated. Cases: a null source is a source of its own; null or empty text
-counts one character; rows that repeat a doc_id follow each other. An empty table gives an empty
-result.
+counts one character; equal rows follow each other; a null doc_id is an id like any other. An
+empty table gives an empty result. Columns of ``docs`` are passed through; only one that is named
+like a result column is left out of :func:`schedule`.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from fractions import Fraction
 
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ._common import staged
 
-PERIOD = 1024
+#: Slots of a period for each source, and the most sources: a period has to fit the driver.
+SLOTS = 128
+MAX_SOURCES = 4096
 BLOCK_CHARS = 65_536
 ROWS_PER_BUCKET = 512
 TEMPERATURE = 0.5
@@ -52,39 +56,49 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
 
 def pfair_period(shares: dict[str, int]) -> list[tuple[str, int]]:
     """(source, block of the period) for every slot of one period."""
-    period = sum(shares.values())
-    done, slots = dict.fromkeys(shares, 0), []
+    period, slots = sum(shares.values()), []
+    # blocks wait for their release, then run in order of deadline
+    waiting = [(0, s, 0) for s in sorted(shares)]
+    ready: list[tuple[int, int, str, int]] = []
+    heapq.heapify(waiting)
     for t in range(period):
-        ready = []
-        for s, n in shares.items():
-            i, w = done[s], Fraction(n, period)
-            if i < n and math.floor(i / w) <= t:
-                ready.append((math.ceil((i + 1) / w), -math.ceil((i + 2) / w), s))
-        s = min(ready)[2]
-        slots.append((s, done[s]))
-        done[s] += 1
+        while waiting and waiting[0][0] <= t:
+            _, s, i = heapq.heappop(waiting)
+            w = Fraction(shares[s], period)
+            heapq.heappush(ready, (math.ceil((i + 1) / w), -math.ceil((i + 2) / w), s, i))
+        *_, s, i = heapq.heappop(ready)
+        slots.append((s, i))
+        if i + 1 < shares[s]:
+            heapq.heappush(waiting, (math.floor((i + 1) / Fraction(shares[s], period)), s, i + 1))
     return slots
 
 
 def target_weights(docs: DataFrame, source_col: str = "source", text_col: str = "text", temperature: float = TEMPERATURE) -> dict[str, float]:
     """Characters of each source to the power ``temperature``: flatter than the raw shares."""
     size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) + 1
-    rows = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("s")).agg(F.sum(size.cast("long")).alias("n")).collect()
+    rows = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("s")).agg(F.sum(size.cast("long")).alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"at most {MAX_SOURCES} sources; put small ones together first")
     return {r["s"]: float(r["n"]) ** temperature for r in rows}
 
 
-def schedule(
+def schedule(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` plus block, slot and block_offset; see :func:`_placed`."""
+    names = {"block": "__block", "slot": "__slot", "block_offset": "__offset"}
+    return _placed(docs, **how).select(*[c for c in docs.columns if c not in names], *[F.col(private).alias(name) for name, private in names.items()])
+
+
+def _placed(
     docs: DataFrame,
     *,
     weights: dict[str, float] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    period: int = PERIOD,
     block_chars: int = BLOCK_CHARS,
     size_col: str | None = None,
 ) -> DataFrame:
-    """``docs`` plus block, slot and block_offset; (slot, block_offset, id) is the mixed order.
+    """``docs`` plus __block, __slot and __offset; (slot, offset, id) is the mixed order.
 
     ``weights`` maps every source to its target weight (null is the key ``"\\0"``); by default
     :func:`target_weights`. A source without a weight is an error. ``size_col`` is a row's size in
@@ -94,10 +108,10 @@ def schedule(
     weights = weights or target_weights(docs, source_col, text_col)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
     size = (F.col(size_col) if size_col else F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
-    order = F.xxhash64(F.col(id_col).cast("long"))
+    order = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     n_rows = docs.count()
     bits = max(1, min(30, math.ceil(math.log2(max(2, n_rows / ROWS_PER_BUCKET)))))
-    keyed = docs.withColumns({"__source": source, "__size": size, "__order": order, "__bucket": F.shiftrightunsigned(order, 64 - bits)})
+    keyed = docs.withColumns({"__source": source, "__size": size, "__order": order, "__id": F.col(id_col).cast("long"), "__bucket": F.shiftrightunsigned(order, 64 - bits)})
 
     totals = keyed.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -109,24 +123,25 @@ def schedule(
         unknown = offsets.select("__source").distinct().where(~F.col("__source").isin(list(weights))).limit(1).collect()
         if unknown:
             raise ValueError(f"no weight for source {unknown[0][0]!r}")
-        shares = whole_shares(weights, max(period, 2 * len(weights)))
+        if len(weights) > MAX_SOURCES:
+            raise ValueError(f"at most {MAX_SOURCES} weights")
+        shares = whole_shares(weights, SLOTS * len(weights))
         slots = [(s, i, t, shares[s]) for t, (s, i) in enumerate(pfair_period(shares))]
-    one_period = spark.createDataFrame(slots, "__source string, __i long, __t long, __share long")
+    one_period = staged(spark.createDataFrame(slots, "__source string, __i long, __t long, __share long"))
     share = one_period.groupBy("__source").agg(F.first("__share").alias("__share"))
     length = len(slots) or 1
 
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", F.col(id_col).cast("long"), F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(offsets.join(F.broadcast(share), "__source").hint("shuffle_hash"), ["__source", "__bucket"])
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.join(offsets.join(share, "__source").hint("shuffle_hash"), ["__source", "__bucket"])
     placed = placed.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    placed = placed.withColumn("block", F.floor(F.col("__start") / block_chars)).withColumn("__i", F.col("block") % F.col("__share"))
-    placed = placed.join(F.broadcast(one_period.select("__source", "__i", "__t")), ["__source", "__i"])
-    slot = F.floor(F.col("block") / F.col("__share")) * length + F.col("__t")
-    return placed.withColumns({"slot": slot, "block_offset": F.col("__start") % block_chars}).select(*docs.columns, "block", "slot", "block_offset")
+    placed = placed.withColumn("__block", F.floor(F.col("__start") / block_chars)).withColumn("__i", F.col("__block") % F.col("__share"))
+    placed = placed.join(one_period.select("__source", "__i", "__t"), ["__source", "__i"])
+    slot = F.floor(F.col("__block") / F.col("__share")) * length + F.col("__t")
+    return placed.withColumns({"__slot": slot, "__offset": F.col("__start") % block_chars})
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs``, same columns and rows, in the mixed order: ranges of slots, each sorted."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = schedule(docs, **how)
-    order = ["slot", "block_offset", F.col(how.get("id_col", "doc_id"))]
-    return out.repartitionByRange(n, "slot").sortWithinPartitions(*order).select(*docs.columns)
+    out = _placed(docs, **how)
+    return out.repartitionByRange(n, "__slot").sortWithinPartitions("__slot", "__offset", "__id").select(*docs.columns)

@@ -34,17 +34,19 @@ def test_source_shares_in_prefixes_of_the_stream(spark, skewed, sf_dir):
     for r in rows:
         assert of_sequence.setdefault(r["sequence_id"], source[r["doc_id"]]) == source[r["doc_id"]]
 
-    shares = mixing.whole_shares(mixing.target_weights(skewed), mixing.PERIOD)
+    weights = mixing.target_weights(skewed)
+    period = mixing.SLOTS * len(weights)
+    shares = mixing.whole_shares(weights, period)
     total, block = Counter(), packing.BLOCK_TOKENS
     for r in rows:
         total[source[r["doc_id"]]] += r["length"]
     done, at, checked = Counter(), 0, 0
-    for slot in range(1, mixing.PERIOD + 1):
+    for slot in range(1, period + 1):
         while at < len(rows) and rows[at]["sequence_id"] < slot * block:
             done[source[rows[at]["doc_id"]]] += rows[at]["length"]
             at += 1
         for s, n in shares.items():
-            due = n * slot * block / mixing.PERIOD
+            due = n * slot * block / period
             if due + block < total[s]:
                 assert abs(done[s] - due) <= block + packing.WINDOW
                 checked += 1
