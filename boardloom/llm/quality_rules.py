@@ -5,10 +5,12 @@ are compared with references counted over the whole corpus, by Jensen-Shannon di
 so between 0 and 1). A document is rejected when even the nearest language is too far away. The
 guards skip a distance that a short text can't support.
 
-A language's common words are all words that make up at least ``1 / COMMON`` of its words. They
-are found exactly in two passes: a word that common over all batches is that common in some batch
-(pass 1 lists those words), and pass 2 counts the listed words everywhere. So the references hold
-at most COMMON words a language, whatever the corpus size.
+A language's common words are all words that make up at least ``1 / COMMON`` of its words, found
+exactly in two passes. In pass 1 each task keeps KEPT counters a language; when there are more
+words, the count of the first one too many is taken off all of them (Misra and Gries, 1982). Spark
+sums what is left, and a word whose sum and all that may have been taken off fall short of the
+share is out. So fewer than ``1 / (1 / COMMON - 1 / KEPT)`` words a language (457) reach the driver,
+whatever the number of documents and tasks. Pass 2 counts those everywhere.
 
 Cases: null, empty or blank text has no word and fails the base rule. A null or unknown lang adds
 to no reference; the document is judged by the nearest of all references. With no reference at
@@ -25,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column_or_null, split_words
+from ._common import column_or_null, discard, split_words, staged
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COMMON = 400
+KEPT = 8 * COMMON
 MIN_WORDS = 50
 MIN_CHARS = 200
 CHAR_LIMIT = 0.30
@@ -107,27 +110,48 @@ def _by_language(batch: pd.DataFrame) -> Iterator[tuple[str, list[str]]]:
         yield lang, [t for t in texts if t]
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """lang -> (character-class counts, common words, their counts with all other words last).
+class Frequent:
+    """Counters of the words of one language that may be common, and what was taken off them."""
+
+    def __init__(self):
+        self.counts: Counter = Counter()
+        self.total = self.lost = 0
+
+    def add(self, words: Counter) -> None:
+        self.total += words.total()
+        self.counts.update(words)
+        if len(self.counts) > 8 * KEPT:
+            self.shrink()
+
+    def shrink(self) -> None:
+        if len(self.counts) > KEPT:
+            least = sorted(self.counts.values(), reverse=True)[KEPT]
+            self.counts = Counter({w: n - least for w, n in self.counts.items() if n > least})
+            self.lost += least
 
-    What comes to the driver is at most COMMON words for each language.
-    """
+
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """lang -> (character-class counts, common words, their counts with all other words last)."""
     cols = docs.select(column_or_null(docs, lang_col, "string").cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told = set()
+        found: dict[str, Frequent] = defaultdict(Frequent)
         for batch in batches:
-            new = []
             for lang, texts in _by_language(batch):
-                counts = Counter(w for t in texts for w in split_words(t))
-                least = counts.total() / COMMON
-                new += [(lang, w) for w, n in counts.items() if n >= least and (lang, w) not in told]
-            told.update(new)
-            yield pd.DataFrame(new, columns=["lang", "word"])
-
+                for i in range(0, len(texts), 256):
+                    found[lang].add(Counter(w for t in texts[i : i + 256] for w in split_words(t)))
+        for lang, frequent in found.items():
+            frequent.shrink()
+            rows = [(w, n, 0, 0) for w, n in frequent.counts.items()] + [(None, 0, frequent.total, frequent.lost)]
+            yield pd.DataFrame(rows, columns=["word", "n", "total", "lost"]).assign(lang=lang)
+
+    kept = staged(cols.mapInPandas(candidates, "lang string, word binary, n long, total long, lost long"))
+    sums = kept.where("word is null").groupBy("lang").agg(F.sum("total").alias("total"), F.sum("lost").alias("lost"))
+    maybe = kept.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")).join(sums, "lang")
     listed: dict[str, set[bytes]] = defaultdict(set)
-    for r in cols.mapInPandas(candidates, "lang string, word binary").distinct().toLocalIterator():
+    for r in maybe.where(COMMON * (F.col("n") + F.col("lost")) >= F.col("total")).select("lang", "word").collect():
         listed[r["lang"]].add(bytes(r["word"]))
+    discard(kept)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
