@@ -12,13 +12,12 @@ Their features (not their texts) come to the driver. A prediction reads the text
 whole of it.
 
 Cases: null text, or one without a letter, is ``und`` with score 0. Rows with a null lang teach
-nothing and are predicted like others. Without any training row everything is ``und``; with one
-language, every text with a letter is that one. Repeated rows give equal results, one for each.
+nothing and are predicted like others. Without any training row everything is ``und``; with
+one language, every text with a letter is that one. Repeated rows give equal results, one for each.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +25,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 BUCKETS = 1 << 16
 ORDERS = 3
 PER_LANGUAGE = 600
+MAX_LANGUAGES = 256
 CALIBRATION_SHARE = 0.2
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 SCALE = 100.0
 UNKNOWN = "und"
 CHUNK = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _fold_table() -> np.ndarray:
@@ -161,15 +159,18 @@ def fitted_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> dict | None:
     """The model from (id, text, lang): languages, idf-weighted table, temperature."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     langs = sorted(counts)
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not langs:
         return None
     df, n = document_frequencies(labelled.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1.0
     share = F.create_map(*[F.lit(x) for s in langs for x in (s, min(1.0, per_language / counts[s]))])
-    coin = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
-    sample = labelled.where(coin < share[F.col("lang")]).select("id", "lang", "text")
+    coin = F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
+    # equal rows have one coin: without them the sample has about per_language rows a language
+    sample = labelled.where(coin < share[F.col("lang")]).select("id", "lang", "text").distinct()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,7 +179,7 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> dict | No
 
     rows = sample.mapInPandas(features, "id long, lang string, at binary, tf binary").collect()
     data = []
-    for r in sorted(rows, key=lambda r: (r["id"], r["lang"])):
+    for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["lang"], r["at"], r["tf"])):
         at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
         data.append((at, SCALE * np.frombuffer(r["tf"], np.float32) * idf[at], langs.index(r["lang"])))
     order = np.random.default_rng(7).permutation(len(data))
@@ -193,13 +194,13 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> dict | No
     return {"langs": langs, "table": (SCALE * idf[:, None] * w).astype(np.float32), "temperature": temperature}
 
 
-def predicted(texts: list[str | None], model: dict | None) -> tuple[list[str], list[float]]:
-    """Language and calibrated probability of each whole text."""
+def predicted(texts: list[str], known: list[bool], model: dict | None) -> tuple[list[str], list[float]]:
+    """Language and calibrated probability of each whole lower-cased text; ``known`` ones have a letter."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return langs, scores
-    live = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-    own = [texts[i].lower() for i in live]
+    live = [i for i, k in enumerate(known) if k]
+    own = [texts[i] for i in live]
     table = model["table"]
     for a, b in _runs(own):
         orders, sizes = ngram_buckets(own[a:b])
@@ -219,13 +220,13 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: Column | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), learned from the rows that ``held`` leaves."""
     held = held_out(F.col(id_col)) if held is None else held
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(held, F.lit(False)).alias("held_out"))
-    has_letter = F.col("text").rlike("\\p{L}")
-    model = train(cols.where(~F.col("held_out") & F.col("lang").isNotNull() & has_letter).select("id", F.lower("text").alias("text"), "lang"), per_language=per_language)
+    text = F.col(text_col).cast("string")
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text).alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("known"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(held, F.lit(False)).alias("held_out"))
+    model = train(cols.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("known")).select("id", "text", "lang"), per_language=per_language)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            langs, scores = predicted(batch["text"].tolist(), model)
+            langs, scores = predicted(batch["text"].tolist(), batch["known"].tolist(), model)
             yield pd.DataFrame({"doc_id": batch["id"], "held_out": batch["held_out"], "lang_pred": langs, "score": scores})
 
-    return cols.select("id", "text", "held_out").mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return cols.drop("lang").mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
