@@ -28,7 +28,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 BLOCKED = "\x01blocked"
+#: A rule needs this share of the labelled pages, and this many of them.
 MIN_SUPPORT = 0.002
+MIN_PAGES = 20
 MIN_CONFIDENCE = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,25 +52,28 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(deep, words), lambda x: ~x.isin("p:", "h0:") & ~x.rlike("^p:[0-9]+$")))
 
 
-def mined_rules(pages: DataFrame, labels: DataFrame, *, blocked: Column, id_col: str = "page_id", label_id: str = "doc_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mined_rules(pages: DataFrame, labels: DataFrame, *, blocked: Column, id_col: str = "page_id", label_id: str = "doc_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, anchor, confidence): pruned rules; anchor is the rule's rarest token."""
     host, path = host_and_path(F.col(url_col).cast("string"))
     told = labels.select(F.col(label_id).cast("long").alias("__id"), F.coalesce(blocked, F.lit(False)).alias("__bad")).where("__id is not null")
     told = told.groupBy("__id").agg(F.max("__bad").alias("__bad"))
     seen = pages.select(F.col(id_col).cast("long").alias("__id"), url_tokens(host, path).alias("tokens")).where("size(tokens) > 0")
     baskets = staged(seen.join(told, "__id").select(F.when(F.col("__bad"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    # the share stays below 1 where there are fewer labelled pages than a rule needs: then no rule passes
+    n = max(1, baskets.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(baskets)
+    itemsets = model.freqItemsets.where(F.col("freq") >= min_pages)
+    alone = itemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
-    rules = staged(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence"))
-    # a rule goes when a part of its tokens has a rule at least as confident; parts share a token
-    part = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"), F.explode("tokens").alias("t"))
+    rules = rules.where(F.col("support") * n >= min_pages - 0.5).select(F.array_sort("antecedent").alias("tokens"), "confidence")
+    anchored = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(alone, "t")
+    rules = staged(anchored.groupBy("tokens", "confidence").agg(F.min_by("t", F.struct("freq", "t")).alias("anchor")))
+    # a rule goes when a part of its tokens has a rule at least as confident; it holds the part's anchor
+    part = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"), F.col("anchor").alias("t"))
     whole = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
     smaller = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))
     covered = whole.join(part, "t").where(smaller).select("tokens").distinct()
-    kept = rules.join(covered, "tokens", "left_anti")
-    alone = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
-    anchored = kept.select("tokens", "confidence", F.explode("tokens").alias("t")).join(alone, "t")
-    return staged(anchored.groupBy("tokens", "confidence").agg(F.min_by("t", F.struct("freq", "t")).alias("anchor")))
+    return staged(rules.join(covered, "tokens", "left_anti"))
 
 
 def _rule_columns(host: Column, path: Column, rules) -> tuple[Column, Column]:
