@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import splitmix, staged
+from ._common import discard, splitmix, staged
 from .mixing import schedule, target_weights
 from .tokens import Encoder
 
@@ -53,6 +53,7 @@ PIVOT_TOKENS = 200
 SPREAD = 1.5
 SHARD_BITS = 24
 K1, B = 1.2, 0.75
+NAMES = [f"k{i}" for i in range(DEPTH + 2)]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECE = [x.split()[0] for x in SCHEMA.split(", ")]
 #: Tokens of a block of the mixed order; a window is at most that long.
@@ -169,9 +170,11 @@ def tokenised(docs: DataFrame, vocabulary: str | None) -> DataFrame:
     """doc_id, grp, ids (two bytes a token), n_tokens and a salt that tells equal rows apart."""
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, done = Encoder(vocabulary).encode, TaskContext.get().partitionId() << 40
+        encoder, done = Encoder(vocabulary), TaskContext.get().partitionId() << 40
+        if encoder.library.get_vocab_size() > 1 << 16:
+            raise ValueError("token ids must fit two bytes")
         for batch in batches:
-            ids = [np.array([*encode(t), END_ID], "<u2") for t in batch["text"]]
+            ids = [np.array([*encoder.encode(t), END_ID], "<u2") for t in batch["text"]]
             salt = (splitmix(np.arange(done, done + len(ids), dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
             done += len(ids)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "grp": batch["grp"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids], "salt": salt})
@@ -249,28 +252,34 @@ class Keys:
         return self.__dict__ | {"table": None}
 
 
-def dealt(rows: DataFrame, keys: Keys) -> tuple[dict, dict]:
+def keyed(rows: DataFrame, keys: Keys) -> DataFrame:
+    """``rows`` with their keys and load, staged: keys are worked out once."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            load = np.maximum(batch["n_tokens"].to_numpy(), -(-SHARD_TOKENS // SHARD_DOCS))
+            out = batch[["doc_id", "grp", "ids"]].assign(load=load)
+            out[NAMES] = keys.of(batch)
+            yield out
+
+    return staged(rows.mapInPandas(add, "doc_id long, grp string, ids binary, load long, " + ", ".join(f"{k} long" for k in NAMES)))
+
+
+def dealt(part: DataFrame) -> tuple[dict, dict]:
     """How parts are split, {(grp, path): n}, and the shard of each part, {(grp, path): number}.
 
     n is 0 for a split by pivots. Both have at most some PIVOTS rows for each full shard and one
     for each ``grp``, so they fit the driver.
     """
-    names, spark = [f"k{i}" for i in range(DEPTH + 2)], rows.sparkSession
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame(keys.of(batch), columns=names)
-            yield out.assign(grp=batch["grp"].to_numpy(), load=np.maximum(batch["n_tokens"].to_numpy(), -(-SHARD_TOKENS // SHARD_DOCS)))
-
-    schema = ", ".join(f"{k} long" for k in names) + ", grp string, load long"
-    part = staged(rows.mapInPandas(keyed, schema)).withColumns({"parent": F.lit(""), "step": F.lit(0).cast("long")})
+    spark = part.sparkSession
+    part = part.select("grp", "load", *NAMES).withColumns({"parent": F.lit(""), "step": F.lit(0).cast("long")})
     splits, shards, number = {}, {}, 0
-    for depth in range(len(names) + 1):
+    for depth in range(len(NAMES) + 1):
         nodes = part.groupBy("grp", "parent", "step").agg(F.sum("load").alias("load")).collect()
         hot, above, filled = [], None, 0
         for r in sorted(nodes, key=lambda r: (r["grp"], r["parent"], r["step"])):
             node = (r["grp"], f"{r['parent']}/{r['step']}")
-            if r["load"] > SHARD_TOKENS and depth < len(names):
+            if r["load"] > SHARD_TOKENS and depth < len(NAMES):
                 splits[node] = math.ceil(SPREAD * r["load"] / SHARD_TOKENS) if depth >= DEPTH else 0
                 hot.append((r["grp"], r["parent"], r["step"], node[1], splits[node]))
                 continue
@@ -281,20 +290,21 @@ def dealt(rows: DataFrame, keys: Keys) -> tuple[dict, dict]:
         if not hot:
             break
         ways = spark.createDataFrame(hot, "grp string, parent string, step long, path string, n long")
-        key = F.col(names[depth]) if depth < DEPTH else F.col(names[depth]) % F.col("n")
+        key = F.col(NAMES[depth]) if depth < DEPTH else F.col(NAMES[depth]) % F.col("n")
         part = part.join(F.broadcast(ways), ["grp", "parent", "step"]).withColumns({"parent": F.col("path"), "step": key}).drop("path", "n")
     return splits, shards
 
 
 def sharded(rows: DataFrame, statistics: Statistics) -> DataFrame:
     """``rows`` with the number of each document's shard."""
-    keys = Keys(pivots_of(rows), statistics)
-    splits, shards = dealt(rows, keys)
+    part = keyed(rows, Keys(pivots_of(rows), statistics))
+    discard(rows)
+    splits, shards = dealt(part)
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for grp, own in zip(batch["grp"], keys.of(batch).tolist()):
+            for grp, own in zip(batch["grp"], batch[NAMES].to_numpy().tolist()):
                 path, left = "/0", iter(own)
                 while (n := splits.get((grp, path))) is not None:
                     key = next(left)
@@ -302,7 +312,7 @@ def sharded(rows: DataFrame, statistics: Statistics) -> DataFrame:
                 found.append(shards[grp, path])
             yield batch[["doc_id", "grp", "ids"]].assign(shard=found)
 
-    return rows.mapInPandas(numbered, "doc_id long, grp string, ids binary, shard long")
+    return part.drop("load").mapInPandas(numbered, "doc_id long, grp string, ids binary, shard long")
 
 
 def in_mixed_order(pieces: DataFrame, weights: dict[str, float]) -> DataFrame:

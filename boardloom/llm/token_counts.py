@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, is_plain
+from .tokens import Encoder, is_plain, single_spaced
 
 LIMIT = 1024
-CACHE = 600_000
+#: A task's tables of words, pieces and pairs are emptied when they hold more than this together.
+CACHE = 1_200_000
 
 
 class PrefixTable:
@@ -116,11 +117,11 @@ class PrefixTable:
             return 0
         if not is_plain(text):
             return len(self.encoder.encode(text))
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n":
-            return self._pieces(text)
-        if len(self.of_word) > CACHE:
+        if len(self.of_word) + len(self.of_piece) + len(self.stays) > CACHE:
             for kept in (self.of_word, self.of_piece, self.stays):
                 kept.clear()
+        if not single_spaced(text):
+            return self._pieces(text)
         of_word = self.of_word
         first, *rest = text.replace("\n", " \n").split(" ")
         got = list(map(of_word.get, rest))

@@ -12,8 +12,6 @@ import base64
 import os
 import re
 
-import numpy as np
-
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 #: Characters on which both libraries agree for certain: ASCII, Latin letters, general punctuation.
@@ -30,6 +28,10 @@ def is_plain(text: str) -> bool:
     return _PLAIN.fullmatch(text) is not None and SPECIAL not in text
 
 
+def single_spaced(text: str) -> bool:
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n")
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does for ``path``, without added special tokens."""
 
