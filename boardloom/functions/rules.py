@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -67,9 +68,14 @@ def shrink(successes: Column, attempts: Column, prior: Column, strength: float)
 
 
 def client_patch(version: Column) -> Column:
-    """``Version X.Y...`` to ``X.Y``; other text stays."""
-    found = F.regexp_extract(version, "(\\d+)\\.(\\d+)", 0)
-    return F.when(version.isNull(), None).when(found == "", version).otherwise(found)
+    """``Version X.Y...`` to ``X.Y``; other text stays, empty text is null."""
+    found = F.regexp_extract(version, "Version\\s+(\\d+\\.\\d+)", 1)
+    return F.when(F.coalesce(version, F.lit("")) == "", None).when(found == "", version).otherwise(found)
+
+
+def is_masked(version: Column) -> Column:
+    """Whether a version text hides its numbers behind question marks."""
+    return version.contains("?.?.?.?") & (F.regexp_extract(version, "Version\\s+(\\d+\\.\\d+)", 1) == "")
 
 
 def window_suffix(patch: Column, at: Column, cutoffs: Column) -> Column:
@@ -85,17 +91,114 @@ def patch_order(patch: Column) -> Column:
     return F.struct(number(1).alias("major"), number(2).alias("minor"), part(3).alias("suffix"))
 
 
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition holds ASCII: to one character, and to several."""
+    one, several = {}, {}
+    for point in range(0x80, 0x10000):
+        c = chr(point)
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()
+        plain = "".join(x for x in plain if x.isalnum())
+        if len(plain) == 1:
+            one[c] = plain
+        elif plain:
+            several[c] = plain
+    return one, several
+
+
+_ONE, _SEVERAL = _decompositions()
+
+
 def name_key(text: Column) -> Column:
-    """Lower-case letters and digits only, Latin accents folded."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(plain, "[^a-z0-9]", "")
+    """Lower-case ASCII letters and digits only, after compatibility decomposition; null is empty."""
+    # few texts hold a character that stands for several letters
+    folds = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    long = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(folds[c], c)), "")
+    text = F.when(text.rlike(f"[{''.join(_SEVERAL)}]"), long).otherwise(text)
+    plain = F.lower(F.translate(text, "".join(_ONE), "".join(_ONE.values())))
+    return F.coalesce(F.regexp_replace(plain, "[^a-z0-9]", ""), F.lit(""))
+
+
+#: fixed format: set and item prefixes, form suffixes and trailing digits of raw ids
+ID_NOISE = "^(?:TFT\\d*_Item_|TFT\\d*_|DA_\\d*_?)|(?:_(?:AD|AP|Base))$|\\d+$"
 
 
 def id_key(identifier: Column) -> Column:
-    """Set prefixes, form suffixes and trailing digits off, then :func:`name_key`."""
-    bare = F.regexp_replace(identifier, "^[A-Za-z]+[0-9]*_", "")
-    bare = F.regexp_replace(bare, "_[A-Za-z]+$", "")
-    return name_key(F.regexp_replace(bare, "[0-9]+$", ""))
+    """:func:`name_key` of an id without its noise, which may stand in three layers."""
+    for _ in range(3):
+        identifier = F.regexp_replace(identifier, ID_NOISE, "")
+    return name_key(identifier)
+
+
+def item_kind(item: Column, component: Column, known: Column) -> Column:
+    """artifact, radiant, emblem, component, standard or unknown, by the id's parts and the dimension."""
+    named = F.when(item.rlike("(?:^|_)Artifact(?:_|$)"), "artifact").when(item.endswith("Radiant"), "radiant").when(item.contains("Emblem"), "emblem")
+    return named.when(F.coalesce(component, F.lit(False)), "component").when(F.coalesce(known, F.lit(False)), "standard").otherwise("unknown")
+
+
+NORMAL_KINDS = ("standard", "emblem")
+
+
+def is_normal_build(kinds: Column) -> Column:
+    """Every item of a row is of a kind that a player can craft."""
+    return (F.size(kinds) > 0) & F.forall(kinds, lambda k: k.isin(*NORMAL_KINDS))
+
+
+def readable_id(identifier: Column) -> Column:
+    """Words of an id: prefixes off, parted at underscores and capitals, small words in lower case."""
+    text = F.regexp_replace(identifier, "^(?:DA_|TFT\\d*_)(?:Item_)?(?:\\d+_)?", "")
+    text = F.regexp_replace(F.regexp_replace(text, "(?:^|_)Artifact_", ""), "Radiant$", "")
+    text = F.regexp_replace(F.translate(text, "_", " "), "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    shown = F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin("Of", "The", "And", "A", "An", "To", "In"), F.lower(w)).otherwise(w)), " ")
+    return F.when(shown == "", identifier).otherwise(shown)
+
+
+def tie_hash(seed: int, *keys: Column) -> Column:
+    """A seeded order for ties: the same keys and seed always give the same number."""
+    return F.xxhash64(F.lit(seed), *keys)
+
+
+def idea_signature(*parts: tuple[str, Column]) -> Column:
+    """``name=a,b;...`` of sorted distinct keys; empty parts are left out."""
+    shown = [F.when(F.size(keys) > 0, F.concat(F.lit(f"{name}="), F.array_join(F.array_sort(F.array_distinct(keys)), ","))) for name, keys in parts]
+    return F.concat_ws(";", *shown)
+
+
+def json_items(text: Column) -> Column:
+    """A JSON text list as an array; null or unreadable text is an empty one."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def banded(value: Column, edges: list[tuple[str, float]], last: str) -> Column:
+    """The label of the first edge that ``value`` does not exceed, else ``last``."""
+    out = F.lit(last)
+    for label, edge in reversed(edges):
+        out = F.when(value <= edge, label).otherwise(out)
+    return out
+
+
+#: fixed values: size bands of groups
+SIZE_EDGES = [("1", 1), ("2-4", 4), ("5-9", 9), ("10-29", 29), ("30-59", 59), ("60-189", 189)]
+
+
+def size_band(n: Column) -> Column:
+    return banded(n, SIZE_EDGES, "190+")
+
+
+def tail_band(below: Column, n: Column) -> Column:
+    """How many boards of ``n`` lie below the threshold: none, one, or a share."""
+    share = banded(below / n, [("2+, <= 1%", 0.01), ("2+, (1%, 5%]", 0.05), ("2+, (5%, 10%]", 0.10)], "2+, > 10%")
+    return F.when(below == 0, "0").when(below == 1, "exactly 1").otherwise(share)
+
+
+def is_supported(games: Column, without: Column, top4: Column, top4_without: Column, delta: Column, least: int = 10) -> Column:
+    """Both sides sampled, a positive adjusted difference and a higher raw rate."""
+    return ~is_limited(games, without, least) & (without > 0) & (F.coalesce(delta, F.lit(0.0)) > 0) & (top4 > F.coalesce(top4_without, F.lit(0.0)))
+
+
+def is_limited(games: Column, without: Column, least: int = 10) -> Column:
+    """Whether the smaller side has fewer than ``least`` boards; a missing side does not count."""
+    return F.when(without > 0, F.least(games, without)).otherwise(games) < least
 
 
 def trait_count_key(trait: Column, count: Column) -> Column:
