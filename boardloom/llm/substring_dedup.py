@@ -7,14 +7,14 @@ Documents can't be streamed against the index of every shard: that is quadratic.
 cut so that equal windows always meet in one shard. The anchor of a window is the smallest hash
 of its ``gram``-word runs; neighbouring windows with one anchor form a segment. An anchor that
 occurs once in the corpus can't lie in a repeated window, so its segments are done. Of the others
-only places and 128-bit digests are shuffled; equal segments collapse to their earliest place
-(partial aggregation, so thousands of copies cost one row each task). Each shard gets the words of
-its distinct segments once, builds an FM-index over them, and streams them against it: backward
-search over the wavelet matrix gives the matching statistics of every position up to ``width``,
-and where they reach it the suffix interval lists all places of the window, of which the earliest
-stays. An anchor with one distinct segment needs no search. An anchor with more distinct segments
-than fit a shard (a common passage in very many contexts) is split: its distinct segments become
-single windows, grouped by their digests.
+only places and digests are shuffled; equal segments (anchor and 64-bit digest of the words) fall
+together on their earliest place by partial aggregation, so thousands of copies cost one row each
+task. Each shard gets the words of its distinct segments once, builds an FM-index over them, and
+streams them against it: backward search over the wavelet matrix gives the matching statistics of
+every position up to ``width``, and where they reach it the suffix interval lists all places of
+the window, of which the earliest stays. An anchor with one distinct segment needs no search. An
+anchor with more distinct segments than a shard takes (a common passage in very many contexts) is
+split: its distinct segments become single windows, grouped by 128-bit digests.
 
 Cases: null, empty or blank text has no words. Rows that repeat a doc_id are told apart by their
 text, the smaller hash being earlier; equal rows are one document and get equal results. Rows
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +51,33 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-def segments(words: list[bytes], hashes: WordHashes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first word, number of words) of each segment of a document."""
-    n = len(words)
+class RollingDigests:
+    """Digests of any runs of words from two prefix sums of word hashes times powers of an odd base."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self):
+        self.powers = [np.ones(1, np.uint64) for _ in self.BASES]
+        self.inverse = [np.ones(1, np.uint64) for _ in self.BASES]
+
+    def of(self, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: int = 0) -> np.ndarray:
+        n, base = len(own), self.BASES[which]
+        if len(self.powers[which]) <= n:
+            for table, factor in ((self.powers, base), (self.inverse, pow(base, -1, 1 << 64))):
+                steps = np.full(2 * n + 1, factor, np.uint64)
+                steps[0] = 1
+                table[which] = np.multiply.accumulate(steps)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * self.powers[which][:n])))
+        got = (sums[starts + sizes] - sums[starts]) * self.inverse[which][starts]
+        return splitmix(got + sizes.astype(np.uint64)).view(np.int64)
+
+
+def segments(own: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first word, number of words) of each segment of a document, from its word hashes."""
+    n = len(own)
     if n < width:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    own = hashes.of(words)
     mixed = np.zeros(n - gram + 1, np.uint64)
     for j in range(gram):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[j : n - gram + 1 + j]
@@ -71,48 +90,28 @@ def segments(words: list[bytes], hashes: WordHashes, width: int, gram: int) -> t
     return least[cut].view(np.int64), cut, ends - cut + width - 1
 
 
-def _document_rows(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
-    """One row for each document: word count, digest of the whole word list, its segments."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                words = split_words(text)
-                anchors, starts, sizes = segments(words, hashes, width, gram)
-                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), anchors, starts, sizes))
-            out = pd.DataFrame(rows, columns=["n_words", "whole_sha256", "anchors", "starts", "sizes"])
-            out.insert(0, "doc", batch["doc"].to_numpy())
-            out.insert(1, "twin", batch["twin"].to_numpy())
-            yield out
-
-    return _keyed(docs, id_col, text_col).mapInPandas(scan, "doc long, twin long, n_words long, whole_sha256 string, anchors array<long>, starts array<int>, sizes array<int>")
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
 
 
-def _halves(digests: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(d.to_bytes(16, "little") for d in digests), np.int64).reshape(-1, 2)
-    return raw[:, 0], raw[:, 1]
-
-
-def _with_digests(candidates: DataFrame) -> DataFrame:
-    """(doc, twin, anchor, start, size, a, b): candidate segments with the digest (a, b) of their words."""
+def _document_rows(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
+    """One row for each document: word count, digest of the whole word list, its segments."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, digests = WordHashes(), RollingDigests()
         for batch in batches:
-            for doc, twin, text, spans in zip(batch["doc"], batch["twin"], batch["text"], batch["spans"]):
+            rows = []
+            for text in batch["text"]:
                 words = split_words(text)
-                rows = [(s["anchor"], s["start"], s["size"]) for s in spans]
-                out = pd.DataFrame(rows, columns=["anchor", "start", "size"])
-                a, b = _halves([xxhash.xxh3_128_intdigest(b" ".join(words[i : i + n])) for _, i, n in rows])
-                yield out.assign(doc=doc, twin=twin, a=a, b=b)
+                own = hashes.of(words)
+                anchors, starts, sizes = segments(own, width, gram)
+                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), anchors, starts, sizes, digests.of(own, starts, sizes)))
+            out = pd.DataFrame(rows, columns=["n_words", "whole_sha256", "anchors", "starts", "sizes", "digests"])
+            yield out.assign(doc=batch["doc"].to_numpy(), twin=batch["twin"].to_numpy())
 
-    return candidates.mapInPandas(cut, "doc long, twin long, anchor long, start int, size int, a long, b long")
+    schema = "doc long, twin long, n_words long, whole_sha256 string, anchors array<long>, starts array<int>, sizes array<int>, digests array<long>"
+    return _keyed(docs, id_col, text_col).mapInPandas(scan, schema)
 
 
 def _contents(chosen: DataFrame, width: int) -> DataFrame:
@@ -120,20 +119,26 @@ def _contents(chosen: DataFrame, width: int) -> DataFrame:
 
     (doc, twin, anchor, start, content, a, b): content is null in a window's row.
     """
+    columns = ["doc", "twin", "anchor", "start", "content", "a", "b"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, digests = WordHashes(), RollingDigests()
         for batch in batches:
-            for doc, twin, text, spans in zip(batch["doc"], batch["twin"], batch["text"], batch["picked"]):
-                words, rows = split_words(text), []
-                for s in spans:
-                    i, n = s["start"], s["size"]
-                    if s["hot"]:
-                        starts = range(i, i + n - width + 1)
-                        a, b = _halves([xxhash.xxh3_128_intdigest(b" ".join(words[j : j + width])) for j in starts])
-                        rows += [(s["anchor"], j, None, x, y) for j, x, y in zip(starts, a, b)]
+            rows: list[tuple] = []
+            for doc, twin, text, anchors, starts, sizes, hot in zip(*[batch[c] for c in ("doc", "twin", "text", "anchors", "starts", "sizes", "hot")]):
+                words = split_words(text)
+                own = hashes.of(words) if hot.any() else None
+                for anchor, i, n, split in zip(anchors.tolist(), starts.tolist(), sizes.tolist(), hot.tolist()):
+                    if split:
+                        at, w = np.arange(i, i + n - width + 1), np.full(n - width + 1, width)
+                        found = zip(at.tolist(), digests.of(own, at, w).tolist(), digests.of(own, at, w, 1).tolist())
+                        rows += [(doc, twin, anchor, j, None, x, y) for j, x, y in found]
                     else:
-                        rows.append((s["anchor"], i, b" ".join(words[i : i + n]), 0, 0))
-                yield pd.DataFrame(rows, columns=["anchor", "start", "content", "a", "b"]).assign(doc=doc, twin=twin)
+                        rows.append((doc, twin, anchor, i, b" ".join(words[i : i + n]), 0, 0))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return chosen.mapInPandas(cut, "doc long, twin long, anchor long, start int, content binary, a long, b long")
 
@@ -174,24 +179,38 @@ def late_windows(contents: list[bytes], places: np.ndarray, width: int) -> list[
 
 
 def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans, twin), one row for each document.
+    """(doc_id, n_words, n_removed, kept_sha256, firsts, ends, twin), one row for each document.
 
-    ``spans`` lists the removed word ranges [first, end); twin is a hash of the text.
+    ``firsts`` and ``ends`` list the removed word ranges [first, end); twin is a hash of the text.
     """
     rows = staged(_document_rows(docs, id_col, text_col, width, gram))
-    parts = rows.select("doc", "twin", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("s")).select("doc", "twin", F.col("s.anchors").alias("anchor"), F.col("s.starts").alias("start"), F.col("s.sizes").alias("size"))
-    again = staged(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    wanted = parts.join(again, "anchor").groupBy("doc", "twin").agg(F.collect_set(F.struct("anchor", "start", "size")).alias("spans"))
-    candidates = staged_by(_keyed(docs, id_col, text_col).dropDuplicates(["doc", "twin"]).join(wanted, ["doc", "twin"]), "doc", "twin")
-
-    key = ["anchor", "a", "b"]
-    place = F.struct("doc", "twin", "start", "size")
-    texts = staged(_with_digests(candidates))
-    heads = staged(texts.groupBy(*key).agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("copies")))
+    # rows that repeat an id and its text are one document here
+    zipped = F.explode(F.arrays_zip("anchors", "starts", "sizes", "digests")).alias("s")
+    parts = rows.where(F.size("anchors") > 0).select("doc", "twin", zipped).select("doc", "twin", F.col("s.anchors").alias("anchor"), F.col("s.digests").alias("digest"), F.col("s.starts").alias("start"), F.col("s.sizes").alias("size"))
+    key = ["anchor", "digest"]
+    place = F.struct("doc", "twin", "start")
+    heads = parts.groupBy(*key).agg(F.min(place).alias("head"), F.max(place).alias("last"), F.first("size").alias("size"))
+    heads = staged(heads.select(*key, "head", "size", (F.col("head") != F.col("last")).alias("repeated")))
     several = staged(heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    picked = heads.select("anchor", "head.*").join(several, "anchor").select("doc", "twin", F.struct("anchor", "start", "size", (F.col("n") > HOT_SEGMENTS).alias("hot")).alias("s"))
-    picked = picked.groupBy("doc", "twin").agg(F.collect_list("s").alias("picked"))
-    contents = staged(_contents(candidates.drop("spans").join(picked, ["doc", "twin"]), width))
+
+    # the earliest copy of a segment may lose windows; every other copy loses all of it
+    again = staged(heads.where("repeated").select(*key, "head", "size"))
+    later = parts.drop("size").join(again, key).where(place != F.col("head"))
+
+    def spans(first, end):
+        return F.struct(first.cast("int").alias("first"), end.cast("int").alias("end")).alias("cut")
+
+    later = staged(later.select("doc", "twin", spans(F.col("start"), F.col("start") + F.col("size"))).groupBy("doc", "twin").agg(F.collect_list("cut").alias("cuts")))
+    picked = heads.select("anchor", "head.*", "size").join(several, "anchor").select("doc", "twin", F.struct("anchor", "start", "size", (F.col("n") > HOT_SEGMENTS).alias("hot")).alias("s"))
+    picked = staged(picked.groupBy("doc", "twin").agg(F.collect_list("s").alias("picked")))
+    discard(heads, several, again)
+
+    # the texts that are cut or searched, dealt once for both
+    touched = later.select("doc", "twin").union(picked.select("doc", "twin")).distinct()
+    texts = staged_by(_keyed(docs, id_col, text_col).join(touched, ["doc", "twin"]), "doc", "twin")
+    each = lambda c: F.expr(f"transform(picked, s -> s.{c})")
+    asked = texts.join(picked, ["doc", "twin"]).select("doc", "twin", "text", each("anchor").alias("anchors"), each("start").alias("starts"), each("size").alias("sizes"), each("hot").alias("hot"))
+    contents = staged(_contents(asked, width))
 
     whole = contents.where("content is not null")
     load = whole.agg(F.sum(F.length("content"))).first()[0] or 0
@@ -204,67 +223,58 @@ def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return shard[["doc", "twin", "start"]].assign(late=late)
 
     found = dealt.groupBy("shard").applyInPandas(search, "doc long, twin long, start int, late array<int>").where(F.size("late") > 0)
-    first = found.select("doc", "twin", F.transform("late", lambda o: F.struct((F.col("start") + o).alias("first"), (F.col("start") + o + width).alias("end"))).alias("cut"))
-
-    def spans(first, end):
-        return F.array(F.struct(first.alias("first"), end.alias("end"))).alias("cut")
+    first = found.select("doc", "twin", F.transform("late", lambda o: spans(F.col("start") + o, F.col("start") + o + width)).alias("cuts"))
 
     windows = contents.where("content is null").select("doc", "twin", "start", "a", "b")
-    at = F.struct("doc", "twin", "start")
-    earliest = staged(windows.groupBy("a", "b").agg(F.min(at).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    single = windows.join(earliest, ["a", "b"]).where(at != F.col("least")).select("doc", "twin", spans(F.col("start"), F.col("start") + width))
-
-    # the earliest copy of a segment loses its late windows; every other copy loses all of it
-    repeated = staged(heads.where("copies > 1").drop("copies"))
-    later = texts.join(repeated, key).where(place != F.col("head")).select("doc", "twin", spans(F.col("start"), F.col("start") + F.col("size")))
-    cuts = staged(first.unionByName(single).unionByName(later).groupBy("doc", "twin").agg(F.flatten(F.collect_list("cut")).alias("cut")))
-    discard(again, texts, heads, several, contents, earliest, repeated)
+    earliest = staged(windows.groupBy("a", "b").agg(F.min(place).alias("least"), F.max(place).alias("last")).where("least <> last").drop("last"))
+    single = windows.join(earliest, ["a", "b"]).where(place != F.col("least")).select("doc", "twin", F.array(spans(F.col("start"), F.col("start") + width)).alias("cuts"))
+    cuts = first.unionByName(single).unionByName(later).groupBy("doc", "twin").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cuts = staged(cuts.select("doc", "twin", F.expr("transform(cuts, c -> c.first)").alias("firsts"), F.expr("transform(cuts, c -> c.end)").alias("ends")))
+    discard(picked, contents, earliest, later)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, cut in zip(batch["text"], batch["cut"]):
+            for text, firsts, ends in zip(batch["text"], batch["firsts"], batch["ends"]):
                 words = split_words(text)
                 gone = np.zeros(len(words) + 1, np.int64)
-                np.add.at(gone, [c["first"] for c in cut], 1)
-                np.add.at(gone, [c["end"] for c in cut], -1)
+                np.add.at(gone, firsts, 1)
+                np.add.at(gone, ends, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]))
-            got = pd.DataFrame(out, columns=["n_removed", "kept_sha256", "spans"])
-            got.insert(0, "doc", batch["doc"].to_numpy())
-            got.insert(1, "twin", batch["twin"].to_numpy())
-            yield got
-
-    changed = candidates.drop("spans").join(cuts, ["doc", "twin"]).mapInPandas(apply, "doc long, twin long, n_removed long, kept_sha256 string, spans array<struct<first int, end int>>")
-    changed = staged(changed)
-    discard(candidates, cuts)
+                out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), edge[::2], edge[1::2]))
+            got = pd.DataFrame(out, columns=["n_removed", "kept_sha256", "firsts", "ends"])
+            yield got.assign(doc=batch["doc"].to_numpy(), twin=batch["twin"].to_numpy())
+
+    changed = texts.join(cuts, ["doc", "twin"]).mapInPandas(apply, "doc long, twin long, n_removed long, kept_sha256 string, firsts array<int>, ends array<int>")
+    changed = staged(changed.dropDuplicates(["doc", "twin"]))
+    discard(texts, cuts)
     out = rows.select("doc", "twin", "n_words", "whole_sha256").join(changed, ["doc", "twin"], "left")
     doc = F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
-    return out.select(doc, "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "spans", "twin")
+    return out.select(doc, "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "firsts", "ends", "twin")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` whose texts are their kept words joined by one space; untouched texts stay as they are."""
     cut = removed_words(docs, id_col=id_col, text_col=text_col, width=width).where("n_removed > 0")
     doc = F.coalesce("doc_id", F.lit(LAST_ID)).alias("__doc")
-    found = staged(cut.select(doc, F.col("twin").alias("__twin"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__twin"]))
+    found = staged(cut.select(doc, F.col("twin").alias("__twin"), F.col("firsts").alias("__firsts"), F.col("ends").alias("__ends")).dropDuplicates(["__doc", "__twin"]))
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def kept(texts: pd.Series, firsts: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
-        for text, own in zip(texts, spans):
-            if own is None:
+        for text, own_firsts, own_ends in zip(texts, firsts, ends):
+            if own_firsts is None:
                 out.append(text)
                 continue
             words, at, left = split_words(text), 0, []
-            for s in own:
-                left += words[at : s["first"]]
-                at = s["end"]
+            for first, end in zip(own_firsts, own_ends):
+                left += words[at:first]
+                at = end
             out.append(b" ".join(left + words[at:]).decode())
         return pd.Series(out)
 
     keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__twin": F.xxhash64(F.col(text_col).cast("string"))})
     joined = keyed.join(found, ["__doc", "__twin"], "left")
-    return joined.withColumn(text_col, kept(F.col(text_col).cast("string"), F.col("__spans"))).select(*docs.columns)
+    return joined.withColumn(text_col, kept(F.col(text_col).cast("string"), F.col("__firsts"), F.col("__ends"))).select(*docs.columns)
