@@ -63,7 +63,7 @@ def carry_stats(participants: DataFrame, units: DataFrame, windows: DataFrame, *
         F.avg(F.when(miss, F.col("placement"))).alias("avg_place_miss"),
     )
     n = F.col("commitment_games")
-    got = got.where(n >= min_samples).join(F.broadcast(totals), "balance_window")
+    got = got.where(n >= min_samples).join(totals, "balance_window")
     got = got.withColumns(
         {
             "usage_rate": n / F.col("observable"),
@@ -237,7 +237,7 @@ def opportunity_scores(stats: DataFrame, partners: DataFrame, items: DataFrame)
     """Eight components in 0..1 and their weighted sum for every carry."""
     base = population_baseline(stats)
     best = partners.groupBy(*CARRY).agg(F.max("score").alias("best_partner"))
-    rows = stats.join(F.broadcast(base), "balance_window").join(best, CARRY, "left").join(item_flexibility(items), CARRY, "left")
+    rows = stats.join(base, "balance_window").join(best, CARRY, "left").join(item_flexibility(items), CARRY, "left")
     b = F.col("baseline")
     prior = F.when(b > 0, b).otherwise(0.5)
     ceiling = F.when(F.col("hits") > 0, shrink(F.col("hit_top4s"), F.col("hits"), prior, 10.0)).otherwise(F.col("top4_rate"))

@@ -1,14 +1,14 @@
 """Exact line-ups, one-slot alternatives and flex patterns.
 
 A line-up is the sorted multiset of a board's unit ids, as an array. Alternatives are found by an
-equi join on delete-one signatures, not by comparing all pairs. The greedy choice of flex shells
-runs on promoted line-ups only, one (window, level) at a time.
+equi join on delete-one signatures, not by comparing all pairs. The choice of flex shells runs on
+promoted line-ups only; a shell never joins line-ups of two sizes, so a task holds those of one
+(window, level, carry, size).
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,79 +56,111 @@ def lineup_carries(boards: DataFrame, promoted: DataFrame) -> DataFrame:
     return rows.select(*AT, "lineup", F.explode_outer("carries").alias("carry")).groupBy(*AT, "lineup", "carry").agg(F.count(F.lit(1)).alias("boards"))
 
 
-def _signatures(promoted: DataFrame) -> DataFrame:
+def _signatures(promoted: DataFrame, keys: list[str]) -> DataFrame:
     """Each line-up with every distinct unit left out once."""
-    rows = promoted.select(*AT, "lineup", "boards", F.posexplode("lineup").alias("i", "unit"))
+    rows = promoted.select(*keys, "lineup", "boards", F.posexplode("lineup").alias("i", "unit"))
     shell = F.concat(F.slice("lineup", 1, F.col("i")), F.slice("lineup", F.col("i") + 2, F.size("lineup")))
-    return rows.withColumn("shell", shell).select(*AT, "lineup", "boards", "unit", "shell").dropDuplicates([*AT, "lineup", "unit"])
+    return rows.withColumn("shell", shell).select(*keys, "lineup", "boards", "unit", "shell").dropDuplicates([*keys, "lineup", "unit"])
 
 
 def one_slot_alternatives(promoted: DataFrame, protected: str | None = None) -> DataFrame:
-    """(window, level, lineup, out_unit, in_unit, other, other_boards) for pairs that differ by one copy."""
-    sig = _signatures(promoted)
-    if protected is not None:
-        sig = sig.where((F.col("unit") != protected) & F.array_contains("shell", protected))
-    other = sig.select(*AT, "shell", F.col("lineup").alias("other"), F.col("boards").alias("other_boards"), F.col("unit").alias("in_unit"))
-    pairs = sig.join(other, [*AT, "shell"]).where(F.col("lineup") != F.col("other"))
-    return pairs.select(*AT, "lineup", F.col("unit").alias("out_unit"), "in_unit", "other", "other_boards")
-
-
-def _greedy(rows: pd.DataFrame, protected: str | None) -> list[tuple]:
-    """(pattern, lineup, shell, flex) by the anchor rule, for one window and level."""
-    pool = [(tuple(x), int(n)) for x, n in zip(rows["lineup"], rows["boards"])]
-    pool.sort(key=lambda x: (-x[1], x[0]))
-    by_shell: dict[tuple, dict[tuple, tuple[str, int]]] = {}
-    for lineup, n in pool:
-        for unit in sorted(set(lineup) - {protected}):
-            left = list(lineup)
-            left.remove(unit)
-            if protected is None or protected in left:
-                by_shell.setdefault(tuple(left), {})[lineup] = (unit, n)
-    order = {lineup: i for i, (lineup, _) in enumerate(pool)}
-    free, out, pattern = dict(pool), [], 0
-    for lineup, _ in pool:
-        if lineup not in free:
+    """(window, level, [carry,] lineup, out_unit, in_unit, other, other_boards) for pairs that differ by one copy.
+
+    ``protected`` names a column with the carry of each row: its copies are never swapped.
+    """
+    keys = [*AT, *([protected] if protected else [])]
+    sig = _signatures(promoted, keys)
+    if protected:
+        sig = sig.where(F.col("unit") != F.col(protected))
+    other = sig.select(*keys, "shell", F.col("lineup").alias("other"), F.col("boards").alias("other_boards"), F.col("unit").alias("in_unit"))
+    pairs = sig.join(other, [*keys, "shell"]).where(F.col("lineup") != F.col("other"))
+    return pairs.select(*keys, "lineup", F.col("unit").alias("out_unit"), "in_unit", "other", "other_boards")
+
+
+def _shell_table(lineups: list[tuple], carry: str | None) -> pd.DataFrame:
+    """(at, unit, shell): every line-up less one copy of each of its units but the carry."""
+    rows = [(at, unit, lineup[: (i := lineup.index(unit))] + lineup[i + 1 :]) for at, lineup in enumerate(lineups) for unit in dict.fromkeys(lineup) if unit != carry]
+    return pd.DataFrame(rows, columns=["at", "unit", "shell"])
+
+
+def _assign_patterns(pool: pd.DataFrame, carry: str | None) -> pd.DataFrame:
+    """``pool`` in its order with pattern, shell, flex and place.
+
+    A pattern is the first line-up that is left, and of its shells with another line-up left the one
+    with the most line-ups, then boards, then the smallest; alone if there is none.
+    """
+    pool = pool.sort_values(["boards", "lineup"], ascending=[False, True], key=lambda c: c.map(tuple) if c.name == "lineup" else c).reset_index(drop=True)
+    table = _shell_table([tuple(x) for x in pool["lineup"]], carry)
+    sharing = {shell: part for shell, part in table.groupby("shell", sort=True) if len(part) > 1}
+    offers = table[table["shell"].isin(list(sharing))].groupby("at")["shell"].apply(list).to_dict()
+    boards, pattern = pool["boards"].to_numpy(), np.full(len(pool), -1)
+    out = pool.assign(shell=None, flex=None, place=0)
+    for first in range(len(pool)):
+        if pattern[first] >= 0:
             continue
-        best = None
-        for unit in sorted(set(lineup) - {protected}):
-            left = list(lineup)
-            left.remove(unit)
-            members = [m for m in by_shell.get(tuple(left), {}) if m in free]
-            if len(members) >= 2:
-                rank = (-len(members), -sum(free[m] for m in members), tuple(left))
-                best = min(best, (rank, members)) if best else (rank, members)
-        if best is None:
-            out.append((pattern, lineup, None, None, 0))
-            del free[lineup]
+        number = pattern.max() + 1
+        left = {s: sharing[s][pattern[sharing[s]["at"]] < 0] for s in offers.get(first, [])}
+        left = {s: part for s, part in left.items() if len(part) > 1}
+        if left:
+            shell = min(left, key=lambda s: (-len(left[s]), -boards[left[s]["at"]].sum(), s))
+            for place, (at, unit) in enumerate(left[shell].sort_values("at")[["at", "unit"]].itertuples(index=False)):
+                pattern[at] = number
+                out.at[at, "shell"], out.at[at, "flex"], out.at[at, "place"] = list(shell), unit, place
         else:
-            shell = best[0][2]
-            for place, m in enumerate(sorted(best[1], key=order.get)):
-                out.append((pattern, m, shell, next(iter((Counter(m) - Counter(shell)))), place))
-                del free[m]
-        pattern += 1
-    return out
+            pattern[first] = number
+    return out.assign(pattern=pattern)
 
 
 def board_patterns(promoted: DataFrame, protected: str | None = None) -> DataFrame:
-    """Each promoted line-up in one flex shell or alone: (window, level, pattern, lineup, shell, flex, place, boards)."""
+    """Each promoted line-up in one flex shell or alone: (window, level, [carry,] size, pattern, lineup, shell, flex, place, boards).
+
+    ``protected`` names a column with the carry of each row; pattern numbers count from 0 for each
+    (window, level, carry, size).
+    """
+    keys = [*AT, *([protected] if protected else []), "size"]
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        got = pd.DataFrame(_greedy(rows, protected), columns=["pattern", "lineup", "shell", "flex", "place"])
-        boards = {tuple(x): int(n) for x, n in zip(rows["lineup"], rows["boards"])}
-        got["boards"] = [boards[x] for x in got["lineup"]]
-        got["lineup"], got["shell"] = got["lineup"].map(list), got["shell"].map(lambda s: None if s is None else list(s))
-        for c in AT:
-            got[c] = rows[c].iloc[0]
-        return got[[*AT, "pattern", "lineup", "shell", "flex", "place", "boards"]]
+        got = _assign_patterns(rows, rows[protected].iloc[0] if protected else None)
+        return got[[*keys, "pattern", "lineup", "shell", "flex", "place", "boards"]]
 
     kinds = dict(promoted.dtypes)
-    schema = f"balance_window string, level {kinds['level']}, pattern long, lineup array<string>, shell array<string>, flex string, place long, boards long"
-    return promoted.select(*AT, "lineup", "boards").groupBy(*AT).applyInPandas(choose, schema)
+    extra = f"{protected} {kinds[protected]}, " if protected else ""
+    schema = f"balance_window string, level {kinds['level']}, {extra}size int, pattern long, lineup array<string>, shell array<string>, flex string, place long, boards long"
+    rows = promoted.withColumn("size", F.size("lineup")).select(*keys, "lineup", "boards")
+    return rows.groupBy(*keys).applyInPandas(choose, schema)
+
+
+def pattern_sums(patterns: DataFrame, carries: DataFrame) -> DataFrame:
+    """Boards, line-ups, anchor and carries of each pattern, in order of its boards.
+
+    ``carries`` is :func:`lineup_carries`; the lead is the carry on the most boards, ties to the
+    smaller id.
+    """
+    key = [*AT, "size", "pattern"]
+    sums = patterns.groupBy(*key).agg(F.sum("boards").alias("boards"), F.count(F.lit(1)).alias("members"), F.min_by("lineup", "place").alias("anchor"), F.first("shell").alias("shell"))
+    rows = patterns.select(*key, "lineup").join(carries.withColumnRenamed("boards", "n"), [*AT, "lineup"]).groupBy(*key, "carry").agg(F.sum("n").alias("n"))
+    named = F.col("carry").isNotNull()
+    held = rows.groupBy(*key).agg(
+        F.min_by(F.when(named, F.col("carry")), F.when(named, F.struct(-F.col("n"), "carry"))).alias("lead"),
+        F.count_if(named).alias("carries"),
+        F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("without_carry"),
+    )
+    return sums.join(held, key)
+
 
+def comp_rows(sums: DataFrame, costs: DataFrame, *, level: int | None = None, lead_costs: list[int] | None = None, limit: int | None = None) -> DataFrame:
+    """Patterns by level and the lead's cost, in order of boards; no filter changes a pattern.
 
-def pattern_sums(patterns: DataFrame) -> DataFrame:
-    """Boards and members of each pattern, with its anchor."""
-    return patterns.groupBy(*AT, "pattern").agg(F.sum("boards").alias("boards"), F.count(F.lit(1)).alias("members"), F.min_by("lineup", "place").alias("anchor"), F.first("shell").alias("shell"))
+    ``costs`` is (character_id, cost); ``limit`` is a report's length for each window.
+    """
+    rows = sums.join(costs.select(F.col("character_id").alias("lead"), F.col("cost").alias("lead_cost")), "lead", "left")
+    if level is not None:
+        rows = rows.where(F.col("level") == level)
+    if lead_costs:
+        rows = rows.where(F.col("lead_cost").isin(lead_costs))
+    order = Window.partitionBy("balance_window").orderBy(F.desc("boards"), "level", "anchor")
+    rows = rows.withColumn("place", F.row_number().over(order))
+    return rows.where(F.col("place") <= limit) if limit else rows
 
 
 def distribution(rows: DataFrame, group: list[str], value: Column, usable: Column) -> DataFrame:
@@ -144,10 +176,19 @@ def lineup_difference(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("difference", F.array_sort(F.transform(F.array_except(tagged("a"), tagged("b")), lambda s: s["u"])))
 
 
-def comp_name(lineup: Column, lead: Column, most: int = 3) -> Column:
-    """Lead first, then distinct units with copies as ``x2``, then ``+ N`` for the rest."""
-    rest = F.array_sort(F.array_distinct(F.filter(lineup, lambda u: u != lead)))
-    label = lambda u: F.concat(u, F.when(F.size(F.filter(lineup, lambda x: x == u)) > 1, F.concat(F.lit(" x"), F.size(F.filter(lineup, lambda x: x == u)).cast("string"))).otherwise(""))
-    shown = F.transform(F.slice(rest, 1, most), label)
-    more = F.size(rest) - most
-    return F.concat(F.array_join(F.concat(F.array(label(lead)), shown), ", "), F.when(more > 0, F.concat(F.lit(" + "), more.cast("string"))).otherwise(""))
+def comp_name(rows: DataFrame, dim: DataFrame, *, shown: int = 3) -> DataFrame:
+    """``rows`` (units, lead) with ``name``: the lead, then the dearest units by cost and name, copies as ``x2``, and how many copies are left.
+
+    ``dim`` is (character_id, name, cost); a unit it lacks shows its id and costs nothing.
+    """
+    parts = rows.select("units", "lead").distinct().withColumn("unit", F.explode("units"))
+    copies = parts.groupBy("units", "lead", "unit").agg(F.count(F.lit(1)).alias("n"))
+    named = copies.join(dim.select(F.col("character_id").alias("unit"), F.col("name").alias("text"), "cost"), "unit", "left")
+    text = F.coalesce("text", "unit")
+    label = F.when(F.col("n") > 1, F.concat(text, F.lit(" ×"), F.col("n").cast("string"))).otherwise(text)
+    entry = F.struct(~F.coalesce(F.col("unit") == F.col("lead"), F.lit(False)), -F.coalesce("cost", F.lit(0)), F.lower(text), F.col("unit"), label.alias("label"), F.col("n").alias("n"))
+    first = named.groupBy("units", "lead").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, shown).alias("first"))
+    rest = F.size("units") - F.aggregate("first", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    name = F.concat(F.array_join(F.transform("first", lambda x: x["label"]), " · "), F.when(rest > 0, F.concat(F.lit(" + "), rest.cast("string"))).otherwise(""))
+    found = first.withColumn("name", name).select(F.col("units").alias("__u"), F.col("lead").alias("__l"), "name")
+    return rows.join(found, F.expr("units = __u and lead <=> __l"), "left").drop("__u", "__l")

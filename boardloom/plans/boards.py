@@ -69,16 +69,55 @@ def one_slot_alternatives(b):
     return rows.select(*lu.AT, *_plus("lineup"), "out_unit", "in_unit", *_plus("other"), "other_boards")
 
 
+def _shape(carry):
+    """Bound line-ups hold six shapes, bound carries are 25 brands: a brand's number picks its shape."""
+    return F.element_at(F.array(*map(F.lit, _SHAPES)), F.regexp_extract(carry, "([0-9]+)", 1).cast("int") % 6 + 1)
+
+
+def _carry_lineups(b: Boards) -> DataFrame:
+    """Line-ups on at least FLOOR boards of a carry's shape at one level of a window."""
+    boards = _lineups(b).withColumn("carry", F.explode(F.array_distinct(F.transform("carries", _shape))))
+    return lu.exact_lineups(boards, min_boards=FLOOR, extra=["carry"])
+
+
+_SHAPE_SQL = "[" + ", ".join(f"'{s}'" for s in _SHAPES) + "][CAST(regexp_extract(character_id, '([0-9]+)', 1) AS INTEGER) % 6 + 1]"
+
+
+@query(
+    "j12_carry_alternatives",
+    f", {LINEUP_SQL}, held AS (SELECT DISTINCT match_id, participant_index, {{shape}} AS carry FROM units WHERE committed), kept AS (SELECT balance_window, level, carry, lineup, count(*) AS boards FROM boards JOIN held USING (match_id, participant_index) GROUP BY ALL HAVING count(*) >= {FLOOR}), "
+    f"split AS (SELECT *, string_split(lineup, '+') AS units FROM kept), pairs AS (SELECT p.balance_window, p.level, p.carry, p.lineup, q.lineup AS other, q.boards AS other_boards, {_DIFFS} FROM split p JOIN split q ON p.balance_window = q.balance_window AND p.level = q.level AND p.carry = q.carry AND p.lineup <> q.lineup AND len(p.units) = len(q.units)) "
+    f"SELECT * FROM (SELECT balance_window, level, carry, lineup, {_OUT.format(v=1)} AS out_unit, {_OUT.format(v=-1)} AS in_unit, other, other_boards FROM pairs WHERE {' + '.join(f'abs(d{i})' for i in range(6))} = 2) WHERE out_unit <> carry AND in_unit <> carry".replace("{shape}", _SHAPE_SQL),
+)
+def carry_alternatives(b):
+    """Alternatives among the line-ups of each carry; the shape that stands for the carry is never swapped."""
+    rows = lu.one_slot_alternatives(_carry_lineups(b), "carry")
+    return rows.select(*lu.AT, "carry", *_plus("lineup"), "out_unit", "in_unit", *_plus("other"), "other_boards")
+
+
 @query("a14_board_patterns")
 def board_patterns(b):
-    rows = lu.board_patterns(lu.exact_lineups(_lineups(b), min_boards=FLOOR))
-    return rows.select(*lu.AT, "pattern", *_plus("lineup"), F.coalesce(F.array_join("shell", "+"), F.lit("")).alias("shell"), F.coalesce("flex", F.lit("")).alias("flex"), "place", "boards")
+    """Patterns of each carry's line-ups, the shape that stands for the carry protected."""
+    rows = lu.board_patterns(_carry_lineups(b), "carry")
+    return rows.select(*lu.AT, "carry", "size", "pattern", *_plus("lineup"), F.coalesce(F.array_join("shell", "+"), F.lit("")).alias("shell"), F.coalesce("flex", F.lit("")).alias("flex"), "place", "boards")
+
+
+def _comp_sums(b: Boards) -> DataFrame:
+    boards = _lineups(b)
+    promoted = lu.exact_lineups(boards, min_boards=FLOOR)
+    return lu.pattern_sums(lu.board_patterns(promoted), lu.lineup_carries(boards, promoted))
 
 
 @query("a15_comp_patterns")
 def comp_patterns(b):
-    sums = lu.pattern_sums(lu.board_patterns(lu.exact_lineups(_lineups(b), min_boards=FLOOR)))
-    return sums.select(*lu.AT, "pattern", *_plus("anchor"), F.coalesce(F.array_join("shell", "+"), F.lit("")).alias("shell"), "members", "boards")
+    return _comp_sums(b).select(*lu.AT, "size", "pattern", *_plus("anchor"), F.coalesce(F.array_join("shell", "+"), F.lit("")).alias("shell"), "members", "boards", F.coalesce("lead", F.lit("")).alias("lead"), "carries", "without_carry")
+
+
+@query("t05_comp_filters")
+def comp_filters(b):
+    costs = b.units.groupBy("character_id").agg(F.max("cost").alias("cost"))
+    rows = lu.comp_rows(_comp_sums(b), costs, level=7, lead_costs=[1, 2, 3], limit=20)
+    return rows.select(*lu.AT, "place", *_plus("anchor"), "boards", F.coalesce("lead", F.lit("")).alias("lead"), "lead_cost")
 
 
 @query("t04_lineup_order", f", {LINEUP_SQL} SELECT balance_window, level, lineup, boards, row_number() OVER (PARTITION BY balance_window, level ORDER BY boards DESC, string_split(lineup, '+')) AS place FROM promoted")
@@ -108,17 +147,29 @@ def distributions(b):
     return rounded(lu.distribution(_carries(b), ev.CARRY, F.col("level"), rules.valid_level(F.col("level"))))
 
 
-@query("u01_lineup_difference")
+@query(
+    "u01_lineup_difference",
+    f", {LINEUP_SQL}, split AS (SELECT *, string_split(lineup, '+') AS units FROM promoted), pairs AS (SELECT p.balance_window, p.level, p.lineup AS a, q.lineup AS b, {_DIFFS} FROM split p JOIN split q ON p.balance_window = q.balance_window AND p.level = q.level AND p.lineup <> q.lineup AND len(p.units) = len(q.units)) "
+    f"SELECT balance_window, level, a, b, {_OUT.format(v=1)} AS difference FROM pairs WHERE {' + '.join(f'abs(d{i})' for i in range(6))} = 2",
+)
 def lineup_difference(b):
     rows = lu.one_slot_alternatives(lu.exact_lineups(_lineups(b), min_boards=FLOOR)).select(*lu.AT, F.col("lineup").alias("a"), F.col("other").alias("b"))
     return lu.lineup_difference(rows).select(*lu.AT, *_plus("a", "b", "difference"))
 
 
-@query("f12_comp_name")
+_NAMED_SQL = f""", {LINEUP_SQL}, dim AS (SELECT DISTINCT p_type AS id, 'Name ' || reverse(p_type) AS name, length(p_type) % 5 AS cost FROM part WHERE p_type <> 'PROMO'),
+chosen AS (SELECT balance_window, level, lineup, string_split(lineup, '+') AS units FROM promoted), lead AS (SELECT *, units[1] AS lead FROM chosen),
+copies AS (SELECT balance_window, level, lineup, lead, unit, count(*) AS n FROM (SELECT *, unnest(units) AS unit FROM lead) GROUP BY ALL),
+ranked AS (SELECT *, coalesce(name, unit) AS text, row_number() OVER (PARTITION BY balance_window, level, lineup ORDER BY unit <> lead, -coalesce(cost, 0), lower(coalesce(name, unit)), unit) AS place FROM copies LEFT JOIN dim ON id = unit)
+SELECT balance_window, level, lineup AS shown, string_agg(text || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END, ' · ' ORDER BY place) FILTER (place <= 3) || CASE WHEN coalesce(sum(n) FILTER (place > 3), 0) > 0 THEN ' + ' || CAST(sum(n) FILTER (place > 3) AS BIGINT) ELSE '' END AS name FROM ranked GROUP BY ALL"""
+
+
+@query("f12_comp_name", _NAMED_SQL)
 def comp_name(b):
-    rows = lu.exact_lineups(_lineups(b), min_boards=FLOOR)
-    named = rows.withColumn("name", lu.comp_name(F.col("lineup"), F.element_at("lineup", 1)))
-    return named.select(*lu.AT, F.array_join("lineup", "+").alias("units"), "name")
+    kind = F.col("p_type")
+    dim = b.read("part").where("p_type <> 'PROMO'").select(kind.alias("character_id"), F.concat(F.lit("Name "), F.reverse(kind)).alias("name"), (F.length(kind) % 5).alias("cost")).distinct()
+    rows = lu.exact_lineups(_lineups(b), min_boards=FLOOR).select(*lu.AT, F.col("lineup").alias("units"), F.element_at("lineup", 1).alias("lead"))
+    return lu.comp_name(rows, dim).select(*lu.AT, F.array_join("units", "+").alias("shown"), "name")
 
 
 _DIRECTORY = ", " + CANONICAL_SQL + ", held AS (SELECT DISTINCT balance_window, character_id, match_id, participant_index, unnest(own_items) AS item FROM games)"

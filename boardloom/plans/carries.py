@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boardloom.operators import evidence as ev
 from boardloom.plans.registry import association_sql, query, rounded
 from boardloom.sources.binding import ITEM_SETS, Boards
+from boardloom.sources.shared import staged
 
 
 def _carries(b: Boards) -> DataFrame:
@@ -241,12 +242,24 @@ def opportunity_score(b):
     return rounded(_candidates(b).select(*ev.CARRY, "cost", *_PIECES))
 
 
-@query("a25_discovery_candidates")
+def _lists_sql() -> str:
+    pick = "SELECT '{kind}' AS kind, balance_window, character_id, key, games, top4_rate, top4_delta, confidence, row_number() OVER (PARTITION BY balance_window, character_id ORDER BY games DESC, key) AS place FROM scored QUALIFY place <= 5"
+    parts = (("partners", PARTNERS_SQL, 1), ("items", _SINGLES, 1), ("traits", _TRAITS, 2))
+    return " UNION ALL ".join(f"SELECT * FROM (WITH dummy AS (SELECT 1) {association_sql(sql, least, pick.format(kind=kind))})" for kind, sql, least in parts)
+
+
+@query("a25_discovery_candidates", _A24[: _A24.rindex("SELECT balance_window, character_id, cost,")].rstrip() + f", lists AS ({_lists_sql()}) SELECT s.balance_window, s.character_id, s.cost, round(CAST(s.opportunity AS DOUBLE), 6) + 0.0 AS opportunity, kind, place, key, games, round(top4_rate, 6) + 0.0 AS top4_rate, round(top4_delta, 6) + 0.0 AS top4_delta, round(confidence, 6) + 0.0 AS confidence FROM summed s JOIN lists l ON l.balance_window = s.balance_window AND l.character_id = s.character_id")
 def discovery_candidates(b):
-    carries = _carries(b)
-    items = ev.item_associations(carries, b.units, ITEM_SETS, 1, min_games=1)
-    partners = ev.partner_associations(carries, b.units)
+    """Candidates with their lists, a row for each entry of a list."""
+    carries = staged(_carries(b))
+    units = staged(b.units)
+    items = staged(ev.item_associations(carries, units, ITEM_SETS, 1, min_games=1))
+    partners = staged(ev.partner_associations(carries, units))
     traits = ev.trait_count_associations(carries, b.traits)
-    out = ev.discovery_candidates(_stats(b, max_cost=5, min_samples=10), partners, items, traits)
-    lists = [F.to_json(c).alias(c) for c in ("top_partners", "top_items", "top_traits")]
-    return rounded(out.select(*ev.CARRY, "cost", "commitment_games", "opportunity", *lists))
+    stats = ev.carry_stats(b.participants, units, b.windows, max_cost=5, min_samples=10)
+    out = ev.discovery_candidates(stats, partners, items, traits)
+    entries = None
+    for kind in ("partners", "items", "traits"):
+        rows = out.select(*ev.CARRY, "cost", "opportunity", F.lit(kind).alias("kind"), F.inline(f"top_{kind}"))
+        entries = rows if entries is None else entries.unionByName(rows)
+    return rounded(entries.withColumn("place", F.col("place").cast("long")))

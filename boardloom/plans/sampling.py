@@ -64,7 +64,19 @@ def seed_rotation(b):
     return sm.rotate(_ranked(b), seats).select("cohort", "player", "rank", F.coalesce("last_sampled", F.lit(-1)).alias("last"))
 
 
-@query("w08_seat_allocation")
+def _seat_rounds() -> str:
+    """The rounds of the allocation, one after the other; a sixth would change nothing."""
+    rounds = [f"r0 AS (SELECT cohort, count(*) AS room, CASE cohort {' '.join(f'WHEN {c!r} THEN {w}' for c, w in WEIGHTS.items())} END AS weight, CAST(0 AS BIGINT) AS k FROM chosen GROUP BY cohort)"]
+    for i in range(5):
+        rounds.append(f"""a{i} AS (SELECT *, k < room AS able, least((SELECT sum(room) // 2 FROM r0), (SELECT sum(room) FROM r0)) - sum(k) OVER () AS seats_left FROM r{i}),
+b{i} AS (SELECT *, CASE WHEN able THEN seats_left * weight END AS share, sum(CASE WHEN able THEN weight END) OVER () AS whole FROM a{i}),
+c{i} AS (SELECT *, coalesce(share // whole, 0) AS given, share % whole AS rest FROM b{i}),
+d{i} AS (SELECT *, row_number() OVER (ORDER BY rest DESC NULLS LAST, cohort) <= seats_left - sum(given) OVER () AS more FROM c{i}),
+r{i + 1} AS (SELECT cohort, room, weight, CAST(least(room, k + given + CASE WHEN able AND more THEN 1 ELSE 0 END) AS BIGINT) AS k FROM d{i})""")
+    return ", ".join(rounds)
+
+
+@query("w08_seat_allocation", f"WITH {ENTRIES_SQL}, {_seat_rounds()} SELECT cohort, k FROM r5", raw=True)
 def seat_allocation(b):
     """Half of all players as seats, so that small cohorts are full and the rest is split again."""
     ranked = _ranked(b)
