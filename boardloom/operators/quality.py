@@ -72,8 +72,17 @@ def leak_counts(df: DataFrame, markers: list[str], ids: DataFrame | None = None,
     return rows.groupBy("column").agg(count("secret"), count("player"), count("source_id"))
 
 
-def population_fingerprint(matches: DataFrame, buckets: int = 256) -> DataFrame:
-    """A digest of the sorted ids of each window that no task sees whole: sha256 over bucket digests."""
+#: Ids that one bucket of a fingerprint holds.
+BUCKET_IDS = 100_000
+
+
+def population_fingerprint(matches: DataFrame) -> DataFrame:
+    """A digest of the sorted ids of each window that no task sees whole: sha256 over bucket digests.
+
+    Buckets are ranges of a checksum, as many as the largest window needs.
+    """
+    most = matches.groupBy("balance_window").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = most // BUCKET_IDS + 1
     keyed = matches.select("balance_window", "match_id", F.pmod(F.crc32(F.col("match_id").cast("binary")), F.lit(buckets)).alias("b"))
     parts = keyed.groupBy("balance_window", "b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("match_id")), "\n"), 256).alias("d"))
     return parts.groupBy("balance_window").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"))

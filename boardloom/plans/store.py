@@ -11,11 +11,6 @@ def source_fingerprint(b):
     return quality.source_fingerprint(b.matches)
 
 
-@query("a26_broken_lobbies", "SELECT match_id, count(*) AS boards, count(DISTINCT placement) AS placements FROM participants GROUP BY ALL HAVING count(*) <> 8 OR count(DISTINCT placement) <> count(*)")
-def broken_lobbies(b):
-    return quality.broken_lobbies(b.participants)
-
-
 @query("j11_orphan_check", "SELECT match_id, participant_index, 'child' AS missing FROM participants p WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.match_id = p.match_id AND u.participant_index = p.participant_index)")
 def orphan_check(b):
     return quality.orphans(b.units, b.participants, ["match_id", "participant_index"])

@@ -1,82 +1,64 @@
-"""A table that a stream appends to, batch by batch.
+"""Streams into tables.
 
-A batch's rows go to a folder of their own, which a retry overwrites; the batch counts from the
-moment its row in ``runs`` is written. Readers join the two, so a batch that broke off is not
-seen and a repeated one is seen once.
+Appending streams use Spark's file sink: its metadata names the files of finished batches, so a
+batch that broke off is not seen and a repeated one is seen once. Rows that repeat a key are
+dropped within a watermark, so the state holds the keys of the delay and not of all time. Counts are
+streamed in update mode; each batch overwrites a folder of its own, and readers take the newest row
+of a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from boardloom.functions.rules import ItemSets, is_commitment
 
-@dataclass(frozen=True)
-class BatchTable:
-    spark: SparkSession
-    path: str
-    schema: StructType
-
-    def create(self) -> BatchTable:
-        """Write the empty batch -1, so that both folders can be read from the start."""
-        self.write(-1, self.spark.createDataFrame([], self.schema))
-        return self
-
-    def write(self, batch: int, rows: DataFrame) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/rows/batch_id={batch}")
-        done = self.spark.range(1).select(F.lit(batch).cast("long").alias("run_id"))
-        done.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/runs/batch_id={batch}")
+DELAY = "7 days"
 
-    def read(self, *, before: int | None = None) -> DataFrame:
-        """Rows of finished batches with their ``batch_id``; ``before`` leaves later batches out."""
-        kept = StructType([*self.schema.fields])
-        rows = self.spark.read.schema(kept.add("batch_id", "long")).option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows")
-        runs = self.spark.read.schema("run_id long").parquet(f"{self.path}/runs").select(F.col("run_id").alias("batch_id"))
-        found = rows.join(runs, "batch_id", "left_semi")
-        return found if before is None else found.where(F.col("batch_id") < before)
 
+def append_once(rows: DataFrame, path: str, checkpoint: str, *, key: list[str], at: str, delay: str = DELAY) -> None:
+    """Take in what has arrived, one row for each ``key``, then stop; the next call goes on from there.
 
-def append_new(table: BatchTable, key: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: rows whose ``key`` is not stored yet, one for each key.
-
-    Of rows that repeat a key in one batch any one is kept.
+    Rows that come later than ``delay`` behind the newest time seen are dropped, as they could no
+    longer be told from repeated ones.
     """
+    once = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(key)
+    stream = once.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        stored = table.read(before=batch_id).select(key)
-        table.write(batch_id, batch.dropDuplicates([key]).join(stored, key, "left_anti"))
 
-    return write
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of finished batches."""
+    return spark.read.schema(schema).parquet(path)
 
 
-def append_linked(table: BatchTable, stored: BatchTable, key: str, whole: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: rows whose ``key`` the other table holds, once for each ``whole`` key."""
+def live_counts(rows: DataFrame, keys: list[str], path: str, checkpoint: str, *, at: str, delay: str = DELAY, width: str = "1 day") -> None:
+    """Counts by time window and ``keys``; a window closes when the watermark passes it, later rows are dropped."""
+    window = F.window(at, width)
+    counts = rows.withWatermark(at, delay).groupBy(window, *keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.col("window.start").alias("starts"), *keys, "n")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = batch.dropDuplicates(whole).join(stored.read().select(key), key, "left_semi")
-        table.write(batch_id, known.join(table.read(before=batch_id).select(*whole), whole, "left_anti"))
-
-    return write
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
+    stream = counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
 
-def latest(table: BatchTable, key: list[str]) -> DataFrame:
-    """The newest row of each key: the state of an aggregate that was streamed in update mode."""
-    others = [c for c in table.schema.names if c not in key]
-    newest = table.read().groupBy(*key).agg(F.max_by(F.struct(*others), "batch_id").alias("r"))
-    return newest.select(*key, *[F.col(f"r.{c}").alias(c) for c in others])
 
+def newest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest count of each time window and key."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("starts", *keys).agg(F.max_by("n", "batch_id").alias("n"))
 
-def run_available(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Take in all that has arrived, then stop; the next call goes on from there."""
-    stream = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    stream.awaitTermination()
 
+def committed_units(boards: Column, sets: ItemSets) -> Column:
+    """The distinct committed champions of each board of a document, as one array of ids.
 
-def live_counts(rows: DataFrame, at: str, keys: list[str], *, width: str = "1 day", delay: str = "7 days") -> DataFrame:
-    """Counts by time window and ``keys`` of a stream, for update mode; later rows than ``delay`` are dropped."""
-    window = F.window(at, width)
-    return rows.withWatermark(at, delay).groupBy(window, *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("starts"), *keys, "n")
+    A document holds whole boards, so copies collapse without a group.
+    """
+    held = lambda u: F.when(F.size(u["itemNames"]) > 0, u["itemNames"]).otherwise(F.coalesce(u["item_names"], F.array().cast("array<string>")))
+    empty = F.array().cast("array<string>")
+    of_board = lambda p: F.array_distinct(F.transform(F.filter(p["units"], lambda u: is_commitment(held(u), sets)), lambda u: u["character_id"]))
+    return F.flatten(F.transform(boards, lambda p: F.coalesce(of_board(p), empty)))

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql.types import StructType
 
 from boardloom.operators import groups as gr
 from boardloom.operators import sampling as sm
@@ -13,16 +12,35 @@ from boardloom.sources.shared import shared_folder
 from boardloom.streaming import store as st
 
 
-def test_batches_count_once(spark):
-    table = st.BatchTable(spark, shared_folder(spark, "t"), StructType.fromDDL("id long, v string")).create()
-    assert table.read().count() == 0
-    write = st.append_new(table, "id")
-    write(spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], table.schema), 0)
-    write(spark.createDataFrame([(2, "x"), (3, "c")], table.schema), 1)
-    write(spark.createDataFrame([(2, "x"), (3, "c")], table.schema), 1)
-    broken = spark.createDataFrame([(9, "z")], table.schema)
-    broken.write.parquet(f"{table.path}/rows/batch_id=2")
-    assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, "a"), (2, "b"), (3, "c")]
+AT = "id long, at timestamp, v string"
+
+
+def arrived(spark, folder, rows):
+    """Rows of (id, day, v) as one file of a stream's source."""
+    values = ", ".join(f"({i}, timestamp'2026-01-{day:02d} 12:00:00', '{v}')" for i, day, v in rows)
+    spark.sql(f"SELECT * FROM VALUES {values} AS t(id, at, v)").select("id", "at", "v").selectExpr("CAST(id AS BIGINT) AS id", "at", "v").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_streams_count_once(spark):
+    source, path, checkpoint = (shared_folder(spark, x) for x in ("in", "out", "mark"))
+    batches = [[(1, 1, "a"), (2, 2, "b"), (2, 2, "b")], [(2, 3, "x"), (3, 20, "c")], [(9, 1, "late"), (4, 21, "d")], [(5, 22, "e"), (4, 22, "again")]]
+    for rows in batches:
+        arrived(spark, source, rows)
+        stream = spark.readStream.schema(AT).parquet(source)
+        st.append_once(stream, path, checkpoint, key=["id"], at="at", delay="7 days")
+    got = st.stored(spark, path, stream.schema).collect()
+    assert sorted((r.id, r.v) for r in got) == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
+    st.append_once(spark.readStream.schema(AT).parquet(source), path, checkpoint, key=["id"], at="at")
+    assert st.stored(spark, path, stream.schema).count() == 5
+
+
+def test_late_rows_do_not_count(spark):
+    source, path, checkpoint = (shared_folder(spark, x) for x in ("in", "out", "mark"))
+    for rows in ([(1, 1, "a"), (2, 1, "a")], [(3, 1, "a"), (4, 20, "b")], [(5, 1, "a"), (6, 19, "b")], [(7, 20, "b")]):
+        arrived(spark, source, rows)
+        st.live_counts(spark.readStream.schema(AT).parquet(source), ["v"], path, checkpoint, at="at", delay="7 days")
+    got = {(r.starts.day, r.v): r.n for r in st.newest_counts(spark, path, ["v"]).collect()}
+    assert got == {(1, "a"): 3, (20, "b"): 2, (19, "b"): 1}
 
 
 def test_documents_with_gaps(spark):
@@ -46,13 +64,21 @@ def test_midpoints(spark, n):
         assert sorted(r.rank for r in sm.evenly_spaced(rows, k).collect()) == want
 
 
-def test_seats():
-    order = ["a", "b", "c"]
-    assert sm.allocate_seats(10, {"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1, "c": 1}, order) == {"a": 4, "b": 3, "c": 3}
-    assert sm.allocate_seats(10, {"a": 2, "b": 100}, {"a": 8, "b": 2, "c": 5}, order) == {"a": 2, "b": 8, "c": 0}
-    assert sm.allocate_seats(50, {"a": 2, "b": 3}, {"a": 1, "b": 1}, order) == {"a": 2, "b": 3, "c": 0}
+@pytest.mark.parametrize(
+    "total, room, weights, want",
+    [
+        (10, {"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1, "c": 1}, {"a": 4, "b": 3, "c": 3}),
+        (10, {"a": 2, "b": 100}, {"a": 8, "b": 2, "c": 5}, {"a": 2, "b": 8, "c": 0}),
+        (50, {"a": 2, "b": 3}, {"a": 1, "b": 1}, {"a": 2, "b": 3, "c": 0}),
+        (0, {"a": 2}, {"a": 1}, {"a": 0, "b": 0, "c": 0}),
+    ],
+)
+def test_seats(spark, total, room, weights, want):
+    ranked = spark.createDataFrame([(c, i) for c, n in room.items() for i in range(n)], "cohort string, player long")
+    got = sm.cohort_seats(ranked, total, weights, ["a", "b", "c"])
+    assert {r.cohort: r.k for r in got.collect()} == want
     with pytest.raises(ValueError):
-        sm.allocate_seats(-1, {}, {}, order)
+        sm.cohort_seats(ranked, -1, weights, ["a"])
 
 
 def test_empty_ladder(spark):
