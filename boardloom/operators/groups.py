@@ -32,19 +32,43 @@ def mean_profiles(vectors: DataFrame, members: DataFrame, board: list[str], grou
     return sums.join(sizes, group).select(*group, "unit", (F.col("s") / F.col("n")).alias("weight"), (F.col("held") / F.col("n")).alias("presence"))
 
 
-def similarities(vectors: DataFrame, profiles: DataFrame, board: list[str], *, within: list[str], group: str, presence: float = 0.3, shared: int = 2) -> DataFrame:
-    """(board, group, similarity) for boards that share ``shared`` units with a group.
+def candidates(vectors: DataFrame, profiles: DataFrame, board: list[str], *, within: list[str], group: str, presence: float = 0.3, shared: int = 2) -> DataFrame:
+    """(board, group) that share ``shared`` units which are on at least ``presence`` of the group's boards.
 
-    Only units on at least ``presence`` of the group's boards count as shared; the similarity
-    itself (sum of minima over sum of maxima) takes all units.
+    An equi join on the units that count; nothing else of either side is touched before this.
     """
-    a = vectors.groupBy(*board).agg(F.sum("weight").alias("a"))
+    right = profiles.where(F.col("presence") >= presence).select(*within, group, "unit")
+    keys = list(dict.fromkeys([*within, *board]))
+    met = vectors.select(*keys, "unit").join(right, [*within, "unit"]).groupBy(*keys, group)
+    return met.agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= shared).drop("hits")
+
+
+def scored(pairs: DataFrame, vectors: DataFrame, profiles: DataFrame, board: list[str], *, within: list[str], group: str) -> DataFrame:
+    """``pairs`` with ``similarity``: the sum of minima over the sum of maxima, over all units of both sides."""
+    keys = list(dict.fromkeys([*within, *board]))
+    a = vectors.groupBy(*keys).agg(F.sum("weight").alias("a"))
     g = profiles.groupBy(*within, group).agg(F.sum("weight").alias("g"))
-    right = profiles.select(*within, group, "unit", F.col("weight").alias("w"), "presence")
-    met = vectors.join(right, [*within, "unit"]).groupBy(*dict.fromkeys([*within, *board]), group)
-    low = met.agg(F.sum(F.least("weight", "w")).alias("low"), F.count_if(F.col("presence") >= presence).alias("hits")).where(F.col("hits") >= shared)
-    score = F.round(F.col("low") / (F.col("a") + F.col("g") - F.col("low")), DIGITS)
-    return low.join(g, [*within, group]).join(a, board).select(*dict.fromkeys([*within, *board]), group, score.alias("similarity"))
+    right = profiles.select(*within, group, "unit", F.col("weight").alias("w"))
+    low = pairs.join(vectors, keys).join(right, [*within, group, "unit"]).groupBy(*keys, group).agg(F.sum(F.least("weight", "w")).alias("low"))
+    rows = pairs.join(low, [*keys, group], "left").join(a, keys, "left").join(g, [*within, group], "left").fillna(0.0, ["low", "a", "g"])
+    most = F.col("a") + F.col("g") - F.col("low")
+    return rows.select(*keys, group, F.when(most > 0, F.round(F.col("low") / most, DIGITS)).otherwise(0.0).alias("similarity"))
+
+
+def similarities(vectors: DataFrame, profiles: DataFrame, board: list[str], *, within: list[str], group: str, presence: float = 0.3, shared: int = 2) -> DataFrame:
+    """(board, group, similarity) of the candidates."""
+    pairs = candidates(vectors, profiles, board, within=within, group=group, presence=presence, shared=shared)
+    return scored(pairs, vectors, profiles, board, within=within, group=group)
+
+
+def blended(units: DataFrame, unit_profiles: DataFrame, traits: DataFrame, trait_profiles: DataFrame, board: list[str], *, within: list[str], group: str, trait_share: float = 0.25) -> DataFrame:
+    """Similarities of the candidates by units, with ``trait_share`` of them by active traits."""
+    pairs = candidates(units, unit_profiles, board, within=within, group=group)
+    keys = [*dict.fromkeys([*within, *board]), group]
+    by_unit = scored(pairs, units, unit_profiles, board, within=within, group=group)
+    by_trait = scored(pairs, traits, trait_profiles, board, within=within, group=group).withColumnRenamed("similarity", "t")
+    mixed = F.round((1 - trait_share) * F.col("similarity") + trait_share * F.col("t"), DIGITS)
+    return by_unit.join(by_trait, keys).select(*keys, mixed.alias("similarity"))
 
 
 def best_group(scores: DataFrame, board: list[str], *, group: str, least: float = 0.6) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of the library."""
 
-from boardloom.plans import arrivals, boards, calendar, carries, dimensions, exports, groups, play, reports, sampling, store  # noqa: F401
+from boardloom.plans import arrivals, boards, calendar, carries, dimensions, exports, families, groups, play, reports, sampling, store  # noqa: F401
 from boardloom.plans.registry import ORACLES, QUERIES
 
 
