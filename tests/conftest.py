@@ -37,14 +37,18 @@ def sf_dir() -> str:
     return DATA
 
 
-@pytest.fixture(scope="session")
-def duck(sf_dir):
-    con = duckdb.connect()
+def views(con, sf_dir):
+    """``con`` with a view on each table of ``sf_dir``."""
     for path in Path(sf_dir).glob("*.parquet"):
         con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    return views(duckdb.connect(), sf_dir)
+
+
 def cell(value):
     """A value that compares alike from Spark and from DuckDB."""
     if isinstance(value, float):

@@ -1,17 +1,33 @@
-"""Every query with an oracle gives the rows that DuckDB gives."""
+"""Every query with an oracle gives the rows that DuckDB gives; the others give rows of a stable schema.
 
+On the smallest tables, since there are many queries; TEST_SF_DIR names other ones.
+"""
+
+import os
+
+import duckdb
 import pytest
-from conftest import same_rows
+from conftest import same_rows, views
 
 from boardloom.plans import all_oracles, all_queries
 
 QUERIES, ORACLES = all_queries(), all_oracles()
+SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def small_duck():
+    return views(duckdb.connect(), SMALL)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, small_duck, name):
+    same_rows(QUERIES[name](spark, SMALL), small_duck.sql(ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, sf_dir, name):
-    frame = QUERIES[name](spark, sf_dir)
-    if name in ORACLES:
-        same_rows(frame, duck.sql(ORACLES[name]))
-    else:
-        assert frame.columns and frame.count() >= 0
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
+def test_query_without_sql(spark, name):
+    """Twice the same rows; what they are is held to brute force elsewhere."""
+    frame = QUERIES[name](spark, SMALL)
+    first = sorted(map(str, frame.collect()))
+    assert frame.columns and sorted(map(str, QUERIES[name](spark, SMALL).collect())) == first
