@@ -10,9 +10,11 @@ cut for a budget" and "is it over the limit" without encoding anything again.
 Tables of pieces are kept and shared between documents, so a piece is worked out once for each
 task; a document costs one look-up for each of its words.
 
-Cases: null text is empty and has no token. Special strings and texts beyond plain Latin are
-counted by the library (see :mod:`tokens`); their prefix tables are worked out by it as well.
-Repeated rows get equal results, one for each row.
+Texts of plain Latin are split by the pattern, all others by the library's own splitter, so that its
+Unicode tables hold; the pieces' tables are worked out here in both cases. The special string is one
+token wherever it stands, and pieces do not reach over it.
+
+Cases: null text is empty and has no token. Repeated rows get equal results, one for each row.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, is_plain, single_spaced
+from .tokens import SPECIAL, Encoder, is_plain, single_spaced
 
 LIMIT = 1024
+#: White space of the splitting pattern.
+WHITE = set(" \t\n\x0b\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 #: A task's tables of words, pieces and pairs are emptied when they hold more than this together.
 CACHE = 1_200_000
 
@@ -67,32 +71,55 @@ class PrefixTable:
                     break
         return counts
 
+    def pieces(self, text: str) -> list[str]:
+        """``text`` (without the special string) as the library splits it."""
+        if is_plain(text):
+            return self.split.findall(text)
+        return [text[a:b] for _, (a, b) in self.encoder.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _whole(self, text: str) -> int:
+        return sum(self.piece_counts(p.encode())[-1] for p in self.pieces(text))
+
     def text_counts(self, text: str) -> np.ndarray:
         """Tokens of ``text[:j]`` for every j from 0 to its length, as the library counts them."""
+        out, at, done = np.zeros(len(text) + 1, np.int64), 0, 0
+        for k, part in enumerate(text.split(SPECIAL)):
+            if k:
+                # a prefix that ends inside the special string has its start as ordinary text
+                for j in range(1, len(SPECIAL)):
+                    out[at + j] = before + self._whole(last + SPECIAL[:j])
+                at, done = at + len(SPECIAL), done + 1
+                out[at] = done
+            counts, last_start = self._part_counts(part)
+            out[at + 1 : at + 1 + len(part)] = done + counts[1:]
+            last, before = part[last_start:], done + int(counts[last_start])
+            at, done = at + len(part), done + int(counts[-1])
+        return out
+
+    def _part_counts(self, text: str) -> tuple[np.ndarray, int]:
+        """Tokens at every prefix of a text without the special string, and where its last piece starts."""
         out = np.zeros(len(text) + 1, np.int64)
-        if not is_plain(text):
-            for j in range(1, len(text) + 1):
-                out[j] = len(self.encoder.encode(text[:j]))
-            return out
-        done = at = 0
-        for piece in self.split.findall(text):
+        done = at = last = 0
+        for piece in self.pieces(text):
             counts = np.array(self.piece_counts(piece.encode()))
             out[at + 1 : at + 1 + len(piece)] = done + counts[np.cumsum([len(c.encode()) for c in piece])]
             if piece[0] == "'" and piece[1:].isalpha():  # a part of a contraction is split otherwise
                 for j in range(2, len(piece)):
-                    out[at + j] = done + sum(self.piece_counts(x.encode())[-1] for x in self.split.findall(piece[:j]))
+                    out[at + j] = done + self._whole(piece[:j])
             done += int(counts[-1])
-            at += len(piece)
+            last, at = at, at + len(piece)
         # a prefix that ends in white space has that whole run as its last piece
         at = 0
         while at < len(text):
             end = at
-            while end < len(text) and text[end].isspace():
+            while end < len(text) and text[end] in WHITE:
                 end += 1
             if end > at + 1:
-                out[at + 1 : end + 1] = out[at] + np.array(self.piece_counts(text[at:end].encode())[1:])
+                run = text[at:end]
+                counts = np.array(self.piece_counts(run.encode()))
+                out[at + 1 : end + 1] = out[at] + counts[np.cumsum([len(c.encode()) for c in run])]
             at = max(end, at + 1)
-        return out
+        return out, last
 
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of at most ``budget`` tokens."""
@@ -101,7 +128,7 @@ class PrefixTable:
 
     def _pieces(self, text: str) -> int:
         total = 0
-        for piece in self.split.findall(text):
+        for piece in self.pieces(text):
             if (n := self.of_piece.get(piece)) is None:
                 n = self.of_piece[piece] = self.piece_counts(piece.encode())[-1]
             total += n
@@ -115,11 +142,12 @@ class PrefixTable:
         """
         if not text:
             return 0
-        if not is_plain(text):
-            return len(self.encoder.encode(text))
         if len(self.of_word) + len(self.of_piece) + len(self.stays) > CACHE:
             for kept in (self.of_word, self.of_piece, self.stays):
                 kept.clear()
+        if not is_plain(text):
+            parts = text.split(SPECIAL)
+            return len(parts) - 1 + sum(map(self._pieces, parts))
         if not single_spaced(text):
             return self._pieces(text)
         of_word = self.of_word

@@ -1,7 +1,7 @@
 """Token ids of the byte-level vocabulary, exactly as the tokenizers library gives them.
 
 tiktoken holds the same vocabulary as ranks, splits with the same pattern and is several times
-faster, so it encodes texts of plain Latin letters and punctuation. All other texts (other
+faster, so it encodes texts of plain Latin letters and punctuation when ids are asked for. All other texts (other
 alphabets, where the two libraries' Unicode tables could differ, odd white space, the special
 string, which the library turns into its id) go to the tokenizers library whole.
 """

@@ -344,6 +344,21 @@ def test_truncation(odd):
         assert r["text"] == text[:longest]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Été naïve 日本語  \n\n don't 12३४ \u3000x <|endoftext|> y", "<|endoftext|>", "a!!<|endoftext|><|endoftext|>  <|endof", "we'll  \t it's\xa0\x85 <|endo", "ß\u200bẞ ﬁ 👩‍👩‍👧 ¼½ \x1c\x1f z", "  \u2003 a\u0301e\u0301 '"],
+)
+def test_prefix_tables_of_any_text(text):
+    """Every prefix as the library counts it, without asking the library."""
+    from boardloom.llm.token_counts import PrefixTable
+
+    table = PrefixTable()
+    library = table.encoder.library
+    n = [len(library.encode(text[:j], add_special_tokens=False).ids) for j in range(len(text) + 1)]
+    assert list(table.text_counts(text)) == n
+    assert [table.total(text[:j]) for j in range(len(text) + 1)] == n
+
+
 def test_token_caches_stay_bounded(monkeypatch):
     from boardloom.llm import token_counts as tc
 
