@@ -31,7 +31,7 @@ PER_LANGUAGE = 600
 MAX_LANGUAGES = 256
 CALIBRATION_SHARE = 0.2
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 1e-3
 SCALE = 100.0
 UNKNOWN = "und"
 CHUNK = 1 << 16
