@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +91,14 @@ def population_fingerprint(matches: DataFrame) -> DataFrame:
     return parts.groupBy("balance_window").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
 
 
-def source_fingerprint(matches: DataFrame) -> DataFrame:
-    """Match count, latest and summed time of each window."""
-    return matches.groupBy("balance_window").agg(F.count(F.lit(1)).alias("matches"), F.max("game_datetime").alias("latest"), F.sum("game_datetime").alias("time_sum"))
+def source_fingerprint(matches: DataFrame, settings: dict | None = None) -> DataFrame:
+    """Match count, latest and summed time of each window, and a digest of the settings a result was made with.
+
+    A prepared result is stale when either its source's numbers or the digest differ.
+    """
+    version = hashlib.sha256(json.dumps(settings or {}, sort_keys=True).encode()).hexdigest()
+    rows = matches.groupBy("balance_window").agg(F.count(F.lit(1)).alias("matches"), F.max("game_datetime").alias("latest"), F.sum("game_datetime").alias("time_sum"))
+    return rows.withColumn("version", F.lit(version))
 
 
 def first_reason(*checks: tuple[str, Column]) -> Column:

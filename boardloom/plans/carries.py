@@ -263,3 +263,10 @@ def discovery_candidates(b):
         rows = out.select(*ev.CARRY, "cost", "opportunity", F.lit(kind).alias("kind"), F.inline(f"top_{kind}"))
         entries = rows if entries is None else entries.unionByName(rows)
     return rounded(entries.withColumn("place", F.col("place").cast("long")))
+
+
+@query("a05_associations", association_sql("SELECT c.*, CAST(level AS VARCHAR) AS key FROM carries c", 1))
+def associations(b):
+    """The formulas on their own: a carry's boards at one level against its other boards."""
+    carries = _carries(b)
+    return rounded(ev.associations(carries, carries.withColumn("key", F.col("level").cast("string")), min_games=1))

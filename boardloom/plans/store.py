@@ -6,9 +6,12 @@ from boardloom.operators import quality
 from boardloom.plans.registry import query
 
 
-@query("s22_source_fingerprint", "SELECT balance_window, count(*) AS matches, max(game_datetime) AS latest, CAST(sum(game_datetime) AS BIGINT) AS time_sum FROM matches GROUP BY ALL")
+_SETTINGS = '{"floor": 10, "sizes": [3, 4]}'
+
+
+@query("s22_source_fingerprint", f"SELECT balance_window, count(*) AS matches, max(game_datetime) AS latest, CAST(sum(game_datetime) AS BIGINT) AS time_sum, sha256('{_SETTINGS}') AS version FROM matches GROUP BY ALL")
 def source_fingerprint(b):
-    return quality.source_fingerprint(b.matches)
+    return quality.source_fingerprint(b.matches, {"sizes": [3, 4], "floor": 10})
 
 
 @query("j11_orphan_check", "SELECT match_id, participant_index, 'child' AS missing FROM participants p WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.match_id = p.match_id AND u.participant_index = p.participant_index)")
