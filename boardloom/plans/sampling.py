@@ -66,7 +66,8 @@ def seed_rotation(b):
 
 def _seat_rounds() -> str:
     """The rounds of the allocation, one after the other; a sixth would change nothing."""
-    rounds = [f"r0 AS (SELECT cohort, count(*) AS room, CASE cohort {' '.join(f'WHEN {c!r} THEN {w}' for c, w in WEIGHTS.items())} END AS weight, CAST(0 AS BIGINT) AS k FROM chosen GROUP BY cohort)"]
+    named = ", ".join(f"({c!r}, {w})" for c, w in WEIGHTS.items())
+    rounds = [f"r0 AS (SELECT v.cohort, coalesce(room, 0) AS room, weight, CAST(0 AS BIGINT) AS k FROM (VALUES {named}) v(cohort, weight) LEFT JOIN (SELECT cohort, count(*) AS room FROM chosen GROUP BY cohort) USING (cohort))"]
     for i in range(5):
         rounds.append(f"""a{i} AS (SELECT *, k < room AS able, least((SELECT sum(room) // 2 FROM r0), (SELECT sum(room) FROM r0)) - sum(k) OVER () AS seats_left FROM r{i}),
 b{i} AS (SELECT *, CASE WHEN able THEN seats_left * weight END AS share, sum(CASE WHEN able THEN weight END) OVER () AS whole FROM a{i}),
