@@ -184,8 +184,9 @@ def truncate_to_budget(docs: DataFrame, budget: int, *, text_col: str = "text",
     """``docs`` with each text cut to its longest prefix of at most ``budget`` tokens."""
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = PrefixTable(Encoder(vocabulary))
-        return texts.map(lambda t: t if t is None else table.truncate(t, budget))
+        for texts in batches:
+            yield texts.map(lambda t: t if t is None else table.truncate(t, budget))
 
     return docs.withColumn(text_col, cut(F.col(text_col).cast("string")))
