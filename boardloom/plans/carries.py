@@ -251,13 +251,13 @@ def _lists_sql() -> str:
 @query("a25_discovery_candidates", _A24[: _A24.rindex("SELECT balance_window, character_id, cost,")].rstrip() + f", lists AS ({_lists_sql()}) SELECT s.balance_window, s.character_id, s.cost, round(CAST(s.opportunity AS DOUBLE), 6) + 0.0 AS opportunity, kind, place, key, games, round(top4_rate, 6) + 0.0 AS top4_rate, round(top4_delta, 6) + 0.0 AS top4_delta, round(confidence, 6) + 0.0 AS confidence FROM summed s JOIN lists l ON l.balance_window = s.balance_window AND l.character_id = s.character_id")
 def discovery_candidates(b):
     """Candidates with their lists, a row for each entry of a list."""
-    carries = staged(_carries(b))
     units = staged(b.units)
+    carries = staged(ev.carry_boards(b.participants, units, b.windows))
     items = staged(ev.item_associations(carries, units, ITEM_SETS, 1, min_games=1))
     partners = staged(ev.partner_associations(carries, units))
     traits = ev.trait_count_associations(carries, b.traits)
     stats = ev.carry_stats(b.participants, units, b.windows, max_cost=5, min_samples=10)
-    out = ev.discovery_candidates(stats, partners, items, traits)
+    out = staged(ev.discovery_candidates(stats, partners, items, traits))
     entries = None
     for kind in ("partners", "items", "traits"):
         rows = out.select(*ev.CARRY, "cost", "opportunity", F.lit(kind).alias("kind"), F.inline(f"top_{kind}"))

@@ -71,7 +71,8 @@ class Boards:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
         percent = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
         items = F.array(F.concat(F.lit("R_"), "l_returnflag"), F.concat(F.lit("D_"), percent("l_discount")), F.concat(F.lit("T_"), percent("l_tax")))
-        return lines.select(
+        # the array first, so that the rules read it instead of building it again and again
+        rows = lines.select(
             *BOARD,
             (F.row_number().over(order) - 1).alias("unit_index"),
             F.col("p_brand").alias("character_id"),
@@ -79,9 +80,9 @@ class Boards:
             (1 + F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int") % 5).alias("cost"),
             (1 + F.floor((F.col("l_quantity") - 1) / 17)).cast("int").alias("tier"),
             items.alias("items"),
-            completed_items(items, ITEM_SETS).alias("completed_item_count"),
-            is_commitment(items, ITEM_SETS).alias("committed"),
         )
+        held = F.col("items")
+        return rows.withColumns({"completed_item_count": completed_items(held, ITEM_SETS), "committed": is_commitment(held, ITEM_SETS)})
 
     @cached_property
     def traits(self) -> DataFrame:
