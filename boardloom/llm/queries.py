@@ -76,4 +76,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_topk, op3_line_dedup, op4_language_id, op5_substring_dedup, op6_packing, op7_token_counts, op8_mixing, op9_quality, op10_minhash)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import counted, runs, variant_groups, with_slips
+
+    return variant_groups(counted(with_slips(runs(_read(spark, sf_dir, "documents")))))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_topk, op3_line_dedup, op4_language_id, op5_substring_dedup, op6_packing, op7_token_counts, op8_mixing, op9_quality, op10_minhash, op11_spelling, op12_embedding_dedup, op13_alignment)}

@@ -53,3 +53,9 @@ class Encoder:
         if is_plain(text):
             return self.plain.encode_ordinary(text)
         return self.library.encode(text, add_special_tokens=False).ids
+
+    def encode_plain(self, text: str) -> list[int]:
+        """As ``encode`` with the special string as ordinary text; the library must have ``encode_special_tokens`` set."""
+        if _PLAIN.fullmatch(text):
+            return self.plain.encode_ordinary(text)
+        return self.library.encode(text, add_special_tokens=False).ids
