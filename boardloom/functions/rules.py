@@ -153,9 +153,57 @@ def readable_id(identifier: Column) -> Column:
     return F.when(shown == "", identifier).otherwise(shown)
 
 
-def tie_hash(seed: int, *keys: Column) -> Column:
-    """A seeded order for ties: the same keys and seed always give the same number."""
-    return F.xxhash64(F.lit(seed), *keys)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _plus(x: Column, constant: int) -> Column:
+    """The sum modulo 2**64, by halves, since a plain sum of longs may not overflow."""
+    low = F.expr("4294967295L")
+    carry = x.bitwiseAND(low) + F.lit(constant & 0xFFFFFFFF)
+    return _let(carry, lambda c: F.shiftleft(F.shiftrightunsigned(x, 32) + F.lit(constant >> 32) + F.shiftrightunsigned(c, 32), 32).bitwiseOR(c.bitwiseAND(low)))
+
+
+def _times(x: Column, constant: int) -> Column:
+    """The product modulo 2**64, by 16-bit limbs: no partial sum leaves 35 bits."""
+    limb = F.lit(0xFFFF).cast("long")
+    parts = [F.shiftrightunsigned(x, 16 * i).bitwiseAND(limb) for i in range(4)]
+    factors = [constant >> 16 * i & 0xFFFF for i in range(4)]
+    rows = []
+    for place in range(4):
+        row = parts[0] * F.lit(factors[place]).cast("long")
+        for i in range(1, place + 1):
+            row = row + parts[i] * F.lit(factors[place - i]).cast("long")
+        rows.append(row)
+    carried = lambda row, below: row + F.shiftrightunsigned(below, 16)
+    put = lambda value, place: F.shiftleft(value.bitwiseAND(limb), 16 * place)
+    top = lambda a, b, c: put(a, 0).bitwiseOR(put(b, 1)).bitwiseOR(put(c, 2)).bitwiseOR(put(carried(rows[3], c), 3))
+    return _let(rows[0], lambda a: _let(carried(rows[1], a), lambda b: _let(carried(rows[2], b), lambda c: top(a, b, c))))
+
+
+#: fixed values: the constants and shifts of the public SplitMix64 generator
+_STEP, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def splitmix64(x: Column) -> Column:
+    """SplitMix64 of a long; both are read as 64 unsigned bits."""
+    folded = lambda v, by: v.bitwiseXOR(F.shiftrightunsigned(v, by))
+    start = _let(x, lambda v: _plus(v, _STEP))
+    first = _let(_let(start, lambda v: folded(v, 30)), lambda v: _times(v, _FIRST))
+    second = _let(_let(first, lambda v: folded(v, 27)), lambda v: _times(v, _SECOND))
+    return _let(second, lambda v: folded(v, 31))
+
+
+def tie_hash(seed: int | Column, *keys: Column) -> Column:
+    """A seeded order for ties: SplitMix64 chained over whole numbers, as 64 bits in a long."""
+    start = (F.lit(seed) if isinstance(seed, int) else seed).cast("long")
+    return F.aggregate(F.array(*[k.cast("long") for k in keys]), splitmix64(start), lambda h, key: splitmix64(h.bitwiseXOR(key)))
+
+
+def unsigned_order(x: Column) -> Column:
+    """A long that sorts as ``x`` does when its bits are read without a sign."""
+    return x.bitwiseXOR(F.expr("-9223372036854775807L - 1L"))
 
 
 def idea_signature(*parts: tuple[str, Column]) -> Column:
