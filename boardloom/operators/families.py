@@ -1,16 +1,14 @@
-"""Families of boards: seeding, refinement, merging, and what describes the result.
+"""One pass over a partition of boards, and what describes a partition.
 
-A partition is (window, board, group). Passes are loops over joins and grouped aggregates; each
-pass is written and read again, so plans stay short and lost executors cost one pass. Merging goes
-in rounds of pairs that prefer each other, so a round judges many merges at once.
+A partition is (window, board, group). The loops are in ``refinement`` and ``merging``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardloom.functions.rules import banded, size_band, tie_hash
+from boardloom.functions.rules import size_band
 from boardloom.operators.groups import best_group, mean_profiles, scored, similarities
 from boardloom.sources.shared import staged
 
@@ -21,46 +19,6 @@ TAU = 0.60
 CORE = 0.75
 
 
-def leader_groups(vectors: DataFrame, tau: float = TAU) -> DataFrame:
-    """A partition by leaders: in order of structure, a board joins the most similar leader at or above ``tau`` or becomes one.
-
-    Boards with equal vectors are one row with a count. Each round, every undecided vector without
-    an earlier undecided neighbour becomes a leader and its neighbours are decided, which gives the
-    leaders of the sequential pass; only similar vectors are ever neighbours.
-    """
-    entry = F.struct("unit", "weight")
-    lists = vectors.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("vector"))
-    kinds = lists.groupBy(*WITHIN, "vector").agg(F.min(F.struct(*BOARD)).alias("first"))
-    place = F.row_number().over(Window.partitionBy(*WITHIN).orderBy(F.desc(F.size("vector")), "vector"))
-    kinds = staged(kinds.withColumn("kind", place))
-    long = staged(kinds.select(*WITHIN, "kind", F.inline("vector")))
-    total = long.groupBy(*WITHIN, "kind").agg(F.sum("weight").alias("t"))
-    other = long.select(*WITHIN, F.col("kind").alias("other"), "unit", F.col("weight").alias("w"))
-    low = long.join(other, [*WITHIN, "unit"]).where("kind < other").groupBy(*WITHIN, "kind", "other").agg(F.sum(F.least("weight", "w")).alias("low"))
-    sums = low.join(total, [*WITHIN, "kind"]).join(total.select(*WITHIN, F.col("kind").alias("other"), F.col("t").alias("u")), [*WITHIN, "other"])
-    near = F.round(F.col("low") / (F.col("t") + F.col("u") - F.col("low")), 9)
-    edges = sums.withColumn("s", near).where(F.col("s") >= tau)
-    edges = staged(edges.select(*WITHIN, "kind", "other", "s"))
-
-    open_, leaders = kinds.select(*WITHIN, "kind"), None
-    while True:
-        live = edges.join(open_, [*WITHIN, "kind"]).select(*WITHIN, "kind", "other")
-        blocked = live.join(open_.withColumnRenamed("kind", "other"), [*WITHIN, "other"]).select(*WITHIN, F.col("other").alias("kind")).distinct()
-        new = staged(open_.join(blocked, [*WITHIN, "kind"], "left_anti"))
-        if new.isEmpty():
-            break
-        leaders = new if leaders is None else leaders.unionByName(new)
-        led = edges.join(new, [*WITHIN, "kind"]).select(*WITHIN, F.col("other").alias("kind"))
-        open_ = staged(open_.join(new.unionByName(led).distinct(), [*WITHIN, "kind"], "left_anti"))
-    both = edges.unionByName(edges.select(*WITHIN, F.col("other").alias("kind"), F.col("kind").alias("other"), "s"))
-    heads = leaders if leaders is not None else open_
-    joined = both.join(heads.withColumnRenamed("kind", "other"), [*WITHIN, "other"]).groupBy(*WITHIN, "kind").agg(F.min(F.struct(-F.col("s"), "other")).alias("b")).select(*WITHIN, "kind", F.col("b.other").alias("leader"))
-    own = heads.withColumn("leader", F.col("kind"))
-    led = own.unionByName(joined.join(heads, [*WITHIN, "kind"], "left_anti"))
-    named = kinds.join(led, [*WITHIN, "kind"]).select(*WITHIN, "vector", F.col("leader").cast("string").alias("group"))
-    return lists.join(named, [*WITHIN, "vector"]).select(*KEY, "group")
-
-
 def _sized(partition: DataFrame, least: int) -> DataFrame:
     sizes = partition.groupBy(*WITHIN, "group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return partition.join(sizes.drop("n"), [*WITHIN, "group"], "left_semi")
@@ -84,29 +42,6 @@ def refine_pass(vectors: DataFrame, partition: DataFrame, *, tau: float = TAU, l
     return best_group(scores, KEY, group="group", least=tau).select(*KEY, "group")
 
 
-def partition_digest(partition: DataFrame) -> int:
-    """A checksum of a whole partition, one number for the driver."""
-    return partition.agg(F.coalesce(F.sum(F.xxhash64(*KEY, "group").cast("decimal(38,0)")), F.lit(0))).first()[0]
-
-
-def refine(vectors: DataFrame, start: DataFrame, *, tau: float = TAU, passes: int = 10, share: float = 0.001) -> tuple[DataFrame, list[int], str]:
-    """(partition, boards moved in each pass, converged, cycle or stopped) after at most ``passes``."""
-    now = staged(start.select(*KEY, "group"))
-    limit, seen, moved, status = max(1, int(share * vectors.select(*KEY).distinct().count())), set(), [], "stopped"
-    for _ in range(passes):
-        new = staged(stable_ids(refine_pass(vectors, now, tau=tau), vectors))
-        moved.append(moves(now, new).agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0])
-        now = new
-        if moved[-1] <= limit:
-            status = "converged"
-            break
-        if (digest := partition_digest(now)) in seen:
-            status = "cycle"
-            break
-        seen.add(digest)
-    return _sized(now, 2), moved, status
-
-
 def stable_ids(partition: DataFrame, vectors: DataFrame) -> DataFrame:
     """Group ids by size, then the units on half the boards, then the first board; from 0 in each window."""
     sizes = partition.groupBy(*WITHIN, "group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*BOARD)).alias("first"))
@@ -237,8 +172,26 @@ def shell_cases(summaries: DataFrame, *, least: int = 10, most_overlap: float =
 
 
 def anchored_groups(summaries: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(window, anchor, group) whose core holds all units of an anchor (name, units)."""
-    return summaries.join(anchors, F.size(F.array_except("units", "core")) == 0).select(*WITHIN, F.col("name").alias("anchor"), "group")
+    """(window, anchor, group) whose core holds all units of an anchor (name, units).
+
+    Anchors and cores meet on single units; an anchor without units meets nothing.
+    """
+    wanted = anchors.select("name", F.size(F.array_distinct("units")).alias("need"), F.explode(F.array_distinct("units")).alias("unit"))
+    held = summaries.select(*WITHIN, "group", F.explode("core").alias("unit"))
+    met = held.join(wanted, "unit").groupBy(*WITHIN, "group", "name", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
+    return met.select(*WITHIN, F.col("name").alias("anchor"), "group")
+
+
+def anchor_changes(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(window, anchor, base groups, other groups, change) between two :func:`anchored_groups` results.
+
+    ``change`` says what became of an anchor: absent, gained, lost, unchanged (as many groups), split or joined.
+    """
+    count = lambda df, name: df.groupBy(*WITHIN, "anchor").agg(F.count(F.lit(1)).alias(name))
+    both = count(base, "base_groups").join(count(other, "other_groups"), [*WITHIN, "anchor"], "full_outer").fillna(0, ["base_groups", "other_groups"])
+    x, y = F.col("base_groups"), F.col("other_groups")
+    change = F.when(x == 0, "gained").when(y == 0, "lost").when(x == y, "unchanged").when(x < y, "split").otherwise("joined")
+    return both.withColumn("change", change)
 
 
 def merge_candidates(shares: DataFrame, *, least: int = 3, fraction: float = 0.6, swaps: int = 1, flex: float = 0.15, itemized: float = 0.5, whole_core: int = 5) -> DataFrame:
@@ -262,98 +215,3 @@ def merge_candidates(shares: DataFrame, *, least: int = 3, fraction: float = 0.6
     unexplained = told.where(~((F.coalesce("p", F.lit(0.0)) >= flex) | (F.col("i") < itemized))).select(*WITHIN, "a", "b").distinct().withColumn("__no", F.lit(True))
     out = rows.join(unexplained, [*WITHIN, "a", "b"], "left").where(F.col("__no").isNull() | splash)
     return out.select(*WITHIN, "a", "b", "shared", (F.col("shared") / F.size(F.array_union("ca", "cb"))).alias("overlap"))
-
-
-#: Keys that order candidates of equal overlap: the smallest ids, or a seeded order.
-def tie_order(rule: str = "ids", seed: int = 0) -> Column:
-    if rule == "ids":
-        return F.struct(F.col("a").cast("int"), F.col("b").cast("int"))
-    if rule == "seed":
-        return F.struct(tie_hash(seed, F.col("a"), F.col("b")), F.col("a").cast("int"))
-    raise ValueError(f"unknown tie rule {rule!r}")
-
-
-def s2_conditions() -> dict[str, Column]:
-    """The tail rule over attempt rows: what may lie below the threshold after a merge."""
-    return {
-        "larger_side_whole": F.col("larger_below") == 0,
-        "smaller_side_tenth": 10 * F.col("smaller_below") <= F.col("smaller_boards"),
-        "merged_hundredth": 100 * F.col("merged_below") <= F.col("merged_boards"),
-        "floor": F.col("min_post") >= TAU - 0.10,
-    }
-
-
-def merge_round(vectors: DataFrame, units: DataFrame, partition: DataFrame, tried: DataFrame | None, *, order: Column, rule: str = "all", tau: float = TAU) -> DataFrame:
-    """One judged attempt for each pair that prefers each other: sides, overlap, similarities after the merge, verdict."""
-    found = merge_candidates(group_units(partition, units))
-    if tried is not None:
-        found = found.join(tried.select(*WITHIN, "a", "b"), [*WITHIN, "a", "b"], "left_anti")
-    ranked = found.withColumn("key", F.struct(-F.round("overlap", 9), order))
-    ends = ranked.select(*WITHIN, F.col("a").alias("g"), "key", "a", "b").unionByName(ranked.select(*WITHIN, F.col("b").alias("g"), "key", "a", "b"))
-    best = ends.groupBy(*WITHIN, "g").agg(F.min(F.struct("key", "a", "b")).alias("m")).select(*WITHIN, "g", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
-    mutual = best.groupBy(*WITHIN, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
-    chosen = staged(mutual.join(found, [*WITHIN, "a", "b"]))
-    members = partition.join(chosen, (partition["balance_window"] == chosen["balance_window"]) & ((partition["group"] == chosen["a"]) | (partition["group"] == chosen["b"]))).select(*[partition[c] for c in KEY], partition["group"].alias("side"), "a", "b")
-    merged = members.withColumn("group", F.concat_ws("+", "a", "b"))
-    post = own_similarity(vectors, merged).join(merged.select(*KEY, "side", "a", "b"), KEY)
-    sides = post.groupBy(*WITHIN, "a", "b", "side").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("similarity") < tau).alias("below"), F.min("similarity").alias("least"))
-    small = F.struct("n", F.when(F.col("side") == F.col("a"), 1).otherwise(0))
-    judged = sides.groupBy(*WITHIN, "a", "b").agg(
-        F.sum("n").alias("merged_boards"), F.sum("below").alias("merged_below"), F.min("least").alias("min_post"), F.min_by("n", small).alias("smaller_boards"), F.min_by("below", small).alias("smaller_below"), F.max_by("below", small).alias("larger_below")
-    )
-    cores = group_units(merged, units).where(F.col("presence") >= CORE).groupBy(*WITHIN, "group").agg(F.count(F.lit(1)).alias("merged_core"))
-    old = group_units(partition, units).where(F.col("presence") >= CORE).groupBy(*WITHIN, "group").agg(F.count(F.lit(1)).alias("c"))
-    side = lambda n: old.select(*WITHIN, F.col("group").alias(n), F.col("c").alias(f"core_{n}"))
-    rows = judged.join(chosen, [*WITHIN, "a", "b"]).withColumn("group", F.concat_ws("+", "a", "b")).join(cores, [*WITHIN, "group"], "left").join(side("a"), [*WITHIN, "a"]).join(side("b"), [*WITHIN, "b"]).fillna(0, ["merged_core"])
-    kept = (F.col("merged_core") >= 5) | (F.col("merged_core") >= F.ceil(0.6 * F.least("core_a", "core_b")))
-    similar = F.col("merged_below") == 0
-    if rule == "s2":
-        similar = F.lit(True)
-        for c in s2_conditions().values():
-            similar = similar & c
-    verdict = F.when(~kept, "core").when(~similar, "similarity").otherwise("accepted")
-    return rows.withColumn("verdict", verdict).drop("group")
-
-
-def merge_variants(vectors: DataFrame, units: DataFrame, variants: DataFrame, *, rule: str = "all", order: Column | None = None, rounds: int = 20, tau: float = TAU) -> tuple[DataFrame, DataFrame]:
-    """(partition, attempts): rounds of merges until no pair is left to judge; a pair is judged once for each state of its sides."""
-    now, attempts = staged(variants.select(*KEY, "group")), None
-    tried: DataFrame | None = None
-    for i in range(rounds):
-        judged = staged(merge_round(vectors, units, now, tried, order=tie_order() if order is None else order, rule=rule, tau=tau).withColumn("round", F.lit(i)))
-        if judged.isEmpty():
-            break
-        attempts = judged if attempts is None else attempts.unionByName(judged)
-        yes = judged.where("verdict = 'accepted'").select(*WITHIN, "a", F.col("b").alias("group"))
-        now = staged(now.join(yes, [*WITHIN, "group"], "left").select(*KEY, F.coalesce("a", "group").alias("group")))
-        touched = yes.select(*WITHIN, "a").union(yes.select(*WITHIN, "group")).distinct().withColumnRenamed("a", "t")
-        new = judged.where("verdict <> 'accepted'").select(*WITHIN, "a", "b")
-        tried = new if tried is None else tried.unionByName(new)
-        for end in ("a", "b"):
-            tried = tried.join(touched.withColumnRenamed("t", end), [*WITHIN, end], "left_anti")
-        tried = staged(tried.select(*WITHIN, "a", "b"))
-    if attempts is None:
-        attempts = merge_round(vectors, units, now, None, order=tie_order(), rule=rule, tau=tau).withColumn("round", F.lit(0)).limit(0)
-    return now, attempts
-
-
-def shadow_rules(attempts: DataFrame) -> DataFrame:
-    """``attempts`` with what other tail rules would have said: s0 (all boards) to s3."""
-    c = s2_conditions()
-    s1 = c["merged_hundredth"] & c["floor"]
-    s2 = s1 & c["larger_side_whole"] & c["smaller_side_tenth"]
-    return attempts.withColumns({"s0": F.col("merged_below") == 0, "s1": s1, "s2": s2, "s3": s2 & (F.col("overlap") >= 0.8)})
-
-
-def merge_histograms(attempts: DataFrame) -> DataFrame:
-    """(window, verdict, overlap band, tail band, attempts)."""
-    from boardloom.functions.rules import tail_band
-
-    overlap = F.when(F.col("overlap") >= 0.8, ">= 0.8").when(F.col("overlap") >= 0.6, "[0.6, 0.8)").otherwise("< 0.6")
-    return attempts.groupBy(*WITHIN, "verdict", overlap.alias("overlap_band"), tail_band(F.col("merged_below"), F.col("merged_boards")).alias("tail")).agg(F.count(F.lit(1)).alias("attempts"))
-
-
-def merge_trajectory(attempts: DataFrame) -> DataFrame:
-    """(window, band, merges, least, mean) of accepted merges by the boards they brought together."""
-    band = banded(F.col("merged_boards"), [("2-9", 9), ("10-99", 99)], "100+")
-    return attempts.where("verdict = 'accepted'").groupBy(*WITHIN, band.alias("band")).agg(F.count(F.lit(1)).alias("merges"), F.min("min_post").alias("least"), F.avg("min_post").alias("mean"))

@@ -177,14 +177,24 @@ def json_items(b):
     return b.units.select("match_id", "participant_index", "unit_index", F.size(items).alias("n"), F.element_at(items, 1).alias("first"))
 
 
-@query("f13_tie_hash")
-def tie_hash(b):
-    """Carries in a seeded order; the values are Spark's own, so there is no SQL for them."""
-    from boardloom.operators.evidence import CARRY, top_by
-    from boardloom.plans.carries import _carries
+_MASK = "18446744073709551615::UHUGEINT"
+
 
-    rows = _carries(b).select(*CARRY).distinct()
-    return top_by(rows, ["balance_window"], [rules.tie_hash(7, F.col("character_id")), "character_id"], 1 << 30)
+def _splitmix_sql(x: str) -> str:
+    """SplitMix64 of an unsigned value, in steps; each step names the one before once by a list element."""
+    step = lambda value, body: f"list_transform([{value}], lambda v: {body})[1]"
+    start = step(x, f"(v + 11400714819323198485::UHUGEINT) & {_MASK}")
+    first = step(start, f"(xor(v, v >> 30) * 13787848793156543929::UHUGEINT) & {_MASK}")
+    second = step(first, f"(xor(v, v >> 27) * 10723151780598845931::UHUGEINT) & {_MASK}")
+    return step(second, "xor(v, v >> 31)")
+
+
+@query("f13_tie_hash", f"SELECT l_orderkey, l_linenumber, CAST({_splitmix_sql('xor(' + _splitmix_sql('xor(' + _splitmix_sql('7::UHUGEINT') + ', l_orderkey::UHUGEINT)') + ', l_linenumber::UHUGEINT)')} AS VARCHAR) AS draw FROM lineitem")
+def tie_hash(b):
+    """A seeded draw for every unit's two numbers, as an unsigned number in text."""
+    rows = b.read("lineitem").select("l_orderkey", "l_linenumber")
+    signed = rules.tie_hash(7, F.col("l_orderkey"), F.col("l_linenumber")).cast("decimal(20,0)")
+    return rows.withColumn("draw", F.when(signed < 0, signed + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(signed).cast("string"))
 
 
 @query("f03_accented_names", "SELECT p_partkey, regexp_replace(lower(strip_accents(translate(p_name, 'aeiou', 'àéîõü'))), '[^a-z0-9]', '', 'g') AS key FROM part")

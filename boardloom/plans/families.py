@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from boardloom.operators import families as fa
 from boardloom.operators import groups as gr
+from boardloom.operators import merge_reports as mr
+from boardloom.operators import merging as me
+from boardloom.operators import refinement as rf
 from boardloom.plans.groups import GROUPS_SQL, KEY, _members, _profiles, _vectors
 from boardloom.plans.registry import query, rounded
 from boardloom.sources.binding import Boards
@@ -75,8 +78,8 @@ def trait_blend(b):
 
 @query("c06_leader_seeding")
 def leader_seeding(b):
-    """How many boards each leader's group has; tests hold the leaders against the sequential pass."""
-    rows = fa.leader_groups(_vectors(b))
+    """How many boards each leader's group has; groups are numbered in the order in which they start."""
+    rows = rf.leader_groups(_vectors(b), least_units=3)
     return rows.groupBy("balance_window", "group").agg(F.count(F.lit(1)).alias("boards"))
 
 
@@ -100,9 +103,16 @@ def moves(b):
 
 @query("c07_refine")
 def refine(b):
-    """Passes until few boards move; group sizes of the result."""
+    """Every pass of every window until few boards move, a partition comes back or ten passes are made."""
     vectors, start = _partition(b)
-    found, _, _ = fa.refine(vectors, start, passes=4)
+    _, log = rf.refine(vectors, fa.stable_ids(start, vectors), least_units=3)
+    return log
+
+
+@query("c07_refined_groups")
+def refined_groups(b):
+    vectors, start = _partition(b)
+    found, _ = rf.refine(vectors, fa.stable_ids(start, vectors), least_units=3)
     return found.groupBy("balance_window", "group").agg(F.count(F.lit(1)).alias("boards"))
 
 
@@ -222,54 +232,144 @@ def merge_candidates(b):
     return rounded(rows.select("balance_window", "a", "b", F.col("shared").cast("long").alias("shared"), "overlap"))
 
 
-def _merged(b: Boards, **how) -> tuple[DataFrame, DataFrame]:
-    vectors, start = _partition(b)
-    return fa.merge_variants(vectors, staged(_units(b)), staged(fa.stable_ids(start, vectors)), rounds=3, **how)
+#: Bound boards have six shapes and are alike; a stricter threshold lets the rules decide something.
+RULES = me.MergeRules(tau=0.85, tails="s2")
+CONTROL = me.MergeRules(tau=0.85, tails="all")
+_RUNS: dict[tuple, object] = {}
+
+
+def _once(b: Boards, what: str, make):
+    """``make()`` once for each application and store: several queries read one run's staged tables."""
+    key = (b.spark.sparkContext.applicationId, b.sf_dir, what)
+    if key not in _RUNS:
+        _RUNS[key] = make()
+    return _RUNS[key]
+
+
+def _variants(b: Boards) -> tuple[DataFrame, DataFrame]:
+    """Boards of three shapes or more, by their shapes and how many of them hold two items; numbered."""
+
+    def make():
+        vectors = staged(_vectors(b))
+        sets = vectors.groupBy(*KEY).agg(F.array_sort(F.collect_list("unit")).alias("s"), F.count_if(F.col("weight") >= 2).alias("two")).where(F.size("s") >= 3)
+        return vectors, staged(fa.stable_ids(sets.select(*KEY, F.concat_ws("+", "s", F.col("two").cast("string")).alias("group")), vectors))
+
+    return _once(b, "variants", make)
+
+
+def _merged(b: Boards, rules: me.MergeRules = RULES) -> me.MergeRun:
+    return _once(b, f"merged {rules.tails}", lambda: me.merge_in_order(*_variants(b), rules=rules))
+
+
+def _details(b: Boards) -> DataFrame:
+    return _once(b, "details", lambda: staged(mr.attempt_details(_merged(b), rules=RULES)))
 
 
 @query("c12_merge_variants")
 def merge_variants(b):
-    """Three rounds of merges under the rule for tails; boards of each family."""
-    found, _ = _merged(b, rule="s2")
-    return found.groupBy("balance_window", "group").agg(F.count(F.lit(1)).alias("boards"))
+    """Greedy merges under the rule for tails; boards and variants of each family."""
+    return _merged(b).families.groupBy("balance_window", "group").agg(F.count(F.lit(1)).alias("boards"), F.count_distinct("variant").alias("variants"))
+
+
+@query("c12_merge_control")
+def merge_control(b):
+    """The same variants merged only where no board falls below the threshold."""
+    return _merged(b, CONTROL).families.groupBy("balance_window", "group").agg(F.count(F.lit(1)).alias("boards"), F.count_distinct("variant").alias("variants"))
+
+
+#: Every order of ids under every tie rule, "" being none.
+STUDY = [(rule, mode, seed) for rule in ("", *me.TIE_RULES) for mode, seed in (("baseline", 0), ("reversed", 0), ("seeded", 1), ("seeded", 2), ("seeded", 3))]
+_HOW = ["balance_window", "rule", "mode", "seed"]
+
+
+def _study(b: Boards) -> me.MergeRun:
+    def make():
+        vectors, variants = _variants(b)
+        runs = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(m).alias("mode"), F.lit(s).alias("seed")) for r, m, s in STUDY])
+        return me.merge_in_order(vectors, variants.select("*", F.inline(runs)), within=_HOW, rules=RULES, tie_rule=F.col("rule"), mode=F.col("mode"), seed=F.col("seed"))
+
+    return _once(b, "study", make)
+
+
+@query("c13_tie_rules")
+def tie_rules(b):
+    """Merges, refusals and families of each order under each tie rule."""
+    run = _study(b)
+    groups = run.families.groupBy(*_HOW).agg(F.count_distinct("group").alias("groups"))
+    counts = run.attempts.groupBy(*_HOW).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("accepted", "similarity", "core")])
+    return groups.join(counts, _HOW, "left").fillna(0, ["accepted", "similarity", "core"])
 
 
 @query("c14_merge_attempts")
 def merge_attempts(b):
-    _, attempts = _merged(b, rule="s2")
-    return rounded(attempts.select("balance_window", "round", "a", "b", "overlap", "merged_boards", "merged_below", "smaller_boards", "smaller_below", "larger_below", "min_post", "merged_core", "verdict"))
+    rows = _details(b)
+    return rounded(rows.select(*[F.array_join(c, "+").alias(c) if t == "array<string>" else F.col(c) for c, t in rows.dtypes if c != "round"]))
 
 
 @query("c15_shadow_rules")
 def shadow_rules(b):
-    """What other tail rules would have said of each attempt."""
-    _, attempts = _merged(b)
-    return fa.shadow_rules(attempts).groupBy("balance_window", "verdict", "s0", "s1", "s2", "s3").agg(F.count(F.lit(1)).alias("attempts"))
+    """What other rules would have accepted of the attempts: recovered, lost, dangers, and recoveries in common."""
+    return mr.shadow_evaluation(mr.shadow_rules(_details(b), rules=RULES))
 
 
 @query("c16_merge_histograms")
 def merge_histograms(b):
-    return fa.merge_histograms(_merged(b)[1])
+    return mr.merge_histograms(_details(b))
+
+
+@query("c16_merge_quantiles")
+def merge_quantiles(b):
+    """Nearest-rank quantiles of the attempts' measures by outcome."""
+    return rounded(mr.measure_quantiles(_details(b), ["balance_window", "verdict"]))
 
 
 @query("c17_merge_trajectory")
 def merge_trajectory(b):
-    return rounded(fa.merge_trajectory(_merged(b, rule="s2")[1]))
+    return rounded(mr.merge_trajectory(_details(b)))
+
+
+@query("c18_tail_lock_in")
+def tail_lock_in(b):
+    """Each attempt: boards that earlier merges took in below the threshold, and the verdict without them."""
+    _, entries = mr.tail_lock_in(_merged(b), rules=RULES)
+    return rounded(entries.select(*[F.array_join(c, "+").alias(c) if t == "array<string>" else F.col(c) for c, t in entries.dtypes]))
+
+
+@query("c18_lock_in_counts")
+def lock_in_counts(b):
+    return mr.lock_in_counts(*mr.tail_lock_in(_merged(b), rules=RULES))
+
+
+@query("c22_family_lineage")
+def family_lineage(b):
+    """Variants merged into each family, its boards below the threshold, and how far its core has drifted."""
+    rows = mr.family_lineage(_variants(b)[0], _merged(b).families, rules=RULES)
+    return rounded(rows.withColumn("core", F.array_join("core", "+")))
+
+
+@query("c23_merge_control")
+def compared_with_control(b):
+    """Metrics of the families against those of the control, in which no board may fall below the threshold."""
+    vectors, _ = _variants(b)
+    metrics = lambda run: fa.global_metrics(vectors, run.families.drop("variant"), tau=RULES.tau)
+    return rounded(fa.control_comparison(staged(metrics(_merged(b, CONTROL))), staged(metrics(_merged(b))), ["balance_window"]))
 
 
 @query("c26_stability_study")
 def stability_study(b):
-    """The same merges in order of ids and in a seeded order (C13), compared by pairs of boards."""
-    one, _ = _merged(b, rule="s2")
-    two, _ = _merged(b, rule="s2", order=fa.tie_order("seed", 7))
-    return gr.partition_disagreement(one, two, KEY, within=["balance_window"])
+    """Each order against the baseline order of the same tie rule, by pairs of boards."""
+    families = _study(b).families
+    base = families.where("mode = 'baseline'").drop("mode", "seed", "variant")
+    key = [*KEY, "rule"]
+    replays = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(s).alias("seed")) for _, m, s in STUDY[1:5]])
+    base = base.select(*key, "group", F.inline(replays))
+    other = families.where("mode <> 'baseline'").select(*key, "mode", "seed", "group")
+    return gr.partition_disagreement(base, other, [*key, "mode", "seed"], within=_HOW)
 
 
 @query("c27_family_candidate")
 def family_candidate(b):
-    """Refined, then merged; one row a window with how the refinement ended."""
-    vectors, start = _partition(b)
-    variants, _, status = fa.refine(vectors, start, passes=3)
-    found, _ = fa.merge_variants(vectors, staged(_units(b)), variants, rule="s2", rounds=2)
-    rows = found.groupBy("balance_window").agg(F.count(F.lit(1)).alias("boards"), F.count_distinct("group").alias("groups"))
-    return rows.withColumn("status", F.lit(status))
+    """Led, refined for up to 20 passes, then merged; one row a window with how it ended."""
+    vectors = _variants(b)[0]
+    start = rf.leader_groups(vectors, least_units=3)
+    return rf.family_candidate(vectors, start, rules=me.MergeRules(tails="s2"), least_units=3)[1]
