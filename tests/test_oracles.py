@@ -25,8 +25,8 @@ def test_query(spark, small_duck, name):
     same_rows(QUERIES[name](spark, SMALL), small_duck.sql(ORACLES[name]))
 
 
-#: Long loops; their operators are tested on boards made for them (test_families).
-LOOPS = {"c07_refine", "c12_merge_variants", "c15_shadow_rules", "c16_merge_histograms", "c17_merge_trajectory", "c26_stability_study", "c27_family_candidate"}
+#: Held to plain loops by value in test_family_queries.
+LOOPS = {"c06_leader_seeding", "c07_refine", "c07_refined_groups", "c12_merge_variants", "c12_merge_control", "c27_family_candidate"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys() - LOOPS))
