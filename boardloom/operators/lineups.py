@@ -8,12 +8,14 @@ promoted line-ups only; a shell never joins line-ups of two sizes, so a task hol
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardloom.functions.rules import valid_level
+from boardloom.operators.ranks import spread_row_number
+from boardloom.sources.shared import discard, staged
 
 BOARD = ["match_id", "participant_index"]
 AT = ["balance_window", "level"]
@@ -77,57 +79,65 @@ def one_slot_alternatives(promoted: DataFrame, protected: str | None = None) ->
     return pairs.select(*keys, "lineup", F.col("unit").alias("out_unit"), "in_unit", "other", "other_boards")
 
 
-def _shell_table(lineups: list[tuple], carry: str | None) -> pd.DataFrame:
-    """(at, unit, shell): every line-up less one copy of each of its units but the carry."""
-    rows = [(at, unit, lineup[: (i := lineup.index(unit))] + lineup[i + 1 :]) for at, lineup in enumerate(lineups) for unit in dict.fromkeys(lineup) if unit != carry]
-    return pd.DataFrame(rows, columns=["at", "unit", "shell"])
+def _shells(rows: DataFrame, keys: list[str], protected: str | None) -> DataFrame:
+    """(keys, at, boards, unit, shell): every line-up less one copy of each of its units but the protected one.
 
+    Only shells that another line-up has too; a shell has at most as many line-ups as there are units.
+    """
+    unit = rows.select(*keys, "at", "boards", "lineup", F.explode(F.array_distinct("lineup")).alias("unit"))
+    if protected:
+        unit = unit.where(F.col("unit") != F.col(protected))
+    i = F.array_position("lineup", F.col("unit")).cast("int")
+    shell = F.concat(F.slice("lineup", F.lit(1), i - 1), F.slice("lineup", i + 1, F.size("lineup")))
+    table = unit.withColumn("shell", shell).drop("lineup")
+    shared = table.groupBy(*keys, "shell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return table.join(shared, [*keys, "shell"])
 
-def _assign_patterns(pool: pd.DataFrame, carry: str | None) -> pd.DataFrame:
-    """``pool`` in its order with pattern, shell, flex and place.
 
-    A pattern is the first line-up that is left, and of its shells with another line-up left the one
-    with the most line-ups, then boards, then the smallest; alone if there is none.
-    """
-    pool = pool.sort_values(["boards", "lineup"], ascending=[False, True], key=lambda c: c.map(tuple) if c.name == "lineup" else c).reset_index(drop=True)
-    table = _shell_table([tuple(x) for x in pool["lineup"]], carry)
-    sharing = {shell: part for shell, part in table.groupby("shell", sort=True) if len(part) > 1}
-    offers = table[table["shell"].isin(list(sharing))].groupby("at")["shell"].apply(list).to_dict()
-    boards, pattern = pool["boards"].to_numpy(), np.full(len(pool), -1)
-    out = pool.assign(shell=None, flex=None, place=0)
-    for first in range(len(pool)):
-        if pattern[first] >= 0:
-            continue
-        number = pattern.max() + 1
-        left = {s: sharing[s][pattern[sharing[s]["at"]] < 0] for s in offers.get(first, [])}
-        left = {s: part for s, part in left.items() if len(part) > 1}
-        if left:
-            shell = min(left, key=lambda s: (-len(left[s]), -boards[left[s]["at"]].sum(), s))
-            for place, (at, unit) in enumerate(left[shell].sort_values("at")[["at", "unit"]].itertuples(index=False)):
-                pattern[at] = number
-                out.at[at, "shell"], out.at[at, "flex"], out.at[at, "place"] = list(shell), unit, place
-        else:
-            pattern[first] = number
-    return out.assign(pattern=pattern)
+def _first_in_reach(live: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at) of the line-ups that come before all others within two shared shells of them."""
+    low = live.select(*keys, "shell", "at", F.col("at").alias("low"))
+    for _ in range(2):
+        of_shell = low.groupBy(*keys, "shell").agg(F.min("low").alias("low"))
+        of_lineup = low.drop("low").join(of_shell, [*keys, "shell"]).groupBy(*keys, "at").agg(F.min("low").alias("low"))
+        low = low.drop("low").join(of_lineup, [*keys, "at"])
+    return low.where("low = at").select(*keys, "at").distinct()
 
 
 def board_patterns(promoted: DataFrame, protected: str | None = None) -> DataFrame:
     """Each promoted line-up in one flex shell or alone: (window, level, [carry,] size, pattern, lineup, shell, flex, place, boards).
 
+    A pattern is the first line-up that is left (by boards, then by name), and of its shells with another
+    line-up left the one with the most line-ups, then boards, then the smallest; alone if there is none.
     ``protected`` names a column with the carry of each row; pattern numbers count from 0 for each
     (window, level, carry, size).
+
+    The cover is built in rounds. A line-up takes its turn once no line-up ahead of it is left within two
+    shared shells: others ahead could neither take it nor one that it could take, so all such line-ups
+    take their turns at once, and end where they would one after another.
     """
     keys = [*AT, *([protected] if protected else []), "size"]
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        got = _assign_patterns(rows, rows[protected].iloc[0] if protected else None)
-        return got[[*keys, "pattern", "lineup", "shell", "flex", "place", "boards"]]
-
-    kinds = dict(promoted.dtypes)
-    extra = f"{protected} {kinds[protected]}, " if protected else ""
-    schema = f"balance_window string, level {kinds['level']}, {extra}size int, pattern long, lineup array<string>, shell array<string>, flex string, place long, boards long"
     rows = promoted.withColumn("size", F.size("lineup")).select(*keys, "lineup", "boards")
-    return rows.groupBy(*keys).applyInPandas(choose, schema)
+    rows = staged(spread_row_number(rows, keys, [F.desc("boards"), F.col("lineup")], "at"))
+    live, found = staged(_shells(rows, keys, protected)), []
+    while not live.isEmpty():
+        turn = staged(_first_in_reach(live, keys))
+        offered = live.join(turn, [*keys, "at"]).select(*keys, "shell", F.col("at").alias("anchor"))
+        sized = live.join(offered, [*keys, "shell"]).groupBy(*keys, "anchor", "shell").agg(F.count(F.lit(1)).alias("n"), F.sum("boards").alias("sum")).where("n > 1")
+        best = sized.groupBy(*keys, "anchor").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("sum")).alias("sum"), "shell")).alias("b")).select(*keys, "anchor", F.col("b.shell").alias("shell"))
+        taken = staged(live.join(best, [*keys, "shell"]).select(*keys, "at", F.col("anchor").alias("pattern"), "shell", F.col("unit").alias("flex")))
+        found.append(taken)
+        # a line-up whose turn finds no other one left stands alone
+        rest = staged(live.join(taken.select(*keys, "at").unionByName(turn).distinct(), [*keys, "at"], "left_anti"))
+        discard(live, turn)
+        live = rest
+    discard(live)
+    grouped = reduce(DataFrame.unionByName, found) if found else rows.select(*keys, "at", F.col("at").alias("pattern"), F.col("lineup").alias("shell"), F.lit("").alias("flex")).where("false")
+    out = rows.join(grouped, [*keys, "at"], "left").withColumn("first", F.coalesce("pattern", "at")).drop("pattern")
+    firsts = spread_row_number(out.select(*keys, "first").distinct(), keys, [F.col("first")], "pattern")
+    place = F.row_number().over(Window.partitionBy(*keys, "first").orderBy("at")) - 1
+    named = out.withColumn("place", place).join(firsts, [*keys, "first"])
+    return named.select(*keys, (F.col("pattern") - 1).cast("long").alias("pattern"), "lineup", "shell", "flex", F.col("place").cast("long").alias("place"), "boards")
 
 
 def pattern_sums(patterns: DataFrame, carries: DataFrame) -> DataFrame:

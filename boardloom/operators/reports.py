@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardloom.functions.rules import ItemSets, completed_list, is_commitment
 from boardloom.operators.evidence import BOARD, CARRY
 from boardloom.operators.quality import broken_lobbies, first_reason
+from boardloom.operators.ranks import spread_running_sum
 
 
 def candidate_ranks(scores: DataFrame, listed: Column) -> DataFrame:
@@ -96,18 +99,15 @@ def review_sample(rows: DataFrame, reasons: list[tuple[str, Column]], order: lis
 def quantiles(rows: DataFrame, group: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
     """(group, n, least, most, mean, and q of each share): nearest rank at round-half-even(p * (n - 1)).
 
-    Ranks come from counts of distinct values, so a group of any size is pre-aggregated.
+    Distinct values are counted, and the counts summed in ranges of (group, value): no task takes a whole group.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    counts = spread_running_sum(counts, group, [F.col(value)], "c", "upto")
     sizes = counts.groupBy(*group).agg(F.sum("c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
-    marked = counts.withColumn("upto", upto).join(sizes, group)
-
-    def at(p: float) -> Column:
-        rank = F.least(F.col("n") - 1, F.bround(F.lit(p) * (F.col("n") - 1)).cast("long"))
-        return F.min(F.when(F.col("upto") > rank, F.col(value))).alias(f"p{round(100 * p):02d}")
-
-    return marked.groupBy(*group, "n", "least", "most", "mean").agg(*[at(p) for p in shares])
+    rank = lambda p: F.least(F.col("n") - 1, F.bround(F.lit(p) * (F.col("n") - 1)).cast("long"))
+    here = lambda p: (F.col("upto") > rank(p)) & (F.col("upto") - F.col("c") <= rank(p))
+    met = counts.join(sizes, group).where(reduce(Column.__or__, [here(p) for p in shares]))
+    return met.groupBy(*group, "n", "least", "most", "mean").agg(*[F.max(F.when(here(p), F.col(value))).alias(f"p{round(100 * p):02d}") for p in shares])
 
 
 def load_population(participants: DataFrame, units: DataFrame, matches: DataFrame, *, ranked_queue: int = 1100) -> DataFrame:
@@ -130,10 +130,11 @@ def recount(units: DataFrame, counted: Column, stored: str = "completed_item_cou
     return units.withColumn("recounted", counted).where(F.col("recounted") != F.col(stored))
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """A ranked report as one CSV file with a header, and as JSON lines; a report is short."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    rows.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+def write_report(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A ranked report as CSV with headers, and as JSON lines: files in ranges of ``order``, so their names sort as the rows do."""
+    ranked = rows.sort(*order)
+    ranked.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    ranked.write.mode("overwrite").json(f"{path}/json")
 
 
 def read_run(published: DataFrame, *, costs: list[int], least: int, entries: int, limit: int) -> DataFrame:

@@ -6,27 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardloom.functions.rules import client_patch, is_masked, patch_order
+from boardloom.operators.ranks import as_of, spread_row_number
+from boardloom.sources.shared import staged
 
-#: A registry holds a window for each patch; a larger table is surely a mistake.
-MOST_WINDOWS = 10_000
 PACIFIC = "America/Los_Angeles"
 DAY_MS = 86_400_000
 
 
-def _bounded(registry: DataFrame) -> DataFrame:
-    n = registry.count()
-    if n > MOST_WINDOWS:
-        raise ValueError(f"a registry of {n} windows")
-    return registry
-
-
 def classify(rows: DataFrame, registry: DataFrame, at: str = "game_datetime") -> DataFrame:
     """``rows`` with the registry row whose half-open window covers ``at``; gaps stay null.
 
-    The registry is broadcast: it is refused beyond MOST_WINDOWS rows.
+    Windows that overlap are refused, so the latest one that has started is the only one that can cover a time.
     """
-    covered = (F.col(at) >= F.col("starts_at")) & (F.col(at) < F.col("ends_at"))
-    return rows.join(F.broadcast(_bounded(registry)), covered, "left")
+    windows = registry.where("ends_at > starts_at")
+    if not _with_next(windows).where("next_start < ends_at").isEmpty():
+        raise ValueError("windows of the registry overlap")
+    found = as_of(rows, windows, at, "starts_at")
+    covered = F.col(at) < F.col("ends_at")
+    return found.select(*rows.columns, *[F.when(covered, F.col(c)).alias(c) for c in windows.columns if c not in rows.columns])
+
+
+def _with_next(registry: DataFrame) -> DataFrame:
+    """``registry`` with ``next_start``, the start of the window that follows in order of (start, end, label)."""
+    placed = staged(spread_row_number(registry, [], [F.col("starts_at"), F.col("ends_at"), F.col("label") if "label" in registry.columns else F.lit(0)], "__n"))
+    after = placed.select((F.col("__n") - 1).alias("__n"), F.col("starts_at").alias("next_start"))
+    return placed.join(after, "__n", "left").drop("__n")
 
 
 def resolved_patches(matches: DataFrame, registry: DataFrame) -> DataFrame:
@@ -48,8 +52,7 @@ def reclassify(stored: DataFrame, registry: DataFrame) -> DataFrame:
 
 def registry_violations(registry: DataFrame) -> DataFrame:
     """Windows that overlap their successor, end before they start, or define a label again."""
-    nxt = Window.orderBy("starts_at", "ends_at", "label")
-    marked = _bounded(registry).withColumns({"next_start": F.lead("starts_at").over(nxt), "same": F.count(F.lit(1)).over(Window.partitionBy("label"))})
+    marked = _with_next(registry).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("label")))
     reason = F.when(F.col("ends_at") <= F.col("starts_at"), "empty").when(F.col("next_start") < F.col("ends_at"), "overlap").when(F.col("same") > 1, "redefined")
     return marked.withColumn("reason", reason).where("reason is not null").select("label", "starts_at", "ends_at", "reason")
 
@@ -132,7 +135,7 @@ def schedule_violations(events: DataFrame) -> DataFrame:
     """(label, reason) of schedule rows that break its order; a schedule has some dozens of rows."""
     by_date = _in_order(events)
     last_patch = F.last(F.when(F.col("kind") == "patch", F.col("base_patch")), ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, -1))
-    marked = _bounded(events).withColumns({"before": F.lag("latest_date").over(by_date), "last_patch": last_patch, "same": F.count(F.lit(1)).over(Window.partitionBy("label"))})
+    marked = events.withColumns({"before": F.lag("latest_date").over(by_date), "last_patch": last_patch, "same": F.count(F.lit(1)).over(Window.partitionBy("label"))})
     plain = F.col("kind") == "patch"
     reason = (
         F.when(F.col("same") > 1, "label repeats")
@@ -146,14 +149,14 @@ def schedule_violations(events: DataFrame) -> DataFrame:
 def schedule_fingerprint(events: DataFrame) -> DataFrame:
     """One row with a digest of the schedule's rows in order."""
     row = F.concat_ws("|", "label", "kind", F.col("scheduled_date").cast("string"), F.col("earliest_date").cast("string"), F.col("latest_date").cast("string"))
-    lines = _bounded(events).select(F.struct("scheduled_date", "label", row.alias("row")).alias("s"))
+    lines = events.select(F.struct("scheduled_date", "label", row.alias("row")).alias("s"))
     return lines.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["row"]), "\n"), 256).alias("fingerprint"))
 
 
 def windows_from_schedule(events: DataFrame, *, hours: int = 24) -> DataFrame:
     """A window for each patch row with a successor: from the day after its latest reading to two days before the successor's earliest."""
     by_date = _in_order(events)
-    nxt = _bounded(events).withColumns({"until_label": F.lead("label").over(by_date), "until_date": F.lead("earliest_date").over(by_date)})
+    nxt = events.withColumns({"until_label": F.lead("label").over(by_date), "until_date": F.lead("earliest_date").over(by_date)})
     start = pacific_instant_ms(F.date_add("latest_date", 1), 0)
     end = pacific_instant_ms(F.date_sub("until_date", 2), 17)
     rows = nxt.where("kind = 'patch' and until_date is not null").withColumns({"starts_at": start, "ends_at": end})

@@ -77,8 +77,11 @@ def idempotent_append(b):
 
 @query("g03_provenance_stream", f"SELECT DISTINCT event_id, user_id AS player FROM events WHERE event_id IN (SELECT event_id FROM events WHERE event_type <> '{RANKED}')", raw=True)
 def provenance_stream(b):
-    linked = _events(b).join(_stored(b).select("event_id"), "event_id", "left_semi")
-    return _once(b, linked, ["event_id", "player"], ["event_id", "player"]).select("event_id", "player")
+    """Links of players to matches and the matches themselves, as two streams that may arrive in either order."""
+    matches = _events(b).where(F.col("cohort") != RANKED).select("event_id", "at")
+    path, schema = shared_folder(b.spark, "linked"), "event_id long, player long, at timestamp"
+    st.append_matched(_events(b), matches, path, shared_folder(b.spark, "stream"), key=["event_id"], at="at", columns=["event_id", "player"])
+    return b.spark.read.schema(schema).parquet(path).select("event_id", "player")
 
 
 @query("g06_live_counts", "SELECT epoch(date_trunc('day', ts))::BIGINT AS starts, event_type AS cohort, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL", raw=True)
@@ -96,8 +99,8 @@ def live_carries(b):
     arriving = dc.typed(b.spark.readStream.schema(dc.MATCH_SCHEMA).json(source))
     at = F.timestamp_millis("game_datetime")
     rows = arriving.select(at.alias("at"), F.year(at).cast("string").alias("balance_window"), F.explode(st.committed_units(F.col("boards"), ITEM_SETS)).alias("character_id"))
-    # files arrive in any order of time here, so nothing counts as late
-    st.live_counts(rows, ["balance_window", "character_id"], path, shared_folder(b.spark, "stream"), at="at", delay="36500 days")
+    # all documents are there at the start, so one batch takes them in, and its state closes seven days behind the newest
+    st.live_counts(rows, ["balance_window", "character_id"], path, shared_folder(b.spark, "stream"), at="at")
     return st.newest_counts(b.spark, path, ["balance_window", "character_id"]).select(F.unix_seconds("starts").alias("starts"), "balance_window", "character_id", "n")
 
 

@@ -204,7 +204,7 @@ def report_sink(b):
     """The report as CSV and JSON, and the CSV read again."""
     rows = ev.recurrence_order(_stats(b, min_samples=20)).select(*ev.CARRY, "cost", "commitment_games", F.col("place").cast("long").alias("place"))
     path = shared_folder(b.spark, "report")
-    rp.write_report(rows, path)
+    rp.write_report(rows, path, ["balance_window", "place"])
     return b.spark.read.schema(rows.schema).option("header", True).csv(f"{path}/csv")
 
 

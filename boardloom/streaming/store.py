@@ -34,8 +34,12 @@ def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def live_counts(rows: DataFrame, keys: list[str], path: str, checkpoint: str, *, at: str, delay: str = DELAY, width: str = "1 day") -> None:
-    """Counts by time window and ``keys``; a window closes when the watermark passes it, later rows are dropped."""
+def live_counts(rows: DataFrame, keys: list[str], path: str, checkpoint: str, *, at: str, delay: str = DELAY, width: str = "1 day") -> dict[str, int]:
+    """Counts by time window and ``keys``; a window closes when the watermark passes it and leaves the state.
+
+    Rows of a closed window are dropped and counted apart: the result has ``late``, such rows of this
+    call, and ``open``, the counts that the state holds after it.
+    """
     window = F.window(at, width)
     counts = rows.withWatermark(at, delay).groupBy(window, *keys).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.col("window.start").alias("starts"), *keys, "n")
@@ -44,6 +48,26 @@ def live_counts(rows: DataFrame, keys: list[str], path: str, checkpoint: str, *,
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     stream = counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    run = stream.trigger(availableNow=True).start()
+    run.awaitTermination()
+    states = [p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"]]
+    return {"late": sum(s["numRowsDroppedByWatermark"] for s in states), "open": states[-1]["numRowsTotal"] if states else 0}
+
+
+def append_matched(left: DataFrame, right: DataFrame, path: str, checkpoint: str, *, key: list[str], at: str, columns: list[str], delay: str = DELAY) -> None:
+    """Rows of one stream that a row of the other one matches by ``key`` within ``delay`` of its time, whichever arrives first.
+
+    Both sides are kept until the watermark is past any match they could have, then leave the state. A
+    row with several matches, or one that repeats all ``columns``, is written once.
+    """
+    late = f"INTERVAL {delay}"
+    one = left.select(*columns, at).withWatermark(at, delay)
+    two = right.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(at).alias("__at")).withWatermark("__at", delay)
+    near = F.expr(f"__at >= {at} - {late} AND __at <= {at} + {late}")
+    for k in key:
+        near = near & (F.col(k) == F.col(f"__{k}"))
+    met = one.join(two, near).select(*columns, at).dropDuplicatesWithinWatermark(columns)
+    stream = met.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     stream.trigger(availableNow=True).start().awaitTermination()
 
 

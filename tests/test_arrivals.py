@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from boardloom.operators import groups as gr
 from boardloom.operators import sampling as sm
@@ -43,6 +44,67 @@ def test_late_rows_do_not_count(spark):
     assert got == {(1, "a"): 3, (20, "b"): 2, (19, "b"): 1}
 
 
+def test_state_stays_as_large_as_the_delay(spark):
+    """A day at a time: the state holds the days of the delay, and rows behind it are counted apart."""
+    source, path, checkpoint = (shared_folder(spark, x) for x in ("in", "out", "mark"))
+    told = []
+    for day in range(1, 13):
+        rows = [(10 * day + i, day, v) for i, v in enumerate("abc")] + ([(999, 1, "a")] if day == 9 else [])
+        arrived(spark, source, rows)
+        told.append(st.live_counts(spark.readStream.schema(AT).parquet(source), ["v"], path, checkpoint, at="at", delay="2 days"))
+    assert [t["late"] for t in told] == [0] * 8 + [1] + [0] * 3
+    assert len({t["open"] for t in told[4:]}) == 1 and told[-1]["open"] <= 3 * 4
+    assert {r.n for r in st.newest_counts(spark, path, ["v"]).collect()} == {1}
+
+
+def test_links_and_matches_in_either_order(spark):
+    folders = {x: shared_folder(spark, x) for x in ("links", "found", "out", "mark")}
+    steps = [
+        ([(1, 1, "p"), (1, 1, "q"), (2, 1, "p")], [(2, 1, "m")]),  # link 1 waits for its match, link 2 finds it
+        ([(3, 3, "p"), (3, 3, "p")], [(1, 2, "m"), (1, 2, "m")]),  # the match of link 1; link 3 waits, twice the same
+        ([(4, 4, "r")], [(3, 4, "m"), (5, 4, "m")]),  # match 5 waits for its link
+        ([(5, 5, "s"), (6, 20, "t")], [(9, 20, "m")]),
+        ([(7, 21, "u")], [(4, 4, "m"), (8, 21, "m")]),  # match 4 is far too late
+        ([(8, 22, "v")], [(7, 22, "m")]),
+    ]
+    for links, matches in steps:
+        arrived(spark, folders["links"], links)
+        arrived(spark, folders["found"], matches)
+        left, right = (spark.readStream.schema(AT).parquet(folders[x]) for x in ("links", "found"))
+        st.append_matched(left, right.select("id", "at"), folders["out"], folders["mark"], key=["id"], at="at", columns=["id", "v"], delay="3 days")
+    got = sorted((r.id, r.v) for r in spark.read.parquet(folders["out"]).collect())
+    assert got == [(1, "p"), (1, "q"), (2, "p"), (3, "p"), (5, "s"), (7, "u"), (8, "v")]
+
+
+def test_as_of(spark):
+    """Times at, between, before and after marks, in more ranges than there are marks; overlap is refused."""
+    import random
+
+    from boardloom.operators import windows as wi
+    from boardloom.operators.ranks import as_of, spread_running_sum
+
+    rng = random.Random(3)
+    starts = sorted(rng.sample(range(100, 2000), 40))
+    times = [rng.randint(0, 2100) for _ in range(400)] + [starts[3]] * 200 + [None] * 3
+    marks = spark.createDataFrame([(s, f"w{s}", t) for s, t in zip(starts, [*starts[1:], 2050], strict=True)], "starts_at long, label string, ends_at long")
+    rows = spark.createDataFrame(list(enumerate(times)), "id int, at long")
+    got = {r.id: r.label for r in as_of(rows, marks, "at", "starts_at").collect()}
+    want = {i: None if t is None or t < starts[0] else f"w{max(s for s in starts if s <= t)}" for i, t in enumerate(times)}
+    assert got == want
+    gaps = marks.withColumn("ends_at", F.col("ends_at") - 5)
+    ends = dict(zip(starts, [*starts[1:], 2050], strict=True))
+    inside = lambda i: want[i] if want[i] and times[i] < ends[int(want[i][1:])] - 5 else None
+    assert {r.id: r.label for r in wi.classify(rows, gaps, "at").collect()} == {i: inside(i) for i in want}
+    assert "NestedLoop" not in wi.classify(rows, gaps, "at")._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="overlap"):
+        wi.classify(rows, marks.withColumn("ends_at", F.col("ends_at") + 1), "at")
+    sums = spread_running_sum(rows.where("at is not null"), [], [F.col("at"), F.col("id")], "at", "upto").collect()
+    total = 0
+    for r in sorted(sums, key=lambda r: (r["at"], r.id)):
+        total += r["at"]
+        assert r.upto == total
+
+
 def test_documents_with_gaps(spark):
     path = shared_folder(spark, "docs")
     unit = {"character_id": "A", "tier": 0, "item_names": ["R_A"]}
