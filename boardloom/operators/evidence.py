@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardloom.functions.rules import ItemSets, clamp, completed_list, shrink, trait_count_key
+from boardloom.sources.shared import staged
 
 BOARD = ["match_id", "participant_index"]
 CARRY = ["balance_window", "character_id"]
@@ -39,14 +40,28 @@ def champion_boards(units: DataFrame) -> DataFrame:
 
 def carry_boards(participants: DataFrame, units: DataFrame, windows: DataFrame) -> DataFrame:
     """Committed boards: (window, carry, board, cost, hit, placement, level)."""
-    rows = champion_boards(units).where("committed").join(participants, BOARD).join(windows, "match_id")
-    return rows.select(*CARRY, *BOARD, "cost", "hit", "placement", "level")
+    return committed_boards(placed_champions(participants, units, windows))
+
+
+def placed_champions(participants: DataFrame, units: DataFrame, windows: DataFrame) -> DataFrame:
+    """:func:`champion_boards` with window, placement and level."""
+    return champion_boards(units).join(participants, BOARD).join(windows, "match_id").select(*CARRY, *BOARD, "cost", "committed", "hit", "placement", "level")
+
+
+def committed_boards(placed: DataFrame) -> DataFrame:
+    return placed.where("committed").drop("committed")
 
 
 def carry_stats(participants: DataFrame, units: DataFrame, windows: DataFrame, *, min_cost: int = 1, max_cost: int = 3, min_samples: int = 3, prior: float = PRIOR) -> DataFrame:
-    """Rates, shrunk rates and score of every (window, champion, cost)."""
-    totals = observable_boards(participants, units).join(windows, "match_id").groupBy("balance_window").agg(F.count(F.lit(1)).alias("observable"))
-    rows = champion_boards(units).where(F.col("cost").between(min_cost, max_cost)).join(participants.select(*BOARD, "placement"), BOARD).join(windows, "match_id")
+    """Rates, shrunk rates and score of every (window, champion, cost); units are read once."""
+    placed = staged(placed_champions(participants, units, windows))
+    return stats_of(placed, min_cost=min_cost, max_cost=max_cost, min_samples=min_samples, prior=prior)
+
+
+def stats_of(placed: DataFrame, *, min_cost: int = 1, max_cost: int = 3, min_samples: int = 3, prior: float = PRIOR) -> DataFrame:
+    """:func:`carry_stats` from :func:`placed_champions`; a board with a champion is one with a unit."""
+    totals = placed.select("balance_window", *BOARD).distinct().groupBy("balance_window").agg(F.count(F.lit(1)).alias("observable"))
+    rows = placed.where(F.col("cost").between(min_cost, max_cost))
     yes, top4 = F.col("committed"), F.col("placement") <= 4
     hit, miss = yes & F.col("hit"), yes & ~F.col("hit")
     got = rows.groupBy(*CARRY, "cost").agg(
@@ -149,7 +164,7 @@ def combinations(items: Column, size: int) -> Column:
         here = F.when(start <= F.size(items), here).otherwise(F.array().cast("array<int>"))
         joined = lambda i: F.element_at(items, i) if prefix is None else F.concat(prefix, F.lit("+"), F.element_at(items, i))
         if left == 1:
-            return F.transform(here, joined)
+            return items if prefix is None else F.transform(here, joined)
         return F.flatten(F.transform(here, lambda i: extend(joined(i), i + 1, left - 1)))
 
     return extend(None, F.lit(1), size)
@@ -202,9 +217,10 @@ def recurring_cores(carries: DataFrame, units: DataFrame, *, size: int, min_game
 
     Mates below the floor can't be in such a core, so they go before combinations are made.
     """
-    pairs = carry_partners(carries, units).where("key is not null")
+    pairs = carry_partners(carries, units).where("key is not null").select(*CARRY, *BOARD, "placement", "key")
     if eligible is not None:
         pairs = pairs.where(eligible)
+    pairs = staged(pairs)
     frequent = pairs.groupBy(*CARRY, "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_games)
     pairs = pairs.join(frequent.select(*CARRY, "key"), [*CARRY, "key"], "left_semi")
     boards = pairs.groupBy(*CARRY, *BOARD, "placement").agg(F.array_sort(F.collect_set("key")).alias("mates"))

@@ -252,12 +252,12 @@ def _lists_sql() -> str:
 def discovery_candidates(b):
     """Candidates with their lists, a row for each entry of a list."""
     units = staged(b.units)
-    carries = staged(ev.carry_boards(b.participants, units, b.windows))
+    placed = staged(ev.placed_champions(b.participants, units, b.windows))
+    carries = staged(ev.committed_boards(placed))
     items = staged(ev.item_associations(carries, units, ITEM_SETS, 1, min_games=1))
-    partners = staged(ev.partner_associations(carries, units))
+    partners = staged(ev.partner_associations(carries, placed))
     traits = ev.trait_count_associations(carries, b.traits)
-    stats = ev.carry_stats(b.participants, units, b.windows, max_cost=5, min_samples=10)
-    out = staged(ev.discovery_candidates(stats, partners, items, traits))
+    out = staged(ev.discovery_candidates(ev.stats_of(placed, max_cost=5, min_samples=10), partners, items, traits))
     entries = None
     for kind in ("partners", "items", "traits"):
         rows = out.select(*ev.CARRY, "cost", "opportunity", F.lit(kind).alias("kind"), F.inline(f"top_{kind}"))
