@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardloom.operators import families as fa
+from boardloom.operators import group_pages as gp
 from boardloom.operators import groups as gr
 from boardloom.operators import merge_reports as mr
 from boardloom.operators import merging as me
 from boardloom.operators import refinement as rf
 from boardloom.plans.groups import GROUPS_SQL, KEY, _members, _profiles, _vectors
 from boardloom.plans.registry import query, rounded
-from boardloom.sources.binding import Boards
+from boardloom.sources.binding import ITEM_SETS, Boards
 from boardloom.sources.shared import staged
 
 #: Bound groups are small next to real ones.
@@ -265,6 +266,65 @@ def _details(b: Boards) -> DataFrame:
     return _once(b, "details", lambda: staged(mr.attempt_details(_merged(b), rules=RULES)))
 
 
+def _page_units(b: Boards) -> DataFrame:
+    return b.units.join(b.windows, "match_id").select(*KEY, "unit_index", F.col("shape_id").alias("unit"), "items", "tier", F.col("completed_item_count").alias("held"), "committed")
+
+
+_PAGES = f"""{START_SQL}, page AS (SELECT s.*, unit, c, boards FROM (SELECT balance_window, match_id, participant_index, shape_id AS unit, arg_max(struct_pack(items := items, committed := committed, tier := tier, h := completed_item_count), struct_pack(a := completed_item_count, b := tier, c := -unit_index)) AS c FROM units JOIN matches USING (match_id) GROUP BY ALL) JOIN start s USING (balance_window, match_id, participant_index) JOIN sized z ON z.balance_window = s.balance_window AND z.grp = s.grp)"""
+
+
+def _ranks_sql(x: str, ranks: dict[str, float]) -> str:
+    return ", ".join(f"{x}[CAST(least(len({x}) - 1, round_even({p} * (len({x}) - 1), 0)) AS INTEGER) + 1] AS {name}" for name, p in ranks.items())
+
+
+@query("c19_unit_rows", f", {_PAGES} SELECT balance_window, grp AS \"group\", unit, round(count(*) / any_value(boards), 6) AS presence, " + ", ".join(f"round(count(*) FILTER ({test}) / any_value(boards), 6) AS {name}" for name, test in (("two_items", "c.h >= 2"), ("qualified", "c.committed"), ("defensive", "list_has_any(c.items, ['R_N','R_R','T_2','T_3','T_4','D_3','D_4'])"), ("gloves", "list_contains(c.items, 'T_8')"), ("adaptive", "list_contains(c.items, 'D_5')"))) + ", " + ", ".join(f"round(count(*) FILTER (c.tier = {k}) / count(*), 6) AS stars_{k}" for k in (1, 2, 3)) + " FROM page GROUP BY ALL")
+def unit_rows(b):
+    return rounded(gp.unit_rows(_partition(b)[1], _page_units(b), ITEM_SETS))
+
+
+@query("c19_trait_rows", f', {START_SQL} SELECT s.balance_window, s.grp AS "group", trait_name, round(count(*) / any_value(boards), 6) AS share, row_number() OVER (PARTITION BY s.balance_window, s.grp ORDER BY count(*) DESC, trait_name) AS place FROM traits JOIN start s USING (match_id, participant_index) JOIN sized z ON z.balance_window = s.balance_window AND z.grp = s.grp WHERE tier_current >= 1 GROUP BY s.balance_window, s.grp, trait_name QUALIFY place <= 10')
+def trait_rows(b):
+    held = b.traits.join(b.windows, "match_id")
+    return rounded(gp.trait_rows(_partition(b)[1], held).withColumn("place", F.col("place").cast("long")))
+
+
+@query("c19_group_shape", f", {START_SQL}, per AS (SELECT balance_window, grp, list_sort(list(k)) AS x, avg(k) AS mean FROM (SELECT balance_window, grp, match_id, participant_index, count(*) AS k FROM vectors JOIN start USING (balance_window, match_id, participant_index) GROUP BY ALL) GROUP BY ALL), stepped AS (SELECT *, presence - lead(presence) OVER w AS step, row_number() OVER w AS r FROM means WINDOW w AS (PARTITION BY balance_window, grp ORDER BY presence DESC, unit)), told AS (SELECT balance_window, grp, max(struct_pack(s := step, r := r)) FILTER (step IS NOT NULL) AS g, coalesce(list_sort(list(unit) FILTER (presence >= 0.15 AND presence < 0.75)), []) AS other, count(*) FILTER (presence >= 0.75) AS core FROM stepped GROUP BY ALL), every AS (SELECT balance_window, count(*) AS n FROM board_totals GROUP BY ALL) SELECT balance_window, grp AS \"group\", CAST(len(x) AS BIGINT) AS boards, round(len(x) / n, 6) AS share, " + _ranks_sql("x", {"units_p10": 0.1, "units_median": 0.5, "units_p90": 0.9}) + ", array_to_string(other, '+') AS other_units, round(coalesce(g.s, 0), 6) AS step, coalesce(g.r, 0) AS after_rank, round(core / mean, 6) AS stable_slots FROM per JOIN told USING (balance_window, grp) JOIN every USING (balance_window)")
+def group_shape(b):
+    vectors, start = _partition(b)
+    rows = gp.group_shape(start, vectors)
+    return rounded(rows.withColumns({"other_units": F.array_join("other_units", "+"), "after_rank": F.col("after_rank").cast("long")}))
+
+
+@query("c19_placements", f', {START_SQL} SELECT s.balance_window, grp AS "group", placement, count(*) AS boards FROM start s JOIN participants USING (match_id, participant_index) GROUP BY ALL')
+def placements(b):
+    return gp.placements(_partition(b)[1], _boards(b))
+
+
+@query("c20_item_pairs", f", {_PAGES}, owned AS (SELECT p.*, placement, list_sort(list_filter(c.items, lambda i: i <> '' AND i NOT IN ('D_0','D_1','D_2','T_0','T_1'))) AS own FROM page p JOIN participants USING (match_id, participant_index)), two AS (SELECT * FROM owned WHERE len(own) >= 2), population AS (SELECT balance_window, grp, unit, count(*) AS population FROM two GROUP BY ALL), spread AS (SELECT balance_window, grp, unit, placement, c, unnest(list_distinct(flatten(list_transform(range(1, len(own)), lambda a: list_transform(range(a + 1, len(own) + 1), lambda z: own[a] || '+' || own[z]))))) AS pair FROM two) SELECT balance_window, grp AS \"group\", unit, pair, count(*) AS n, round(avg(placement), 6) AS mean, round(avg(CAST(placement <= 4 AS INTEGER)), 6) AS top4, round(avg(CAST(placement = 1 AS INTEGER)), 6) AS wins, round(avg(CAST(c.tier >= 3 AS INTEGER)), 6) AS three_star, round(avg(CAST(c.committed AS INTEGER)), 6) AS qualified, row_number() OVER (PARTITION BY balance_window, grp, unit ORDER BY count(*) DESC, pair) AS place, round(count(*) / any_value(population), 6) AS share, array_to_string(list_filter([CASE WHEN list_contains(string_split(pair, '+'), 'T_8') THEN 'gloves' END, CASE WHEN count(*) < 10 THEN 'small sample' END], lambda f: f IS NOT NULL), '+') AS flags FROM spread JOIN population USING (balance_window, grp, unit) GROUP BY balance_window, grp, unit, pair QUALIFY place <= 5")
+def item_pairs(b):
+    rows = gp.item_pairs(_partition(b)[1], _page_units(b), _boards(b), ITEM_SETS)
+    return rounded(rows.withColumns({"place": F.col("place").cast("long"), "flags": F.array_join("flags", "+")}))
+
+
+@query("c21_size_bands", f", {START_SQL} SELECT balance_window, {_BAND} AS band, count(*) AS groups, CAST(sum(boards) AS BIGINT) AS boards FROM sized GROUP BY ALL")
+def size_bands(b):
+    return gp.size_bands(_partition(b)[1])
+
+
+@query("c21_metric_quantiles", f", {_NEAR_SQL}, measures AS (SELECT balance_window, 'nearest' AS measure, CAST(similarity AS DOUBLE) AS v FROM near UNION ALL SELECT balance_window, 'within', similarity FROM own UNION ALL SELECT balance_window, 'size', boards FROM sized), sorted AS (SELECT balance_window, measure, list_sort(list(v)) AS x FROM measures GROUP BY ALL) SELECT balance_window, measure, CAST(len(x) AS BIGINT) AS n, round(n_min, 6) AS min, round(n_max, 6) AS max, " + ", ".join(f"round({name}, 6) AS {name}" for name in mr.RANKS) + " FROM (SELECT *, x[1] AS n_min, x[len(x)] AS n_max, " + _ranks_sql("x", mr.RANKS) + " FROM sorted)")
+def metric_quantiles(b):
+    vectors, start = _partition(b)
+    return rounded(gp.metric_quantiles(vectors, start))
+
+
+@query("c25_anchor_changes", f", {_SUMMARY_SQL}, anchors AS (SELECT p_type AS name, [p_type, 'SMALL'] AS us FROM (SELECT DISTINCT p_type FROM part)), met AS (SELECT balance_window, name, boards FROM summaries JOIN anchors ON len(list_filter(us, lambda u: NOT list_contains(core, u))) = 0), x AS (SELECT balance_window, name, count(*) AS base_groups, count(*) FILTER (boards >= {BIG}) AS other_groups FROM met GROUP BY ALL) SELECT balance_window, name AS anchor, base_groups, other_groups, CASE WHEN base_groups = 0 THEN 'gained' WHEN other_groups = 0 THEN 'lost' WHEN base_groups = other_groups THEN 'unchanged' WHEN base_groups < other_groups THEN 'split' ELSE 'joined' END AS change FROM x")
+def anchor_changes(b):
+    """What becomes of anchors when only large groups are kept."""
+    summaries = staged(_summaries(b))
+    anchors = b.read("part").select(F.col("p_type").alias("name")).distinct().withColumn("units", F.array("name", F.lit("SMALL")))
+    return fa.anchor_changes(fa.anchored_groups(summaries, anchors), fa.anchored_groups(summaries.where(F.col("boards") >= BIG), anchors))
+
+
 @query("c12_merge_variants")
 def merge_variants(b):
     """Greedy merges under the rule for tails; boards and variants of each family."""
