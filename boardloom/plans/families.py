@@ -59,9 +59,9 @@ def candidates(b):
     return gr.candidates(_vectors(b), _profiles(b), KEY, within=["balance_window"], group="group").select(*KEY, "group")
 
 
-_TRAIT_BLEND = f"""{GROUPS_SQL}, tv AS (SELECT balance_window, match_id, participant_index, trait_name AS unit, 1.0 AS weight FROM traits JOIN matches USING (match_id) WHERE tier_current >= 1),
-tp AS (SELECT balance_window, grp, unit, sum(weight) / any_value(n) AS weight FROM tv JOIN members USING (balance_window, match_id, participant_index) JOIN (SELECT balance_window, grp, count(*) AS n FROM members GROUP BY ALL) USING (balance_window, grp) GROUP BY ALL),
-tlow AS (SELECT s.balance_window, s.match_id, s.participant_index, s.grp, sum(least(v.weight, p.weight)) AS low FROM scores s JOIN tv v USING (balance_window, match_id, participant_index) JOIN tp p ON p.balance_window = s.balance_window AND p.grp = s.grp AND p.unit = v.unit GROUP BY ALL),
+_TRAIT_BLEND = f"""{GROUPS_SQL}, tv AS MATERIALIZED (SELECT balance_window, match_id, participant_index, trait_name AS unit, 1.0 AS weight FROM traits JOIN matches USING (match_id) WHERE tier_current >= 1),
+tp AS MATERIALIZED (SELECT balance_window, grp, unit, sum(weight) / any_value(n) AS weight FROM tv JOIN members USING (balance_window, match_id, participant_index) JOIN (SELECT balance_window, grp, count(*) AS n FROM members GROUP BY ALL) USING (balance_window, grp) GROUP BY ALL),
+tlow AS MATERIALIZED (SELECT s.balance_window, s.match_id, s.participant_index, s.grp, sum(least(v.weight, p.weight)) AS low FROM scores s JOIN tv v USING (balance_window, match_id, participant_index) JOIN tp p ON p.balance_window = s.balance_window AND p.grp = s.grp AND p.unit = v.unit GROUP BY ALL),
 ta AS (SELECT balance_window, match_id, participant_index, sum(weight) AS a FROM tv GROUP BY ALL), tg AS (SELECT balance_window, grp, sum(weight) AS g FROM tp GROUP BY ALL),
 blend AS (SELECT s.balance_window, s.match_id, s.participant_index, s.grp, s.similarity, coalesce(CASE WHEN coalesce(ta.a, 0) + coalesce(tg.g, 0) - coalesce(l.low, 0) > 0 THEN round(coalesce(l.low, 0) / (coalesce(ta.a, 0) + coalesce(tg.g, 0) - coalesce(l.low, 0)), 9) END, 0) AS t FROM scores s LEFT JOIN tlow l ON l.balance_window = s.balance_window AND l.match_id = s.match_id AND l.participant_index = s.participant_index AND l.grp = s.grp
   LEFT JOIN ta ON ta.balance_window = s.balance_window AND ta.match_id = s.match_id AND ta.participant_index = s.participant_index LEFT JOIN tg ON tg.balance_window = s.balance_window AND tg.grp = s.grp)"""

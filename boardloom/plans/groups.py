@@ -13,12 +13,12 @@ KEY = ["balance_window", *BOARD]
 #: Bound units have six shapes, so a group's units are common; two shared ones at 30% as in the operator.
 LEAST = 0.6
 
-GROUPS_SQL = """vectors AS (SELECT balance_window, match_id, participant_index, shape_id AS unit, max(CASE WHEN completed_item_count >= 2 THEN 2.0 WHEN cost >= 4 AND completed_item_count = 0 AND tier = 1 THEN 0.5 ELSE 1.0 END) AS weight
+GROUPS_SQL = """vectors AS MATERIALIZED (SELECT balance_window, match_id, participant_index, shape_id AS unit, max(CASE WHEN completed_item_count >= 2 THEN 2.0 WHEN cost >= 4 AND completed_item_count = 0 AND tier = 1 THEN 0.5 ELSE 1.0 END) AS weight
   FROM units JOIN matches USING (match_id) GROUP BY ALL),
-members AS (SELECT balance_window, match_id, participant_index, min(character_id) AS grp FROM carries GROUP BY ALL),
-profiles AS (SELECT balance_window, grp, unit, sum(weight) / any_value(n) AS weight, count(*) / any_value(n) AS presence FROM vectors JOIN members USING (balance_window, match_id, participant_index)
+members AS MATERIALIZED (SELECT balance_window, match_id, participant_index, min(character_id) AS grp FROM carries GROUP BY ALL),
+profiles AS MATERIALIZED (SELECT balance_window, grp, unit, sum(weight) / any_value(n) AS weight, count(*) / any_value(n) AS presence FROM vectors JOIN members USING (balance_window, match_id, participant_index)
   JOIN (SELECT balance_window, grp, count(*) AS n FROM members GROUP BY ALL) USING (balance_window, grp) GROUP BY ALL),
-scores AS (SELECT *, round(low / (a + g - low), 9) AS similarity FROM (SELECT balance_window, match_id, participant_index, grp, sum(least(v.weight, p.weight)) AS low, count(*) FILTER (presence >= 0.3) AS hits FROM vectors v JOIN profiles p USING (balance_window, unit) GROUP BY ALL HAVING count(*) FILTER (presence >= 0.3) >= 2)
+scores AS MATERIALIZED (SELECT *, round(low / (a + g - low), 9) AS similarity FROM (SELECT balance_window, match_id, participant_index, grp, sum(least(v.weight, p.weight)) AS low, count(*) FILTER (presence >= 0.3) AS hits FROM vectors v JOIN profiles p USING (balance_window, unit) GROUP BY ALL HAVING count(*) FILTER (presence >= 0.3) >= 2)
   JOIN (SELECT match_id, participant_index, sum(weight) AS a FROM vectors GROUP BY ALL) USING (match_id, participant_index) JOIN (SELECT balance_window, grp, sum(weight) AS g FROM profiles GROUP BY ALL) USING (balance_window, grp)),
 best AS (SELECT * FROM scores WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY match_id, participant_index ORDER BY similarity DESC, grp) = 1)"""
 
