@@ -52,8 +52,8 @@ LEAF = 1 << 15
 SLACK = 1e-5
 _HOME, _GUEST = 0, 1
 _ROTATIONS: dict[int, np.ndarray] = {}
-_DEALT = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("label", pa.string()), ("dims", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("guest", pa.int32()), ("raw", pa.list_(pa.float64())), ("turned", pa.list_(pa.float32()))])
-_DEALT_SQL = "node long, copies long, label string, dims int, block int, cell long, guest int, raw array<double>, turned array<float>"
+_DEALT = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("label", pa.string()), ("dims", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("guest", pa.int32())])
+_DEALT_SQL = "node long, copies long, label string, dims int, block int, cell long, guest int, raw array<{kind}>, turned array<float>"
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -97,7 +97,11 @@ def _cells(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(guests)
 
 
-def _dealer(least: float):
+def _dealer(least: float, kind: str):
+    """Rows for the cells of every block; ``raw`` goes along in the input's own precision (``kind``)."""
+    own = pa.float32() if kind == "float" else pa.float64()
+    schema = _DEALT.append(pa.field("raw", pa.list_(own))).append(pa.field("turned", pa.list_(pa.float32())))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.to_pandas()
@@ -107,9 +111,9 @@ def _dealer(least: float):
                 for b, block in enumerate(blocks_of(int(dims))):
                     rows, cells, guests = _cells(turned[:, block], np.sqrt(budget(int(dims), block, least)))
                     n = len(rows)
-                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[rows].ravel()), int(dims)).cast(pa.list_(kind)) for x, kind in ((raw, pa.float64()), (turned, pa.float32()))]
+                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[rows].ravel()), int(dims)).cast(pa.list_(of)) for x, of in ((raw.astype(own.to_pandas_dtype()), own), (turned, pa.float32()))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part["node"].to_numpy()[rows]), pa.array(part["copies"].to_numpy()[rows]), pa.array(part["label"].to_numpy()[rows], pa.string()), pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(cells), pa.array(guests), *lists], schema=_DEALT
+                        [pa.array(part["node"].to_numpy()[rows]), pa.array(part["copies"].to_numpy()[rows]), pa.array(part["label"].to_numpy()[rows], pa.string()), pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(cells), pa.array(guests), *lists], schema=schema
                     )
 
     return run
@@ -199,7 +203,8 @@ def _judge(least: float):
         n = rows.num_rows
         flat = lambda name: rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
         raw, turned, tile = flat("raw"), flat("turned"), rows["tile"].to_numpy()
-        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+        raw = raw.astype(np.float64)
+        raw /= np.abs(raw).max(axis=1, keepdims=True)
         first = np.flatnonzero(tile == p)
         i, j = _links(raw, turned, first, None if p == q else np.flatnonzero(tile == q), dims, number, least)
         copies, node = rows["copies"].to_numpy(), rows["node"].to_numpy()
@@ -219,12 +224,13 @@ def _usable() -> Column:
 
 def near_vectors(vectors: DataFrame, *, least: float = LEAST, vector_col: str = "embedding", tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row a vector."""
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), vector.alias("vector"))
     rows = staged(rows.withColumn("vector", F.when(_usable(), F.col("vector"))).withColumn("row", F.monotonically_increasing_id()))
     kinds = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     kinds = staged(kinds.withColumn("dims", F.size("vector")))
-    dealt = staged(kinds.select("node", "copies", "label", "dims", F.col("vector").alias("raw")).mapInArrow(_dealer(least), _DEALT_SQL))
+    dealt = staged(kinds.select("node", "copies", "label", "dims", F.col("vector").alias("raw")).mapInArrow(_dealer(least, kind), _DEALT_SQL.format(kind=kind)))
     cell = ["label", "dims", "block", "cell"]
     sizes = dealt.groupBy(*cell).agg(F.count_if(F.col("guest") == _HOME).alias("home"), F.count_if(F.col("guest") == _GUEST).alias("away"))
     tiles = lambda c: F.ceil(F.col(c) / tile).cast("int")
