@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -106,6 +107,111 @@ def test_language_id(docs, odd):
     assert [rows[i]["lang_pred"] for i in (0, 1, 2, 9)] == ["und"] * 4
 
 
+def test_language_id_by_plain_loops(spark):
+    """Every prediction and score: n-gram hashing, idf, the learner and the calibration written out, with a tree of three heights."""
+    import math
+    import random
+
+    from boardloom.llm import language_id as li
+
+    rng, alphabets = random.Random(4), ["abcdef", "cdefgh1", "ghijkl", "klmn op", "pqrst", "\u00e4\u00f6uvwx", "\u4e00\u4e8c\u4e09yz"]
+    rows = [(i, "".join(rng.choice(alphabets[i % 7]) for _ in range(rng.randint(1, 60))), f"l{i % 7}") for i in range(210)]
+    rows += [(None, "abc", "l0"), (900, "", "l1"), (901, None, "l2"), (902, "123", "l3"), (1 << 60, "uvw", None), (7, "ABCdef \ud83d\ude00", "l5"), (7, "ABCdef \ud83d\ude00", "l5")]
+    rows = [(i, t and t.encode("utf-16", "surrogatepass").decode("utf-16"), s) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        fold = lambda c: ord(c) if c.isalpha() or ord(c) >= 0x2100 else 1 if c.isspace() else 2 if c.isdigit() else 3
+        points, out = [fold(c) for c in text] + [1, 1, 1], []
+        for start in range(len(text) + 1):
+            g = 0
+            for order in range(3):
+                g = (g * 0x9E3779B1 + points[start + order] + order * 0x85EBCA6B) % (1 << 32)
+                out.append(((g ^ (g >> 15)) * 0x2C1B3C6D % (1 << 32)) >> 16)
+        return out
+
+    known = lambda t: t is not None and any(c.isalpha() for c in t)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    learn = [(i, t.lower(), s) for i, t, s in rows if not held(i) and s and known(t)]
+    df = Counter(g for _, t, _ in learn for g in set(grams(t)))
+    idf = lambda g: math.log((1 + len(learn)) / (1 + df[g])) + 1.0
+    names = sorted({s for *_, s in learn})
+
+    def node_model(members, fanout_below):
+        """Weights as {(bucket, child): w}, and the temperature."""
+        own = sorted({r for r in learn if r[2] in members}, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+        first = names.index(members[0]) // fanout_below
+        data = []
+        for _, t, s in own:
+            c = Counter(grams(t))
+            n = sum(c.values())
+            data.append(([(g, li.SCALE * float(np.float32(c[g] / n)) * idf(g)) for g in sorted(c)], names.index(s) // fanout_below - first))
+        k = len({names.index(s) // fanout_below for s in members})
+        z, n = defaultdict(float), defaultdict(float)
+
+        def weight(g, c):
+            v = z[g, c]
+            return 0.0 if abs(v) <= li.L1 else -(v - math.copysign(li.L1, v)) / ((li.BETA + math.sqrt(n[g, c])) / li.ALPHA + li.L2)
+
+        def chances(logits, t=1.0):
+            top = max(logits)
+            e = [math.exp((v - top) / t) for v in logits]
+            return [v / sum(e) for v in e]
+
+        shuffled = np.random.default_rng(7).permutation(len(data))
+        aside = int(len(data) * li.CALIBRATION_SHARE)
+        for _ in range(li.EPOCHS):
+            for j in shuffled[aside:]:
+                x, label = data[j]
+                w = {(g, c): weight(g, c) for g, _ in x for c in range(k)}
+                p = chances([sum(v * w[g, c] for g, v in x) for c in range(k)])
+                for g, v in x:
+                    for c in range(k):
+                        d = v * (p[c] - (c == label))
+                        z[g, c] += d - (math.sqrt(n[g, c] + d * d) - math.sqrt(n[g, c])) / li.ALPHA * w[g, c]
+                        n[g, c] += d * d
+        w = {(g, c): weight(g, c) for g, c in list(z)}
+        logits = [[sum(v * w.get((g, c), 0.0) for g, v in data[j][0]) for c in range(k)] for j in shuffled[:aside]]
+        temperature = li.fitted_temperature(np.array(logits).reshape(aside, k), np.array([data[j][1] for j in shuffled[:aside]], int))
+        return k, w, lambda ls: chances(ls, temperature)
+
+    for fanout in (256, 2):
+        height = 1
+        while fanout**height < len(names):
+            height += 1
+        models = {}
+        expected = []
+        for i, t, _ in rows:
+            at, score = 0, 1.0
+            if not known(t):
+                expected.append((i, held(i), "und", 0.0))
+                continue
+            own = grams(t.lower())
+            for h in range(height, 0, -1):
+                if (h, at) not in models:
+                    models[h, at] = node_model(names[at * fanout**h : (at + 1) * fanout**h], fanout ** (h - 1))
+                k, w, chances = models[h, at]
+                p = chances([sum(li.SCALE * idf(g) * w.get((g, c), 0.0) for g in own) / len(own) for c in range(k)])
+                best = max(range(k), key=lambda c: (p[c], -c))
+                score, at = score * p[best], at * fanout + best
+            expected.append((i, held(i), names[at], score))
+        key = lambda r: (r[0] is None, r[0] or 0, r[2])
+        got = sorted(map(tuple, li.identify(docs, per_language=10**6, fanout=fanout).collect()), key=key)
+        expected.sort(key=key)
+        assert [r[:3] for r in got] == [r[:3] for r in expected]
+        assert np.allclose([r[3] for r in got], [r[3] for r in expected], atol=1e-4)
+
+
+def test_language_id_with_many_languages(spark):
+    """More languages than one node holds: rows whole, names learned ones, and nothing refused."""
+    from boardloom.llm.language_id import identify
+
+    docs = spark.range(1200).selectExpr("id AS doc_id", "concat('text ', repeat(hex(id % 300), 6)) AS text", "concat('x', id % 300) AS lang")
+    got = identify(docs).collect()
+    assert len(got) == 1200 and {r["lang_pred"] for r in got} <= {f"x{i}" for i in range(300)}
+    assert sum(r["lang_pred"] == f"x{r['doc_id'] % 300}" for r in got) > 100
+
+
 def test_mixing(docs, odd):
     from boardloom.llm.mixing import pfair_period, schedule, whole_shares
 
