@@ -129,9 +129,16 @@ def id_key(identifier: Column) -> Column:
     return name_key(identifier)
 
 
+#: fixed formats: marks in item ids, leading parts of ids, and words that names write small
+ARTIFACT_PART, RADIANT_END, EMBLEM_MARK, ITEM_PART = "Artifact", "Radiant", "Emblem", "Item"
+SET_PART, NUMBER_PART = "^(DA|TFT[0-9]*)$", "^[0-9]+$"
+SMALL_WORDS = ["A", "An", "And", "In", "Of", "The", "To"]
+
+
 def item_kind(item: Column, component: Column, known: Column) -> Column:
     """artifact, radiant, emblem, component, standard or unknown, by the id's parts and the dimension."""
-    named = F.when(item.rlike("(?:^|_)Artifact(?:_|$)"), "artifact").when(item.endswith("Radiant"), "radiant").when(item.contains("Emblem"), "emblem")
+    parts = F.split(item, "_")
+    named = F.when(F.array_contains(parts, ARTIFACT_PART), "artifact").when(item.endswith(RADIANT_END), "radiant").when(item.contains(EMBLEM_MARK), "emblem")
     return named.when(F.coalesce(component, F.lit(False)), "component").when(F.coalesce(known, F.lit(False)), "standard").otherwise("unknown")
 
 
@@ -143,13 +150,26 @@ def is_normal_build(kinds: Column) -> Column:
     return (F.size(kinds) > 0) & F.forall(kinds, lambda k: k.isin(*NORMAL_KINDS))
 
 
+#: a word inside a part: capitals before a capitalised word, or letters up to the next capital
+WORD = "[A-Z]+(?=[A-Z][a-z])|[A-Z]*[^A-Z]+|[A-Z]+"
+
+
 def readable_id(identifier: Column) -> Column:
-    """Words of an id: prefixes off, parted at underscores and capitals, small words in lower case."""
-    text = F.regexp_replace(identifier, "^(?:DA_|TFT\\d*_)(?:Item_)?(?:\\d+_)?", "")
-    text = F.regexp_replace(F.regexp_replace(text, "(?:^|_)Artifact_", ""), "Radiant$", "")
-    text = F.regexp_replace(F.translate(text, "_", " "), "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-    shown = F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin("Of", "The", "And", "A", "An", "To", "In"), F.lower(w)).otherwise(w)), " ")
+    """Words of an id: its leading set, item and number parts and its marks left out, small words in lower case.
+
+    An id is a list of parts; one that would leave no word is shown as it is.
+    """
+    parts = F.split(identifier, "_")
+    last = F.size(parts) - 1
+    at = lambda i, test: F.coalesce((i < last) & test(F.get(parts, i)), F.lit(False)).cast("int")
+    of_set = at(F.lit(0), lambda p: p.rlike(SET_PART))
+    of_item = of_set + of_set * at(of_set, lambda p: p == ITEM_PART)
+    start = of_item + of_set * at(of_item, lambda p: p.rlike(NUMBER_PART))
+    own = F.filter(parts, lambda p, i: (i >= start) & ((p != ARTIFACT_PART) | (i == last)))
+    plain = F.transform(own, lambda p: F.regexp_replace(p, f"{RADIANT_END}$", ""))
+    plain = F.when(F.size(own) > 0, F.concat(F.slice(own, 1, F.size(own) - 1), F.slice(plain, F.size(own), 1))).otherwise(own)
+    words = F.filter(F.flatten(F.transform(plain, lambda p: F.regexp_extract_all(p, F.lit(WORD), F.lit(0)))), lambda w: w != "")
+    shown = F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), F.lower(w)).otherwise(w)), " ")
     return F.when(shown == "", identifier).otherwise(shown)
 
 
@@ -233,10 +253,14 @@ def size_band(n: Column) -> Column:
     return banded(n, SIZE_EDGES, "190+")
 
 
+#: fixed values: labels of how many boards lie below a threshold
+TAIL_NONE, TAIL_ONE, TAIL_MOST = "0", "exactly 1", "2+, > 10%"
+TAIL_EDGES = [("2+, <= 1%", 0.01), ("2+, (1%, 5%]", 0.05), ("2+, (5%, 10%]", 0.10)]
+
+
 def tail_band(below: Column, n: Column) -> Column:
     """How many boards of ``n`` lie below the threshold: none, one, or a share."""
-    share = banded(below / n, [("2+, <= 1%", 0.01), ("2+, (1%, 5%]", 0.05), ("2+, (5%, 10%]", 0.10)], "2+, > 10%")
-    return F.when(below == 0, "0").when(below == 1, "exactly 1").otherwise(share)
+    return F.when(below == 0, TAIL_NONE).when(below == 1, TAIL_ONE).otherwise(banded(below / n, TAIL_EDGES, TAIL_MOST))
 
 
 def is_supported(games: Column, without: Column, top4: Column, top4_without: Column, delta: Column, least: int = 10) -> Column:

@@ -284,7 +284,12 @@ def discovery_candidates(stats: DataFrame, partners: DataFrame, items: DataFrame
     return out
 
 
-def recurrence_order(stats: DataFrame, ascending: bool = False) -> DataFrame:
-    """Carries of each window by committed boards, ties by id and cost."""
+def recurrence_order(stats: DataFrame, ascending: bool = False, names: DataFrame | None = None) -> DataFrame:
+    """Carries of each window by committed boards, ties by name, id and cost.
+
+    ``names`` is (character_id, name), a row an id; a carry it lacks goes by its id, as all do without it.
+    """
     games = F.asc("commitment_games") if ascending else F.desc("commitment_games")
-    return stats.withColumn("place", F.row_number().over(Window.partitionBy("balance_window").orderBy(games, "character_id", "cost")))
+    order = Window.partitionBy("balance_window").orderBy(games, F.coalesce("__name", "character_id"), "character_id", "cost")
+    known = stats.withColumn("__name", F.lit(None).cast("string")) if names is None else stats.join(names.select("character_id", F.col("name").alias("__name")), "character_id", "left")
+    return known.withColumn("place", F.row_number().over(order)).select(*stats.columns, "place")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boardloom.functions.rules import size_band
 from boardloom.operators.groups import best_group, mean_profiles, scored, similarities
+from boardloom.operators.ranks import spread_row_number
 from boardloom.sources.shared import staged
 
 WITHIN = ["balance_window"]
@@ -47,8 +48,9 @@ def stable_ids(partition: DataFrame, vectors: DataFrame) -> DataFrame:
     sizes = partition.groupBy(*WITHIN, "group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*BOARD)).alias("first"))
     held = vectors.join(partition, KEY).groupBy(*WITHIN, "group", "unit").agg(F.count(F.lit(1)).alias("c")).join(sizes.drop("first"), [*WITHIN, "group"])
     common = held.where("2 * c >= n").groupBy(*WITHIN, "group").agg(F.array_sort(F.collect_list("unit")).alias("common"))
-    order = Window.partitionBy(*WITHIN).orderBy(F.desc("n"), F.coalesce("common", F.array().cast("array<string>")), "first")
-    ids = sizes.join(common, [*WITHIN, "group"], "left").select(*WITHIN, "group", (F.row_number().over(order) - 1).cast("string").alias("id"))
+    order = [F.desc("n"), F.coalesce("common", F.array().cast("array<string>")), F.col("first")]
+    placed = spread_row_number(sizes.join(common, [*WITHIN, "group"], "left"), WITHIN, order, "place")
+    ids = placed.select(*WITHIN, "group", (F.col("place") - 1).cast("string").alias("id"))
     return partition.join(ids, [*WITHIN, "group"]).select(*KEY, F.col("id").alias("group"))
 
 

@@ -168,9 +168,8 @@ def comp_rows(sums: DataFrame, costs: DataFrame, *, level: int | None = None, le
         rows = rows.where(F.col("level") == level)
     if lead_costs:
         rows = rows.where(F.col("lead_cost").isin(lead_costs))
-    order = Window.partitionBy("balance_window").orderBy(F.desc("boards"), "level", "anchor")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    return rows.where(F.col("place") <= limit) if limit else rows
+    placed = spread_row_number(rows, ["balance_window"], [F.desc("boards"), F.col("level"), F.col("anchor")], "place").withColumn("place", F.col("place").cast("int"))
+    return placed.where(F.col("place") <= limit) if limit else placed
 
 
 def distribution(rows: DataFrame, group: list[str], value: Column, usable: Column) -> DataFrame:

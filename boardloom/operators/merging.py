@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardloom.functions.rules import tie_hash, unsigned_order
+from boardloom.operators.ranks import spread_row_number
 from boardloom.sources.shared import discard, staged
 
 WITHIN = ["balance_window"]
@@ -292,14 +293,14 @@ def merge_in_order(vectors: DataFrame, variants: DataFrame, *, within: list[str]
         groups, where = groups_now, where_now
         waiting = decided.where("act = 'wait'").drop("act")
     attempts = reduce(DataFrame.unionByName, acts)
-    order = Window.partitionBy(*within).orderBy("round", "key")
-    attempts = staged(attempts.withColumn("attempt", F.row_number().over(order) - 1).drop("act"))
+    numbered = spread_row_number(attempts.drop("act"), within, [F.col("round"), F.col("key")], "attempt")
+    attempts = staged(numbered.withColumn("attempt", (F.col("attempt") - 1).cast("int")))
     pair = [*within, "a", "b", "a_version", "b_version"]
     kept = staged(reduce(DataFrame.unionByName, posts).join(attempts.select(*pair, "attempt", "verdict", "larger"), pair).drop("a_version", "b_version"))
 
     sized = groups.select(*within, "g", "boards", F.array_min("parts").alias("root"))
-    rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("boards"), "root")) - 1
-    named = sized.select(*within, "g", rank.cast("long").alias("rank"))
+    placed = spread_row_number(sized, within, [F.desc("boards"), F.col("root")], "rank")
+    named = placed.select(*within, "g", (F.col("rank") - 1).cast("long").alias("rank"))
     board = [*within, *[c for c in BOARD if c not in within]]
     found = variants.select(*board, F.col("group").cast("long").alias("variant")).join(where.join(named, [*within, "g"]), [*within, "variant"])
     families = staged(found.select(*board, "variant", F.col("rank").cast("string").alias("group")))

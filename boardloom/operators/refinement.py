@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardloom.operators.merging import BOARD, DIGITS, WITHIN, MergeRules, _ruzicka, _sum, merge_in_order
@@ -134,8 +134,9 @@ def _numbered(found: DataFrame, kinds: DataFrame, within: list[str]) -> DataFram
     sizes = rows.groupBy(*within, "group").agg(F.sum("n").alias("size"), F.min("first").alias("first"))
     held = rows.select(*within, "group", "n", F.inline("vector")).groupBy(*within, "group", "unit").agg(F.sum("n").alias("c")).join(sizes.select(*within, "group", "size"), [*within, "group"])
     common = held.where("2 * c >= size").groupBy(*within, "group").agg(F.array_sort(F.collect_list("unit")).alias("common"))
-    order = Window.partitionBy(*within).orderBy(F.desc("size"), F.coalesce("common", F.array().cast("array<string>")), "first")
-    ids = sizes.join(common, [*within, "group"], "left").select(*within, "group", (F.row_number().over(order) - 1).cast("long").alias("id"))
+    order = [F.desc("size"), F.coalesce("common", F.array().cast("array<string>")), F.col("first")]
+    placed = spread_row_number(sizes.join(common, [*within, "group"], "left"), within, order, "place")
+    ids = placed.select(*within, "group", (F.col("place") - 1).cast("long").alias("id"))
     return found.join(ids, [*within, "group"]).select(*within, "kind", F.col("id").alias("group"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boardloom.functions import rules
 from boardloom.operators import evidence as ev
 from boardloom.operators import lineups as lu
+from boardloom.operators.ranks import spread_row_number
 from boardloom.plans.carries import CANONICAL_SQL, _carries
 from boardloom.plans.registry import query, rounded
 from boardloom.sources.binding import ITEM_SETS, Boards
@@ -123,8 +124,8 @@ def comp_filters(b):
 @query("t04_lineup_order", f", {LINEUP_SQL} SELECT balance_window, level, lineup, boards, row_number() OVER (PARTITION BY balance_window, level ORDER BY boards DESC, string_split(lineup, '+')) AS place FROM promoted")
 def lineup_order(b):
     rows = lu.exact_lineups(_lineups(b), min_boards=FLOOR)
-    place = F.row_number().over(Window.partitionBy(*lu.AT).orderBy(F.desc("boards"), "lineup"))
-    return rows.select(*lu.AT, *_plus("lineup"), "boards", place.cast("long").alias("place"))
+    placed = spread_row_number(rows, lu.AT, [F.desc("boards"), F.col("lineup")], "place")
+    return placed.select(*lu.AT, *_plus("lineup"), "boards", F.col("place").cast("long").alias("place"))
 
 
 @query(

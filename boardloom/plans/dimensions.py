@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from boardloom.functions import rules
 from boardloom.operators import dimensions as dm
 from boardloom.operators import evidence as ev
-from boardloom.plans.carries import _carries
+from boardloom.plans.carries import STATS_SQL, _carries, _stats
 from boardloom.plans.registry import CARRY_SQL, ORACLES, QUERIES, query
 from boardloom.sources.binding import BINDING_SQL, Boards
 from boardloom.sources.metadata import METADATA_SQL, Metadata
@@ -207,3 +207,18 @@ def readable_ids(m):
 @meta_query("f04_id_keys", "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(lower(item_id), '^tft_item_|^da_', ''), '[0-9]+$', ''), '[^a-z0-9]', '', 'g') AS key FROM items")
 def id_keys(m):
     return m.items.select("item_id", rules.id_key(F.concat("item_id", F.lit("_AP"))).alias("key"))
+
+
+@meta_query(
+    "t01_recurrence_by_name",
+    STATS_SQL.format(low=1, high=5, least=10)
+    + "SELECT s.balance_window, character_id, s.cost, commitment_games, row_number() OVER (PARTITION BY s.balance_window ORDER BY commitment_games DESC, coalesce(name, character_id), character_id, s.cost) AS place, "
+    "row_number() OVER (PARTITION BY s.balance_window ORDER BY commitment_games, coalesce(name, character_id), character_id, s.cost) AS place_from_fewest FROM stats s LEFT JOIN champions USING (character_id)",
+    boards=True,
+)
+def recurrence_by_name(m, b):
+    """Carries in both orders of recurrence; equal counts go by name."""
+    stats = _stats(b, max_cost=5, min_samples=10).select(*ev.CARRY, "cost", "commitment_games")
+    most, fewest = (ev.recurrence_order(stats, up, m.champions) for up in (False, True))
+    both = most.join(fewest.withColumnRenamed("place", "place_from_fewest"), stats.columns)
+    return both.withColumns({c: F.col(c).cast("long") for c in ("place", "place_from_fewest")})
