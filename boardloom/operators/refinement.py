@@ -193,7 +193,8 @@ def refine(vectors: DataFrame, start: DataFrame, *, within: list[str] = WITHIN,
         logs.append(log)
         seen = seen.unionByName(log.select(*within, "digest").where("digest is not null"))
         left, going = log.where("status is not null").select(*within), log.where("status is null").select(*within)
-        done.append(new.join(left, within, "left_semi"))
+        # staged: a union of joins whose partitions are coalesced apart can't be read as one
+        done.append(staged(new.join(left, within, "left_semi")))
         used += [now, new]
         if going.isEmpty():
             break
@@ -206,7 +207,7 @@ def refine(vectors: DataFrame, start: DataFrame, *, within: list[str] = WITHIN,
     final = _numbered(every.join(sizes, [*within, "group"], "left_semi"), kinds, within)
     out = staged(boards.join(final, [*within, "kind"]).select(*[c for c in boards.columns if c != "kind"], "group"))
     told = staged(log.drop("digest"))
-    discard(kinds, boards, limits, *logs, *used)
+    discard(kinds, boards, limits, *logs, *used, *done)
     return out, told
 
 
