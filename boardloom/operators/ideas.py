@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from boardloom.functions.rules import id_key, idea_signature, name_key
 from boardloom.operators.evidence import BOARD, CARRY, top_by
+from boardloom.sources.shared import staged
 
 
 def idea_filters(ideas: DataFrame, *, status: str | None = None, lifecycle: str | None = None, carry: str | None = None, tag: str | None = None) -> DataFrame:
@@ -60,32 +61,42 @@ def idea_evidence(ideas: DataFrame, champions: DataFrame, carries: DataFrame, un
     """(idea_id, window, piece, boards, top4): boards of the idea's carry with each core unit, all of them together, and each trait target.
 
     ``piece`` is ``unit:<name>``, ``together`` or ``trait:<name>@<breakpoint>``; pieces without a board
-    count 0. A core unit that is the carry itself is left out.
+    count 0. A core unit that is the carry itself is left out. Boards are counted once for each carry and
+    set of names on them, or count of a trait, so no board is repeated for the ideas that ask for it.
     """
-    chosen = idea_carries(ideas, champions, carries)
-    own = chosen.select("idea_id", *CARRY).join(carries.select(*CARRY, *BOARD, "placement"), CARRY)
+    chosen = staged(idea_carries(ideas, champions, carries).select("idea_id", *CARRY))
     core = ideas.select("idea_id", F.explode(F.array_distinct("core_units")).alias("name"))
-    meant = core.join(ids_of_names(core, champions), "name").withColumnRenamed("character_id", "unit_id")
-    pieces = chosen.select("idea_id", *CARRY).join(meant, "idea_id").where(F.col("unit_id") != F.col("character_id")).drop("character_id")
-    wanted = pieces.groupBy("idea_id", "balance_window").agg(F.count_distinct("name").alias("wanted"))
-    present = units.select(*BOARD, F.col("character_id").alias("unit_id")).distinct()
-    held = own.join(pieces, ["idea_id", "balance_window"]).join(present, [*BOARD, "unit_id"]).select("idea_id", "balance_window", *BOARD, "placement", "name").distinct()
-    n, top4 = F.count(F.lit(1)).alias("boards"), F.count_if(F.col("placement") <= 4).alias("top4")
-    each = held.groupBy("idea_id", "balance_window", F.concat(F.lit("unit:"), "name").alias("piece")).agg(n, top4)
-    whole = held.groupBy("idea_id", "balance_window", *BOARD, "placement").agg(F.count(F.lit(1)).alias("n")).join(wanted, ["idea_id", "balance_window"]).where("n = wanted and wanted > 1")
-    together = whole.groupBy("idea_id", "balance_window", F.lit("together").alias("piece")).agg(n, top4)
-
+    meant = ids_of_names(core, champions).withColumnRenamed("character_id", "unit_id")
+    pieces = staged(chosen.join(core, "idea_id").join(meant, "name").where(F.col("unit_id") != F.col("character_id")))
+    wanted = staged(pieces.groupBy("idea_id", *CARRY).agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1))
     targets = ideas.select("idea_id", F.inline("target_traits")).withColumn("need", F.coalesce("breakpoint", F.lit(1)))
     target = F.concat(F.lit("trait:"), F.col("name"), F.lit("@"), F.col("need").cast("string"))
+    aims = staged(chosen.join(targets, "idea_id").select("idea_id", *CARRY, "name", "need"))
+
+    own = carries.select(*CARRY, *BOARD, "placement").join(chosen.select(*CARRY).distinct(), CARRY, "left_semi")
+    asked = pieces.select(*CARRY, "name", "unit_id").distinct()
+    held = own.join(units.select(*BOARD, F.col("character_id").alias("unit_id")), BOARD).join(asked, [*CARRY, "unit_id"])
+    named = held.groupBy(*CARRY, *BOARD, "placement").agg(F.array_sort(F.collect_set("name")).alias("on_board"))
+    boards, top4 = F.count(F.lit(1)).alias("boards"), F.count_if(F.col("placement") <= 4).alias("top4")
+    counts = staged(named.groupBy(*CARRY, "on_board").agg(boards, top4))
+    sums = [F.sum("boards").alias("boards"), F.sum("top4").alias("top4")]
+    nothing = F.array().cast("array<string>")
+    each = counts.select(*CARRY, F.explode("on_board").alias("name"), "boards", "top4").groupBy(*CARRY, F.concat(F.lit("unit:"), "name").alias("piece"), nothing.alias("names")).agg(*sums)
+    sets = wanted.select(*CARRY, "names").distinct()
+    met = counts.select("*", F.explode("on_board").alias("name")).join(sets.select("*", F.explode("names").alias("name")), [*CARRY, "name"])
+    whole = met.groupBy(*CARRY, "on_board", "names", "boards", "top4").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("names"))
+    together = whole.groupBy(*CARRY, F.lit("together").alias("piece"), "names").agg(*sums)
+
     active = traits.where("tier_current >= 1").select(*BOARD, F.col("trait_name").alias("name"), "num_units")
-    reached = own.join(targets, "idea_id").join(active, [*BOARD, "name"]).where(F.col("num_units") >= F.col("need"))
-    by_trait = reached.groupBy("idea_id", "balance_window", target.alias("piece")).agg(n, top4)
+    levels = own.join(active, BOARD).groupBy(*CARRY, "name", "num_units").agg(boards, top4)
+    reached = levels.join(aims.select(*CARRY, "name", "need").distinct(), [*CARRY, "name"]).where(F.col("num_units") >= F.col("need"))
+    by_trait = reached.groupBy(*CARRY, target.alias("piece"), nothing.alias("names")).agg(*sums)
 
     all_pieces = (
-        pieces.select("idea_id", "balance_window", F.concat(F.lit("unit:"), "name").alias("piece"))
-        .unionByName(wanted.where("wanted > 1").select("idea_id", "balance_window", F.lit("together").alias("piece")))
-        .unionByName(chosen.select("idea_id", "balance_window").join(targets, "idea_id").select("idea_id", "balance_window", target.alias("piece")))
+        pieces.select("idea_id", *CARRY, F.concat(F.lit("unit:"), "name").alias("piece"), nothing.alias("names"))
+        .unionByName(wanted.select("idea_id", *CARRY, F.lit("together").alias("piece"), "names"))
+        .unionByName(aims.select("idea_id", *CARRY, target.alias("piece"), nothing.alias("names")))
         .distinct()
     )
     found = each.unionByName(together).unionByName(by_trait)
-    return all_pieces.join(found, ["idea_id", "balance_window", "piece"], "left").fillna(0, ["boards", "top4"])
+    return all_pieces.join(found, [*CARRY, "piece", "names"], "left").fillna(0, ["boards", "top4"]).select("idea_id", "balance_window", "piece", "boards", "top4")
