@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from boardloom.operators import groups as gr
 from boardloom.operators import ideas as de
 
 
@@ -37,3 +38,25 @@ def test_ideas_do_not_repeat_boards(spark):
         assert len(rows) == 4 * n
         assert all(want[piece] == (count, top4) for _, _, piece, count, top4 in rows)
     assert many_records - few_records < 300 * 40
+
+
+def _plain_similarity(v, p):
+    low = sum(min(w, p.get(u, 0.0)) for u, w in v.items())
+    return round(low / (sum(v.values()) + sum(p.values()) - low), 9)
+
+
+def test_boards_that_are_alike_are_scored_once(spark):
+    """20 groups, 3 kinds of boards, 900 boards: pairs of boards and groups are written, not shuffled; values as in plain loops."""
+    key = ["balance_window", "match_id", "participant_index"]
+    kinds = [{"a": 1.0, "b": 2.0}, {"a": 2.0, "b": 0.5, "c": 1.0}, {"c": 1.0}]
+    rows = [("w", str(i), 0, u, w) for i in range(900) for u, w in kinds[i % 3].items()]
+    vectors = spark.createDataFrame(rows, "balance_window string, match_id string, participant_index int, unit string, weight double")
+    groups = {f"g{n:02}": {"a": 1.0 + n / 20, "b": 1.0, "c": n / 40} for n in range(20)}
+    profiles = spark.createDataFrame([("w", g, u, w, 0.2 if u == "c" else 0.5) for g, p in groups.items() for u, w in p.items()], "balance_window string, group string, unit string, weight double, presence double")
+    got, records = shuffled(spark, lambda: gr.similarities(vectors, profiles, key, within=["balance_window"], group="group"))
+    want = {("w", str(i), 0, g, _plain_similarity(kinds[i % 3], p)) for i in range(900) for g, p in groups.items() if i % 3 < 2}
+    assert len(got) == len(want) and set(got) == want
+    assert records < 6000
+    best = {tuple(r) for r in gr.nearest(vectors, profiles, key, within=["balance_window"], group="group", least=0.7).collect()}
+    top = {i: max((_plain_similarity(kinds[i % 3], p), [-ord(c) for c in g], g) for g, p in groups.items()) for i in range(900) if i % 3 < 2}
+    assert best == {("w", str(i), 0, g, s) for i, (s, _, g) in top.items() if s >= 0.7}
