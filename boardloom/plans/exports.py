@@ -12,7 +12,7 @@ from boardloom.plans.arrivals import _published
 from boardloom.plans.carries import _carries
 from boardloom.plans.dimensions import meta_query
 from boardloom.plans.registry import query
-from boardloom.sources.binding import BOARD, Boards
+from boardloom.sources.binding import BINDING_SQL, BOARD, Boards
 
 # Ledgers: a run a year; even years broke off. A board's player discovers its match.
 _LEDGER_SQL = "samples AS (SELECT o_custkey AS player, year(o_orderdate) AS run_id, epoch_ms(o_orderdate) AS sampled_at, CAST(o_orderkey // 8 AS VARCHAR) AS match_id FROM orders), runs AS (SELECT DISTINCT run_id, CASE WHEN run_id % 2 = 1 THEN 'completed' ELSE 'failed' END AS status FROM samples)"
@@ -117,9 +117,18 @@ def leak_scan(b):
     return qu.leak_counts(table, ["RGAPI-"], b.matches.where("balance_window = '1994'"))
 
 
-@query("s19_population_fingerprint", "SELECT balance_window, sha256(sha256(string_agg(match_id, chr(10) ORDER BY match_id))) AS fingerprint FROM matches GROUP BY balance_window")
+#: crc32 over a table of 256 remainders, a byte at a time.
+_FINGERPRINT_SQL = f"""WITH RECURSIVE {BINDING_SQL}, bits AS (SELECT b, b AS c, 0 AS k FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY b) AS r FROM bits WHERE k = 8),
+ids AS (SELECT balance_window, match_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)), lambda c, b: xor(c // 256, r[xor(c % 256, b) + 1]))) AS crc FROM (SELECT *, hex(encode(match_id)) AS h FROM matches), remainders),
+dealt AS (SELECT *, crc % (max(n) OVER () // {qu.BUCKET_IDS} + 1) AS bucket FROM (SELECT *, count(*) OVER (PARTITION BY balance_window) AS n FROM ids)),
+digests AS (SELECT balance_window, bucket, sha256(string_agg(match_id, chr(10) ORDER BY match_id)) AS d FROM dealt GROUP BY ALL)
+SELECT balance_window, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS fingerprint FROM digests GROUP BY balance_window"""
+
+
+@query("s19_population_fingerprint", _FINGERPRINT_SQL, raw=True)
 def population_fingerprint(b):
-    """One bucket at this size, so a digest of the digest of all sorted ids."""
+    """A digest of the digests of sorted ids, bucket by bucket: as many buckets by crc32 as the largest window needs at BUCKET_IDS ids each."""
     return qu.population_fingerprint(b.matches)
 
 

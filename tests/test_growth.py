@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from boardloom.operators import groups as gr
 from boardloom.operators import ideas as de
+from boardloom.operators import quality as qu
+from boardloom.plans import all_oracles, all_queries
 
 
 def shuffled(spark, make):
@@ -60,3 +62,12 @@ def test_boards_that_are_alike_are_scored_once(spark):
     best = {tuple(r) for r in gr.nearest(vectors, profiles, key, within=["balance_window"], group="group", least=0.7).collect()}
     top = {i: max((_plain_similarity(kinds[i % 3], p), [-ord(c) for c in g], g) for g, p in groups.items()) for i in range(900) if i % 3 < 2}
     assert best == {("w", str(i), 0, g, s) for i, (s, _, g) in top.items() if s >= 0.7}
+
+
+def test_fingerprint_sql_states_its_buckets(spark, duck, sf_dir, monkeypatch):
+    """Windows of more ids than a bucket holds: the SQL deals them out as the query does."""
+    assert str(qu.BUCKET_IDS) in all_oracles()["s19_population_fingerprint"]
+    sql = all_oracles()["s19_population_fingerprint"].replace(str(qu.BUCKET_IDS), "100")
+    monkeypatch.setattr(qu, "BUCKET_IDS", 100)
+    got = {tuple(r) for r in all_queries()["s19_population_fingerprint"](spark, sf_dir).collect()}
+    assert got == set(duck.execute(sql).fetchall()) and len(got) == 7
