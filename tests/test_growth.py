@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from boardloom.operators import evidence as ev
 from boardloom.operators import groups as gr
 from boardloom.operators import ideas as de
 from boardloom.operators import quality as qu
@@ -71,3 +72,18 @@ def test_fingerprint_sql_states_its_buckets(spark, duck, sf_dir, monkeypatch):
     monkeypatch.setattr(qu, "BUCKET_IDS", 100)
     got = {tuple(r) for r in all_queries()["s19_population_fingerprint"](spark, sf_dir).collect()}
     assert got == set(duck.execute(sql).fetchall()) and len(got) == 7
+
+
+def test_units_are_shuffled_once_for_cores_of_both_sizes(spark, sf_dir):
+    """60,000 lines: cores of three and four need one shuffle of them, and carries meet their mates without a row for each pair."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    got, records = shuffled(spark, lambda: all_queries()["u02_union_cores"](spark, sf_dir))
+    assert {r[2] for r in got} == {3, 4}
+    assert records < 8 * lines
+
+
+def test_cores_keep_boards_without_mates(spark):
+    carries = spark.createDataFrame([("w", "A", str(i), 0, 1 + i % 8) for i in range(6)], "balance_window string, character_id string, match_id string, participant_index int, placement int")
+    units = spark.createDataFrame([(str(i), 0, c) for i in range(5) for c in ("A", "B", "B", "C", "D")[: 5 if i < 3 else 4 if i < 4 else 1]], "match_id string, participant_index int, character_id string")
+    got = {(r["key"], r["games"], r["games_without"]) for r in ev.recurring_cores(carries, units, size=3, min_games=3).collect()}
+    assert got == {("B+C", 4, 2), ("B+D", 3, 3), ("C+D", 3, 3)}
