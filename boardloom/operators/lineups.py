@@ -8,14 +8,12 @@ promoted line-ups only; a shell never joins line-ups of two sizes, so a task hol
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardloom.functions.rules import valid_level
 from boardloom.operators.ranks import spread_row_number
-from boardloom.sources.shared import discard, staged
+from boardloom.sources.shared import discard, staged, together
 
 BOARD = ["match_id", "participant_index"]
 AT = ["balance_window", "level"]
@@ -79,29 +77,40 @@ def one_slot_alternatives(promoted: DataFrame, protected: str | None = None) ->
     return pairs.select(*keys, "lineup", F.col("unit").alias("out_unit"), "in_unit", "other", "other_boards")
 
 
+def _without(lineup: Column, unit: Column) -> Column:
+    """``lineup`` less one copy of ``unit``."""
+    i = F.array_position(lineup, unit).cast("int")
+    return F.concat(F.slice(lineup, F.lit(1), i - 1), F.slice(lineup, i + 1, F.size(lineup)))
+
+
 def _shells(rows: DataFrame, keys: list[str], protected: str | None) -> DataFrame:
-    """(keys, at, boards, unit, shell): every line-up less one copy of each of its units but the protected one.
+    """(shell, at, boards, unit): every line-up less one copy of each of its units but the protected one.
 
-    Only shells that another line-up has too; a shell has at most as many line-ups as there are units.
+    Only shells that another line-up has too, numbered in order of the keys and their units; a shell
+    has at most as many line-ups as there are units.
     """
     unit = rows.select(*keys, "at", "boards", "lineup", F.explode(F.array_distinct("lineup")).alias("unit"))
     if protected:
         unit = unit.where(F.col("unit") != F.col(protected))
-    i = F.array_position("lineup", F.col("unit")).cast("int")
-    shell = F.concat(F.slice("lineup", F.lit(1), i - 1), F.slice("lineup", i + 1, F.size("lineup")))
-    table = unit.withColumn("shell", shell).drop("lineup")
-    shared = table.groupBy(*keys, "shell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return table.join(shared, [*keys, "shell"])
+    table = unit.withColumn("units", _without(F.col("lineup"), F.col("unit")))
+    shared = table.groupBy(*keys, "units").agg(F.collect_list(F.struct("at", "boards", "unit")).alias("held")).where(F.size("held") > 1)
+    return spread_row_number(shared, [], [*[F.col(k) for k in keys], F.col("units")], "shell").select("shell", F.inline("held"))
 
 
-def _first_in_reach(live: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, at) of the line-ups that come before all others within two shared shells of them."""
-    low = live.select(*keys, "shell", "at", F.col("at").alias("low"))
-    for _ in range(2):
-        of_shell = low.groupBy(*keys, "shell").agg(F.min("low").alias("low"))
-        of_lineup = low.drop("low").join(of_shell, [*keys, "shell"]).groupBy(*keys, "at").agg(F.min("low").alias("low"))
-        low = low.drop("low").join(of_lineup, [*keys, "at"])
-    return low.where("low = at").select(*keys, "at").distinct()
+def _turns(live: DataFrame) -> DataFrame:
+    """``live`` with ``pattern``, the line-up whose turn takes this row's shell, and ``gone``, whether its line-up is settled.
+
+    A line-up has its turn if it comes before all others within two shared shells of it. Each window is one
+    shell or one line-up, which both have few rows, so nothing is joined or broadcast.
+    """
+    shell, own = Window.partitionBy("shell"), Window.partitionBy("at")
+    rows = live.withColumns({"n": F.count(F.lit(1)).over(shell), "sum": F.sum("boards").over(shell), "low": F.min("at").over(shell)}).where("n > 1")
+    rows = rows.withColumn("low", F.min("low").over(own)).withColumn("low", F.min("low").over(shell)).withColumn("low", F.min("low").over(own))
+    rows = rows.withColumn("best", F.min(F.struct((-F.col("n")).alias("n"), (-F.col("sum")).alias("sum"), "shell")).over(own))
+    takes = (F.col("low") == F.col("at")) & (F.col("best.shell") == F.col("shell"))
+    rows = rows.withColumn("pattern", F.max(F.when(takes, F.col("at"))).over(shell))
+    gone = F.max(F.col("pattern").isNotNull()).over(own)
+    return rows.select("shell", "at", "boards", "unit", "pattern", gone.alias("gone"))
 
 
 def board_patterns(promoted: DataFrame, protected: str | None = None) -> DataFrame:
@@ -114,30 +123,26 @@ def board_patterns(promoted: DataFrame, protected: str | None = None) -> DataFra
 
     The cover is built in rounds. A line-up takes its turn once no line-up ahead of it is left within two
     shared shells: others ahead could neither take it nor one that it could take, so all such line-ups
-    take their turns at once, and end where they would one after another.
+    take their turns at once, and end where they would one after another. Line-ups and shells go by
+    numbers in the rounds; one without a shell that another has too stands alone.
     """
     keys = [*AT, *([protected] if protected else []), "size"]
     rows = promoted.withColumn("size", F.size("lineup")).select(*keys, "lineup", "boards")
-    rows = staged(spread_row_number(rows, keys, [F.desc("boards"), F.col("lineup")], "at"))
-    live, found = staged(_shells(rows, keys, protected)), []
+    rows = staged(spread_row_number(rows, [], [*[F.col(k) for k in keys], F.desc("boards"), F.col("lineup")], "at"))
+    live, rounds = staged(_shells(rows, keys, protected)), []
+    first = live
     while not live.isEmpty():
-        turn = staged(_first_in_reach(live, keys))
-        offered = live.join(turn, [*keys, "at"]).select(*keys, "shell", F.col("at").alias("anchor"))
-        sized = live.join(offered, [*keys, "shell"]).groupBy(*keys, "anchor", "shell").agg(F.count(F.lit(1)).alias("n"), F.sum("boards").alias("sum")).where("n > 1")
-        best = sized.groupBy(*keys, "anchor").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("sum")).alias("sum"), "shell")).alias("b")).select(*keys, "anchor", F.col("b.shell").alias("shell"))
-        taken = staged(live.join(best, [*keys, "shell"]).select(*keys, "at", F.col("anchor").alias("pattern"), "shell", F.col("unit").alias("flex")))
-        found.append(taken)
-        # a line-up whose turn finds no other one left stands alone
-        rest = staged(live.join(taken.select(*keys, "at").unionByName(turn).distinct(), [*keys, "at"], "left_anti"))
-        discard(live, turn)
-        live = rest
-    discard(live)
-    grouped = reduce(DataFrame.unionByName, found) if found else rows.select(*keys, "at", F.col("at").alias("pattern"), F.col("lineup").alias("shell"), F.lit("").alias("flex")).where("false")
-    out = rows.join(grouped, [*keys, "at"], "left").withColumn("first", F.coalesce("pattern", "at")).drop("pattern")
-    firsts = spread_row_number(out.select(*keys, "first").distinct(), keys, [F.col("first")], "pattern")
-    place = F.row_number().over(Window.partitionBy(*keys, "first").orderBy("at")) - 1
-    named = out.withColumn("place", place).join(firsts, [*keys, "first"])
-    return named.select(*keys, (F.col("pattern") - 1).cast("long").alias("pattern"), "lineup", "shell", "flex", F.col("place").cast("long").alias("place"), "boards")
+        rounds.append(staged(_turns(live)))
+        live = rounds[-1].where("not gone").drop("pattern", "gone")
+    discard(first)
+    taken = together(*rounds).where("pattern is not null") if rounds else rows.select("at", F.col("at").alias("pattern"), F.lit("").alias("unit")).where("false")
+    out = rows.join(taken.select("at", "pattern", F.col("unit").alias("flex")).hint("merge"), "at", "left").withColumn("first", F.coalesce("pattern", "at")).drop("pattern")
+    out = staged(out.withColumn("shell", F.when(F.col("flex").isNotNull(), _without(F.col("lineup"), F.col("flex")))))
+    discard(rows, *rounds)
+    numbers = spread_row_number(out.where("at = first").select(*keys, "first"), keys, [F.col("first")], "pattern").select("first", (F.col("pattern") - 1).cast("long").alias("pattern"))
+    place = F.row_number().over(Window.partitionBy("first").orderBy("at")) - 1
+    named = out.withColumn("place", place).join(numbers.hint("merge"), "first")
+    return named.select(*keys, "pattern", "lineup", "shell", "flex", F.col("place").cast("long").alias("place"), "boards")
 
 
 def pattern_sums(patterns: DataFrame, carries: DataFrame) -> DataFrame:

@@ -87,3 +87,26 @@ def test_cores_keep_boards_without_mates(spark):
     units = spark.createDataFrame([(str(i), 0, c) for i in range(5) for c in ("A", "B", "B", "C", "D")[: 5 if i < 3 else 4 if i < 4 else 1]], "match_id string, participant_index int, character_id string")
     got = {(r["key"], r["games"], r["games_without"]) for r in ev.recurring_cores(carries, units, size=3, min_games=3).collect()}
     assert got == {("B+C", 4, 2), ("B+D", 3, 3), ("C+D", 3, 3)}
+
+
+def test_patterns_broadcast_nothing_in_their_rounds(spark):
+    """Line-ups of six units: rounds join no tables, so what the driver holds does not follow their number."""
+    from boardloom.operators import lineups as lu
+
+    plans, taken = [], lu._turns
+    lineups = sorted({tuple(sorted(((i >> k) * 7 + k * k) % 6 for k in range(6))) for i in range(400)})
+    rows = [("w", 7, [f"u{x}" for x in units], 3 + i % 5) for i, units in enumerate(lineups)]
+    promoted = spark.createDataFrame(rows, "balance_window string, level int, lineup array<string>, boards long")
+
+    def seen(live):
+        out = taken(live)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    lu._turns = seen
+    try:
+        got = lu.board_patterns(promoted).collect()
+    finally:
+        lu._turns = taken
+    assert len(got) == len(rows) and plans and not any("Join" in p for p in plans)
+    assert all(r.shell is None or sorted([*r.shell, r.flex]) == list(r.lineup) for r in got)
