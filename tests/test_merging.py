@@ -108,3 +108,20 @@ def test_splitmix_columns(spark):
     drawn = [r.x for r in rows.orderBy(columns.unsigned_order(columns.tie_hash(9, F.col("x"))), "x").collect()]
     assert drawn == sorted(numbers, key=lambda x: tie_hash(9, x))
     assert list(itertools.islice((order_of("reversed", 0, a, b, 0, 0) for a, b in [(1, 2)]), 1)) == [(-1, -2)]
+
+
+def test_orders_are_brought_to_equal_boards(spark):
+    """Both rules for tails in one run from vectors at hand: no row a board and order is written, and groups say what families say."""
+    vectors, variant = random_families(3, groups=14, windows=1)
+    rows = [(*board, str(variant[board]), sorted(v.items()), sum(v.values())) for board, v in vectors.items()]
+    parts = spark.createDataFrame(rows, PARTS + ", vector array<struct<unit: string, weight: double>>, total double")
+    both = F.array(*[F.struct(F.lit(t).alias("tails")) for t in ("all", "s2")])
+    run = me.merge_in_order(None, parts, within=["balance_window", "tails"], tails=F.col("tails"), orders=both, keep_posts=False)
+    assert run.posts is None
+    for tails in ("all", "s2"):
+        own = F.col("tails") == tails
+        loop = held_to(me.MergeRun(run.families.where(own), run.attempts.where(own), None), vectors, variant, me.MergeRules(tails=tails))["w0"]
+        sizes = {}
+        for board, g in loop.family.items():
+            sizes[variant[board], g] = sizes.get((variant[board], g), 0) + 1
+        assert {(r.variant, r.group): r.boards for r in run.groups.where(own).collect()} == sizes
