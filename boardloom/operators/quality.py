@@ -37,9 +37,22 @@ def broken_lobbies(participants: DataFrame) -> DataFrame:
 
 
 def orphans(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of child rows without a parent, and of parents without a child."""
-    c, p = children.select(*keys).distinct(), parents.select(*keys).distinct()
-    return c.join(p, keys, "left_anti").withColumn("missing", F.lit("parent")).unionByName(p.join(c, keys, "left_anti").withColumn("missing", F.lit("child")))
+    """Keys of child rows without a parent, and of parents without a child, each once; a key with a null part meets nothing.
+
+    Both sides are brought in once and grouped together, so a task holds one table of its keys and
+    sorts none. Parents hardly repeat a key: they are dealt out first, since a group of them where
+    they are read would hold all keys of a file's part.
+    """
+    n = int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    child, parent = [F.lit(True), F.lit(False)], [F.lit(False), F.lit(True)]
+    side = lambda df, flags: df.select(*keys, *[f.alias(x) for f, x in zip(flags, ("__child", "__parent"))])
+    both = side(children, child).unionByName(side(parents.select(*keys).repartition(n, *keys), parent))
+    seen = both.groupBy(*keys).agg(F.max("__child").alias("__child"), F.max("__parent").alias("__parent"))
+    alone = F.lit(False)
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    lost = F.array(F.when(F.col("__child") & (~F.col("__parent") | alone), "parent"), F.when(F.col("__parent") & (~F.col("__child") | alone), "child"))
+    return seen.select(*keys, F.explode(F.filter(lost, lambda x: x.isNotNull())).alias("missing"))
 
 
 def unknown_ids(observed: DataFrame, known: DataFrame, key: str) -> DataFrame:

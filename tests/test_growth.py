@@ -110,3 +110,16 @@ def test_patterns_broadcast_nothing_in_their_rounds(spark):
         lu._turns = taken
     assert len(got) == len(rows) and plans and not any("Join" in p for p in plans)
     assert all(r.shell is None or sorted([*r.shell, r.flex]) == list(r.lineup) for r in got)
+
+
+def test_orphans_bring_each_side_in_once(spark):
+    """A task sorts no keys and joins no tables for orphans; keys with a null part meet nothing, each key comes once."""
+    key = "match_id string, participant_index int"
+    children = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1), ("b", 0), ("b", None), ("b", None), (None, 2)], key)
+    parents = spark.createDataFrame([("a", 0), ("c", 1), ("c", 1), ("b", None), (None, None), ("a", 1)], key)
+    got = qu.orphans(children, parents, ["match_id", "participant_index"])
+    want = [("b", 0, "parent"), ("b", None, "parent"), (None, 2, "parent"), ("c", 1, "child"), ("b", None, "child"), (None, None, "child")]
+    assert got.columns == ["match_id", "participant_index", "missing"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 2
