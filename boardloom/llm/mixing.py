@@ -19,6 +19,9 @@ document is dropped or repeated. Cases: a null source is a source of its own; nu
 counts one character; equal rows follow each other; a null doc_id is an id like any other. An
 empty table gives an empty result. Columns of ``docs`` are passed through; only one that is named
 like a result column is left out of :func:`schedule`.
+
+:func:`mixed` hands on what it decided: rows lie in the mixed order, file after file, and the source
+column's metadata holds the weights. :func:`decided` reads both again, from files or from rows that were not written.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import heapq
 import math
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,10 @@ MAX_SOURCES = 4096
 BLOCK_CHARS = 65_536
 ROWS_PER_BUCKET = 512
 TEMPERATURE = 0.5
+#: Metadata of the source column of mixed rows: the weights they were mixed by.
+WEIGHTS = "mixing.weights"
+#: Places of one file; a place is the file's rank above these bits and the row's number below.
+FILE_BITS = 40
 
 
 def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -97,21 +105,28 @@ def _placed(
     source_col: str = "source",
     block_chars: int = BLOCK_CHARS,
     size_col: str | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
     """``docs`` plus __block, __slot and __offset; (slot, offset, id) is the mixed order.
 
     ``weights`` maps every source to its target weight (null is the key ``"\\0"``); by default
     :func:`target_weights`. A source without a weight is an error. ``size_col`` is a row's size in
-    place of its characters.
+    place of its characters. ``order_col`` has places to take the rows of a source by, in place of the
+    hash; close to each other for rows that follow each other.
     """
     spark = docs.sparkSession
     weights = weights or target_weights(docs, source_col, text_col)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
     size = (F.col(size_col) if size_col else F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) + 1).cast("long")
-    order = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    n_rows = docs.count()
-    bits = max(1, min(30, math.ceil(math.log2(max(2, n_rows / ROWS_PER_BUCKET)))))
-    keyed = docs.withColumns({"__source": source, "__size": size, "__order": order, "__id": F.col(id_col).cast("long"), "__bucket": F.shiftrightunsigned(order, 64 - bits)})
+    if order_col:
+        order = F.col(order_col).cast("long")
+        bucket = F.floor(order / F.lit(ROWS_PER_BUCKET))
+    else:
+        order = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+        n_rows = docs.count()
+        bits = max(1, min(30, math.ceil(math.log2(max(2, n_rows / ROWS_PER_BUCKET)))))
+        bucket = F.shiftrightunsigned(order, 64 - bits)
+    keyed = docs.withColumns({"__source": source, "__size": size, "__order": order, "__id": F.col(id_col).cast("long"), "__bucket": bucket})
 
     totals = keyed.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -140,8 +155,27 @@ def _placed(
     return placed.withColumns({"__slot": slot, "__offset": F.col("__start") % block_chars})
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs``, same columns and rows, in the mixed order: ranges of slots, each sorted."""
+def mixed(docs: DataFrame, *, weights: dict[str, float] | None = None, text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs``, same columns and rows, in the mixed order: ranges of slots, each sorted; the weights go along as metadata."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = _placed(docs, **how)
-    return out.repartitionByRange(n, "__slot").sortWithinPartitions("__slot", "__offset", "__id").select(*docs.columns)
+    weights = weights or target_weights(docs, source_col, text_col)
+    out = _placed(docs, weights=weights, text_col=text_col, source_col=source_col, **how)
+    out = out.repartitionByRange(n, "__slot").sortWithinPartitions("__slot", "__offset", "__id").select(*docs.columns)
+    return out.withMetadata(source_col, docs.schema[source_col].metadata | {WEIGHTS: weights})
+
+
+def decided(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, dict[str, float] | None, dict[str, int] | None]:
+    """What :func:`mixed` decided for ``docs``: the rows, their weights and how files follow each other.
+
+    Without weights the rows were not mixed. With files the rows have __file and __row; without,
+    they were not written and follow each other as they come.
+    """
+    weights = docs.schema[source_col].metadata.get(WEIGHTS)
+    if weights is None:
+        return docs, None, None
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return docs, weights, None
+    names = sorted((r[0] for r in placed.select("__file").distinct().collect()), key=lambda name: (len(name), name))
+    return placed, weights, {name: i for i, name in enumerate(names)}

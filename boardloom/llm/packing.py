@@ -18,7 +18,9 @@ Neighbours in another shard are not found; a table within the bound is searched
 and windows follow from the rows alone and not from how they lie in files. Sequence ids are unique:
 the shard's number stands in their high bits. With sources, shards and windows are made source by
 source (statistics still count all documents), since a window of several sources has no place in a
-schedule that holds target weights; sequences then get ascending numbers along that schedule.
+schedule that holds target weights; sequences then get ascending numbers along that schedule. Of
+mixed documents (:func:`.mixing.mixed`) the weights are those they were mixed by, windows are seeded
+in the mixed order, and the sequences of a source follow each other as the documents they begin with.
 
 Cases: null text is empty and gives one piece, the end id alone. Repeated rows are packed like any
 others. Extra columns are ignored. An empty table gives no piece. A document longer than the bound
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import discard, splitmix, staged
-from .mixing import schedule, target_weights
+from .mixing import FILE_BITS, decided, schedule, target_weights
 from .tokens import Encoder
 
 WINDOW = 2048
@@ -166,20 +168,26 @@ def pack_shard(doc_ids: list, docs: list[np.ndarray], first_sequence: int, windo
     return pieces, len(ends)
 
 
-def tokenised(docs: DataFrame, vocabulary: str | None) -> DataFrame:
-    """doc_id, grp, ids (two bytes a token), n_tokens and a salt that tells equal rows apart."""
+def tokenised(docs: DataFrame, vocabulary: str | None, ordered: bool = False, files: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, grp, ids (two bytes a token), n_tokens, a salt that tells equal rows apart, and the place of a row.
+
+    Places are 0 unless ``ordered``: then by ``files`` and the columns __file and __row, or as rows come.
+    """
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, done = Encoder(vocabulary), TaskContext.get().partitionId() << 40
+        encoder, done = Encoder(vocabulary), TaskContext.get().partitionId() << FILE_BITS
         if encoder.library.get_vocab_size() > 1 << 16:
             raise ValueError("token ids must fit two bytes")
         for batch in batches:
             ids = [np.array([*encoder.encode(t), END_ID], "<u2") for t in batch["text"]]
             salt = (splitmix(np.arange(done, done + len(ids), dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
+            place = np.arange(done, done + len(ids)) if ordered else np.zeros(len(ids), np.int64)
+            if ordered and files is not None:
+                place = (batch["__file"].map(files).to_numpy(np.int64) << FILE_BITS) + batch["__row"].to_numpy(np.int64)
             done += len(ids)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "grp": batch["grp"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids], "salt": salt})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "grp": batch["grp"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids], "salt": salt, "place": place})
 
-    return staged(docs.mapInPandas(encoded, "doc_id long, grp string, ids binary, n_tokens long, salt long"))
+    return staged(docs.mapInPandas(encoded, "doc_id long, grp string, ids binary, n_tokens long, salt long, place long"))
 
 
 def statistics_of(rows: DataFrame) -> Statistics:
@@ -258,11 +266,11 @@ def keyed(rows: DataFrame, keys: Keys) -> DataFrame:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             load = np.maximum(batch["n_tokens"].to_numpy(), -(-SHARD_TOKENS // SHARD_DOCS))
-            out = batch[["doc_id", "grp", "ids"]].assign(load=load)
+            out = batch[["doc_id", "grp", "ids", "place"]].assign(load=load)
             out[NAMES] = keys.of(batch)
             yield out
 
-    return staged(rows.mapInPandas(add, "doc_id long, grp string, ids binary, load long, " + ", ".join(f"{k} long" for k in NAMES)))
+    return staged(rows.mapInPandas(add, "doc_id long, grp string, ids binary, place long, load long, " + ", ".join(f"{k} long" for k in NAMES)))
 
 
 def dealt(part: DataFrame) -> tuple[dict, dict]:
@@ -310,20 +318,21 @@ def sharded(rows: DataFrame, statistics: Statistics) -> DataFrame:
                     key = next(left)
                     path = f"{path}/{key % n if n else key}"
                 found.append(shards[grp, path])
-            yield batch[["doc_id", "grp", "ids"]].assign(shard=found)
+            yield batch[["doc_id", "grp", "ids", "place"]].assign(shard=found)
 
-    return part.drop("load").mapInPandas(numbered, "doc_id long, grp string, ids binary, shard long")
+    return part.drop("load").mapInPandas(numbered, "doc_id long, grp string, ids binary, place long, shard long")
 
 
-def in_mixed_order(pieces: DataFrame, weights: dict[str, float]) -> DataFrame:
+def in_mixed_order(pieces: DataFrame, weights: dict[str, float], ordered: bool = False) -> DataFrame:
     """Number sequences by their place in the Pfair schedule of their sources, and sort by it.
 
+    ``ordered`` takes the sequences of a source by the places of the documents they begin with.
     A slot has one block of one source, and a sequence belongs to the block in which it starts, so
     slot and offset make the number; numbers ascend along the schedule and leave gaps.
     """
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sequences = pieces.groupBy("grp", "sequence_id").agg(F.sum("length").alias("tokens"))
-    placed = schedule(sequences, weights=weights, id_col="sequence_id", text_col="tokens", size_col="tokens", source_col="grp", block_chars=BLOCK_TOKENS)
+    sequences = pieces.groupBy("grp", "sequence_id").agg(F.sum("length").alias("tokens"), F.min_by("place", "offset").alias("place"))
+    placed = schedule(sequences, weights=weights, id_col="sequence_id", text_col="tokens", size_col="tokens", source_col="grp", block_chars=BLOCK_TOKENS, order_col="place" if ordered else None)
     number = placed.select("sequence_id", (F.col("slot") * BLOCK_TOKENS + F.col("block_offset")).alias("number"))
     out = pieces.join(number, "sequence_id").withColumn("sequence_id", F.col("number")).select(*PIECE)
     return out.repartitionByRange(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
@@ -333,24 +342,30 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """One row for each piece: which ids of which document stand where in which sequence.
 
     With ``source_col`` a sequence has documents of one source, and sequences follow the schedule of
-    :mod:`.mixing` with its default weights. ``vocabulary`` is the path of the tokenizer file, on
+    :mod:`.mixing`: with the weights and the order of mixed documents, else with its default ones. ``vocabulary`` is the path of the tokenizer file, on
     every executor; by default the public one.
     """
     if window & (window - 1) or source_col is not None and window > BLOCK_TOKENS:
         raise ValueError("the window must be a power of two, and no longer than a block of the mixed order")
     grp = F.lit("") if source_col is None else F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), grp.alias("grp"))
-    rows = tokenised(cols, vocabulary)
+    weights = files = None
+    if source_col is not None:
+        docs, weights, files = decided(docs, source_col)
+    ordered = weights is not None
+    where = ["__file", "__row"] if files is not None else []
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), grp.alias("grp"), *where)
+    rows = tokenised(cols, vocabulary, ordered, files)
     statistics = statistics_of(rows)
 
     def packed(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.assign(doc_id=shard["doc_id"].astype("Int64")).sort_values(["doc_id", "ids"])
+        shard = shard.assign(doc_id=shard["doc_id"].astype("Int64")).sort_values(["place", "doc_id", "ids"])
         ids = [np.frombuffer(raw, "<u2") for raw in shard["ids"]]
-        pieces, _ = pack_shard(shard["doc_id"].tolist(), ids, int(shard["shard"].iloc[0]) << SHARD_BITS, window, statistics)
+        pieces, _ = pack_shard(list(range(len(ids))), ids, int(shard["shard"].iloc[0]) << SHARD_BITS, window, statistics)
         out = pd.DataFrame(pieces, columns=PIECE)
-        return out.assign(doc_id=out["doc_id"].astype("Int64"), grp=shard["grp"].iloc[0])
+        own = out["doc_id"].to_numpy()
+        return out.assign(doc_id=shard["doc_id"].array[own], grp=shard["grp"].iloc[0], place=shard["place"].to_numpy()[own])
 
-    pieces = sharded(rows, statistics).groupBy("shard").applyInPandas(packed, f"{SCHEMA}, grp string")
+    pieces = sharded(rows, statistics).groupBy("shard").applyInPandas(packed, f"{SCHEMA}, grp string, place long")
     if source_col is None:
         return pieces.select(*PIECE)
-    return in_mixed_order(staged(pieces), target_weights(docs, source_col, text_col))
+    return in_mixed_order(staged(pieces), weights if ordered else target_weights(docs, source_col, text_col), ordered)

@@ -6,8 +6,9 @@ The input needs the columns doc_id, text, lang and source, all of which may be n
 travel along up to the last stage. Cases: documents with null, empty or blank text fail the quality rules and
 go there, as do those whose every line is a later copy in line dedup. A null lang teaches no
 reference. Of equal rows near dedup keeps one; a null doc_id counts as later than all others, and a null source
-is a source of its own. An empty table gives no piece. Mixing orders the rows by slot; packing
-follows the same schedule by itself, so its result does not rest on how rows lie in files.
+is a source of its own. An empty table gives no piece. Mixing orders the rows by slot and hands on
+its weights; packing seeds its windows and takes the sequences of a source in the order in which
+mixing wrote the rows, and follows a schedule of its weights in tokens.
 """
 
 from __future__ import annotations

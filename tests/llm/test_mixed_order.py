@@ -52,3 +52,29 @@ def test_source_shares_in_prefixes_of_the_stream(spark, skewed, sf_dir):
                 checked += 1
     assert checked > 30
     assert at == len(rows)
+
+
+def test_packing_follows_what_mixing_decided(spark, skewed, tmp_path):
+    """Weights and order of mixing show in the packed rows, and files make no difference to rows that were not written."""
+    weights = {"a": 1.0, "b": 1.0, "\0": 6.0}
+    mixed = mixing.mixed(skewed, weights=weights)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    written = spark.read.parquet(str(tmp_path / "mixed"))
+    assert written.columns == skewed.columns
+    place = {r["doc_id"]: (r["source"] or "\0", i) for i, r in enumerate(mixed.collect())}
+    pieces = packing.pack(written, source_col="source")
+    check_packing(skewed, pieces)
+    rows = [tuple(r) for r in pieces.collect()]
+    assert rows == [tuple(r) for r in packing.pack(mixed, source_col="source").collect()]
+
+    first = {}
+    for doc, _, _, _, _, sequence, offset in rows:
+        if offset == 0:
+            first.setdefault(place[doc][0], []).append(place[doc][1])
+    assert all(len(x) > 2 and x == sorted(x) for x in first.values())
+    by_id = [tuple(r) for r in packing.pack(skewed, source_col="source").collect()]
+    assert [r[0] for r in by_id] != [r[0] for r in rows]
+
+    shares, block = mixing.whole_shares(weights, mixing.SLOTS * 3), packing.BLOCK_TOKENS
+    due = {(s, t % 384) for t, (s, _) in enumerate(mixing.pfair_period(shares))}
+    assert all((place[r[0]][0], r[5] // block % 384) in due for r in rows)
