@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,10 @@ PIVOT_TOKENS = 200
 SPREAD = 1.5
 SHARD_BITS = 24
 K1, B = 1.2, 0.75
+#: A token id in one of so many documents of a shard has a row of weights there, in place of a list.
+ROW_SHARE = 8
+#: Used documents leave the rows once no more than this share of them is unused.
+KEPT_SHARE = 0.8
 NAMES = [f"k{i}" for i in range(DEPTH + 2)]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECE = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -66,8 +71,11 @@ def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct token ids of a document, ascending, and how often each stands in it."""
     own = ids.astype(np.uint16)
     own.sort(kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    return own[at], np.diff(np.append(at, len(own)))
+    new = np.empty(len(own) + 1, bool)
+    new[0] = new[-1] = True
+    np.not_equal(own[1:], own[:-1], out=new[1:-1])
+    at = new.nonzero()[0]
+    return own[at[:-1]], at[1:] - at[:-1]
 
 
 class Statistics:
@@ -89,7 +97,12 @@ class Statistics:
 
 
 class Bm25:
-    """Inverted index of a shard: for each token id, the documents that hold it and their weights."""
+    """Inverted index of a shard: for each token id, the documents that hold it and their weights.
+
+    Frequent ids have a weight for every document, zero in those without the id: at most ROW_SHARE
+    times as many as the lists would have. Sums are in double precision, in which those of single
+    precision weights are exact, so neither their order nor the form of a list shows.
+    """
 
     def __init__(self, docs: list[np.ndarray], statistics: Statistics):
         found = [term_counts(ids) for ids in docs]
@@ -99,15 +112,36 @@ class Bm25:
         weight = statistics.weights(term, tf, length[doc])
         self.own = np.concatenate(([0], np.cumsum(size)))
         self.term, self.n = term, len(docs)
+        held = np.bincount(term, minlength=1 << 16)
+        frequent = held * ROW_SHARE >= max(self.n, ROW_SHARE)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.rows = np.zeros((int(frequent.sum()), self.n))
+        often = frequent[term]
+        self.rows[self.row[term[often]], doc[often]] = weight[often]
+        term, doc, weight = term[~often], doc[~often], weight[~often].astype(np.float64)
         order = np.argsort(term, kind="stable")
         self.posting_doc, self.posting_weight = doc[order], weight[order]
-        self.at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=1 << 16))))
+        self.at = np.concatenate(([0], np.cumsum(np.where(frequent, 0, held))))
+        self.left = np.arange(self.n)
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Give scores of unused documents alone from now on."""
+        here = unused[self.left]
+        self.left, self.rows = self.left[here], np.compress(here, self.rows, axis=1)
 
     def scores(self, d: int) -> np.ndarray:
-        """BM25 of every document of the shard for all distinct terms of document d."""
-        ranges = [slice(self.at[t], self.at[t + 1]) for t in self.term[self.own[d] : self.own[d + 1]].tolist()]
-        docs = np.concatenate([self.posting_doc[r] for r in ranges])
-        return np.bincount(docs, np.concatenate([self.posting_weight[r] for r in ranges]), self.n)
+        """BM25 of the documents that are left for all distinct terms of document d."""
+        term = self.term[self.own[d] : self.own[d + 1]]
+        row = self.row[term]
+        ranges = [slice(self.at[t], self.at[t + 1]) for t in term[row < 0].tolist()]
+        if ranges:
+            docs = np.concatenate([self.posting_doc[r] for r in ranges])
+            out = np.bincount(docs, np.concatenate([self.posting_weight[r] for r in ranges]), self.n)[self.left]
+        else:
+            out = np.zeros(len(self.left))
+        for r in row[row >= 0].tolist():
+            np.add(out, self.rows[r], out)
+        return out
 
 
 def fill_order(docs: list[np.ndarray], window: int, statistics: Statistics | None = None) -> list[int]:
@@ -123,13 +157,15 @@ def fill_order(docs: list[np.ndarray], window: int, statistics: Statistics | Non
             d = seed = next_seed
         else:
             if ranked is None:
+                if len(docs) - len(order) < KEPT_SHARE * len(index.left):
+                    index.keep(unused)
                 ranked = index.scores(seed)
-                ranked[~unused] = 0
-            d = int(ranked.argmax())
-            if ranked[d] <= 0:
+                ranked[~unused[index.left]] = 0
+            best = int(ranked.argmax())
+            if ranked[best] <= 0:
                 seed = -1
                 continue
-            ranked[d] = 0
+            d, ranked[best] = int(index.left[best]), 0
         order.append(d)
         unused[d] = False
         before, filled = filled // window, filled + len(docs[d])
@@ -169,7 +205,7 @@ def pack_shard(doc_ids: list, docs: list[np.ndarray], first_sequence: int, windo
 
 
 def tokenised(docs: DataFrame, vocabulary: str | None, ordered: bool = False, files: dict[str, int] | None = None) -> DataFrame:
-    """doc_id, grp, ids (two bytes a token), n_tokens, a salt that tells equal rows apart, and the place of a row.
+    """doc_id, grp, ids (two bytes a token), n_tokens, h (a hash of the ids), a salt that tells equal rows apart, and the place of a row.
 
     Places are 0 unless ``ordered``: then by ``files`` and the columns __file and __row, or as rows come.
     """
@@ -179,15 +215,16 @@ def tokenised(docs: DataFrame, vocabulary: str | None, ordered: bool = False, fi
         if encoder.library.get_vocab_size() > 1 << 16:
             raise ValueError("token ids must fit two bytes")
         for batch in batches:
-            ids = [np.array([*encoder.encode(t), END_ID], "<u2") for t in batch["text"]]
+            ids = [array("H", [*encoder.encode(t), END_ID]) for t in batch["text"]]
             salt = (splitmix(np.arange(done, done + len(ids), dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
             place = np.arange(done, done + len(ids)) if ordered else np.zeros(len(ids), np.int64)
             if ordered and files is not None:
                 place = (batch["__file"].map(files).to_numpy(np.int64) << FILE_BITS) + batch["__row"].to_numpy(np.int64)
             done += len(ids)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "grp": batch["grp"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids], "salt": salt, "place": place})
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "grp": batch["grp"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids]})
+            yield out.assign(h=[xxhash.xxh3_64_intdigest(x) >> 1 for x in ids], salt=salt, place=place)
 
-    return staged(docs.mapInPandas(encoded, "doc_id long, grp string, ids binary, n_tokens long, salt long, place long"))
+    return staged(docs.mapInPandas(encoded, "doc_id long, grp string, ids binary, n_tokens long, h long, salt long, place long"))
 
 
 def statistics_of(rows: DataFrame) -> Statistics:
@@ -197,7 +234,7 @@ def statistics_of(rows: DataFrame) -> Statistics:
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for raw in batch["ids"]:
-                df[term_counts(np.frombuffer(raw, "<u2"))[0]] += 1
+                df[np.frombuffer(raw, "<u2")] += 1  # once for each distinct id: NumPy reads before it adds
         term = np.flatnonzero(df)
         yield pd.DataFrame({"term": term, "n": df[term]})
 
@@ -211,17 +248,10 @@ def statistics_of(rows: DataFrame) -> Statistics:
 def pivots_of(rows: DataFrame) -> list[np.ndarray]:
     """Token ids of the pivots: distinct texts, long ones first, by their hashes."""
 
-    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            found = pd.DataFrame({"short": batch["n_tokens"] < PIVOT_TOKENS, "h": [xxhash.xxh3_64_intdigest(x) >> 1 for x in batch["ids"]], "ids": batch["ids"]})
-            best = pd.concat([best, found]).drop_duplicates("h").sort_values(["short", "h"]).head(PIVOTS)
-        if best is not None:
-            yield best
-
-    local = rows.select("ids", "n_tokens").mapInPandas(smallest, "short boolean, h long, ids binary")
-    best = local.dropDuplicates(["h"]).orderBy("short", "h").limit(PIVOTS).collect()
-    return [np.frombuffer(r["ids"], "<u2") for r in best]
+    short = F.col("n_tokens") < PIVOT_TOKENS
+    best = [r["h"] for r in rows.select(short.alias("short"), "h").distinct().orderBy("short", "h").limit(PIVOTS).collect()]
+    ids = {r["h"]: r["ids"] for r in rows.where(F.col("h").isin(best)).select("h", "ids").dropDuplicates(["h"]).collect()}
+    return [np.frombuffer(ids[h], "<u2") for h in best]
 
 
 class Keys:
@@ -238,7 +268,7 @@ class Keys:
     def weighted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         term, tf = term_counts(ids)
         weight = self.statistics.weights(term, tf, len(ids))
-        return term, weight / max(np.linalg.norm(weight), np.float32(1e-9))
+        return term, weight / max(np.sqrt(weight @ weight), np.float32(1e-9))
 
     def cosines(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         if self.table is None:
@@ -309,18 +339,18 @@ def sharded(rows: DataFrame, statistics: Statistics) -> DataFrame:
     discard(rows)
     splits, shards = dealt(part)
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for grp, own in zip(batch["grp"], batch[NAMES].to_numpy().tolist()):
-                path, left = "/0", iter(own)
-                while (n := splits.get((grp, path))) is not None:
-                    key = next(left)
-                    path = f"{path}/{key % n if n else key}"
-                found.append(shards[grp, path])
-            yield batch[["doc_id", "grp", "ids", "place"]].assign(shard=found)
-
-    return part.drop("load").mapInPandas(numbered, "doc_id long, grp string, ids binary, place long, shard long")
+    @F.pandas_udf("long")
+    def shard(rows: pd.DataFrame) -> pd.Series:  # keys alone go to Python, not the ids
+        found = []
+        for grp, own in zip(rows["grp"], rows[NAMES].to_numpy().tolist()):
+            path, left = "/0", iter(own)
+            while (n := splits.get((grp, path))) is not None:
+                key = next(left)
+                path = f"{path}/{key % n if n else key}"
+            found.append(shards[grp, path])
+        return pd.Series(found, dtype="int64")
+
+    return part.select("doc_id", "grp", "ids", "place", shard(F.struct("grp", *NAMES)).alias("shard"))
 
 
 def in_mixed_order(pieces: DataFrame, weights: dict[str, float], ordered: bool = False) -> DataFrame:

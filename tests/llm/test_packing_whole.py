@@ -72,3 +72,21 @@ def test_copies_of_one_row_do_not_share_a_shard(spark, monkeypatch):
         sizes[p["sequence_id"] >> packing.SHARD_BITS] += p["length"]
     assert max(sizes.values()) <= 40_000
     check_packing(table, pieces)
+
+
+def test_used_documents_leave_the_sums(monkeypatch):
+    """Sums run over the documents that are left, and neither rows nor lists nor leaving changes a score."""
+    rng = np.random.default_rng(6)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(40, 160)) + 1, 3000).astype(np.uint16) for _ in range(200)]
+    statistics = packing.Statistics.of(docs)
+    index, one = packing.Bm25(docs, statistics), [packing.Bm25([d], statistics) for d in docs]
+    expected = np.array([[sum(dict(zip(x.term.tolist(), x.rows[:, 0].tolist())).get(t, 0.0) for t in packing.term_counts(docs[q])[0].tolist()) for x in one] for q in (0, 7, 199)])
+    unused = rng.random(200) < 0.5
+    assert [index.scores(q).tolist() for q in (0, 7, 199)] == expected.tolist()
+    index.keep(unused)
+    assert [index.scores(q).tolist() for q in (0, 7, 199)] == expected[:, unused].tolist()
+
+    summed, scores = [], packing.Bm25.scores
+    monkeypatch.setattr(packing.Bm25, "scores", lambda self, d: summed.append(len(out := scores(self, d))) or out)
+    assert packing.fill_order(docs, 256, statistics) == plain_order(docs, 256)
+    assert sum(summed) < 0.65 * len(summed) * len(docs)
