@@ -11,11 +11,17 @@ from __future__ import annotations
 import base64
 import os
 import re
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 #: Characters on which both libraries agree for certain: ASCII, Latin letters, general punctuation.
 _PLAIN = re.compile("[ -~\n\xa1-ɏ‐-‧]*")
+#: Plain texts are taken together until they have so many characters; within them a word is encoded once.
+BLOCK_CHARS = 8_000_000
 
 
 def vocabulary_path(name: str = f"{VOCABULARY}.json") -> str:
@@ -32,6 +38,11 @@ def single_spaced(text: str) -> bool:
     return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n")
 
 
+def _white(byte: np.ndarray) -> np.ndarray:
+    """Which bytes are white space of plain texts."""
+    return (byte == 32) | (byte == 10)
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does for ``path``, without added special tokens."""
 
@@ -59,3 +70,73 @@ class Encoder:
         if _PLAIN.fullmatch(text):
             return self.plain.encode_ordinary(text)
         return self.library.encode(text, add_special_tokens=False).ids
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each token."""
+        out = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        out[list(self.ranks.values())] = [len(token) for token in self.ranks]
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """``encode`` for each of ``texts``; a word that plain texts share is encoded once."""
+        out = [None] * len(texts)
+        block, size = [], 0
+        for i, text in enumerate(texts):
+            if not text or not is_plain(text):
+                out[i] = np.array(self.encode(text), np.uint32)
+                continue
+            block.append(i)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                self._encode_block(texts, block, out)
+                block, size = [], 0
+        self._encode_block(texts, block, out)
+        return out
+
+    def _encode_block(self, texts: list[str], block: list[int], out: list) -> None:
+        """Ids of the plain texts of a block.
+
+        A word is a run of white space and what follows up to the next one. No piece of the pattern
+        holds white space behind anything else, so a word's ids are the same wherever it stands,
+        and different words can be encoded in one string. Words without white space before or
+        anything behind it (the first and last of a text) are encoded alone.
+        """
+        if not block:
+            return
+        raw = [texts[i].encode() for i in block]
+        ends = np.cumsum([len(r) for r in raw])
+        data = b"".join(raw)
+        white = _white(np.frombuffer(data, np.uint8))
+        opens = white.copy()
+        opens[1:] &= ~white[:-1]
+        opens[0] = opens[ends[:-1]] = True
+        at = np.append(np.flatnonzero(opens), len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        start, count, ids = self._encode_words(words.dictionary)
+
+        word = words.indices.to_numpy()
+        n = count[word]
+        done = np.cumsum(n)
+        found = ids[np.repeat(start[word] - done + n, n) + np.arange(done[-1])]
+        for i, own in zip(block, np.split(found, done[np.searchsorted(at, ends[:-1]) - 1])):
+            out[i] = own
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids start, how many it has, and the ids."""
+        at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+        byte = np.frombuffer(words.buffers()[2], np.uint8, at[-1])
+        white, size = _white(byte), np.diff(at)
+        joined = white[at[:-1]] & ~white[at[1:] - 1]
+        ids = [self.plain.encode_to_numpy(byte[np.repeat(joined, size)].tobytes().decode(), disallowed_special=())]
+        alone = np.flatnonzero(~joined)
+        ids += [self.plain.encode_to_numpy(words[i].as_py().decode(), disallowed_special=()) for i in alone.tolist()]
+
+        count = np.zeros(len(words), np.int64)
+        last = np.searchsorted(np.cumsum(self.sizes[ids[0]]), np.cumsum(size[joined])) + 1
+        count[joined] = np.diff(last, prepend=0)
+        count[alone] = [len(x) for x in ids[1:]]
+        order = np.concatenate((np.flatnonzero(joined), alone))
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        return start, count, np.concatenate(ids)

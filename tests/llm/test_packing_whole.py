@@ -1,14 +1,17 @@
 """Retrieval packing over the whole table: statistics, search and shards."""
 
 import math
+import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_brute_force import check_packing
 
-from boardloom.llm import packing
+from boardloom.llm import packing, tokens
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +93,40 @@ def test_used_documents_leave_the_sums(monkeypatch):
     monkeypatch.setattr(packing.Bm25, "scores", lambda self, d: summed.append(len(out := scores(self, d))) or out)
     assert packing.fill_order(docs, 256, statistics) == plain_order(docs, 256)
     assert sum(summed) < 0.65 * len(summed) * len(docs)
+
+
+def test_shared_words_are_encoded_once(monkeypatch):
+    """Ids are the library's whatever the white space and the block, and the encoder sees a word of a block once."""
+    rng = random.Random(7)
+    parts = [" ", "\n", "  ", "\n\n", " \n", "a", "The", "'s", "'", "'ll", "12", "é", "—", "...", "<|endoftext|>", "<|endof", "text|>", "\t", "日本", "²"]
+    texts = [None, "", " ", "\n", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000))]
+    encoder = tokens.Encoder()
+    expected = [encoder.library.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    for size in (1, 50, 8_000_000):
+        monkeypatch.setattr(tokens, "BLOCK_CHARS", size)
+        assert [x.tolist() for x in encoder.encode_all(texts)] == expected
+
+    class Counted:
+        seen = 0
+
+        def __getattr__(self, name):
+            def encode(text, *args, **more):
+                Counted.seen += len(text)
+                return getattr(plain, name)(text, *args, **more)
+
+            return encode
+
+    plain, init = encoder.plain, tokens.Encoder.__init__
+
+    def counted(self, *args):
+        init(self, *args)
+        self.plain = Counted()
+
+    monkeypatch.setattr(tokens.Encoder, "__init__", counted)
+    words = [f"word{i}" for i in range(300)]
+    table = pd.DataFrame({"doc_id": range(200), "text": [" ".join(rng.choices(words, k=400)) for _ in range(200)], "grp": ""})
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "staged", lambda rows: rows)
+    (rows,) = packing.tokenised(SimpleNamespace(mapInPandas=lambda f, schema: f(iter([table]))), None)
+    assert [np.frombuffer(x, "<u2").tolist() for x in rows["ids"]] == [[*plain.encode_ordinary(t), packing.END_ID] for t in table["text"]]
+    assert Counted.seen < 0.02 * table["text"].str.len().sum() + 200 * 8
