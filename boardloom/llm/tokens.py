@@ -21,7 +21,11 @@ SPECIAL = "<|endoftext|>"
 #: Characters on which both libraries agree for certain: ASCII, Latin letters, general punctuation.
 _PLAIN = re.compile("[ -~\n\xa1-ɏ‐-‧]*")
 #: Plain texts are taken together until they have so many characters; within them a word is encoded once.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
+#: Ids are looked up for so many characters at a time.
+PART_CHARS = 4_000_000
+#: Different words are encoded in strings of so many words.
+SLICE_WORDS = 1 << 16
 
 
 def vocabulary_path(name: str = f"{VOCABULARY}.json") -> str:
@@ -43,6 +47,20 @@ def _white(byte: np.ndarray) -> np.ndarray:
     return (byte == 32) | (byte == 10)
 
 
+def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words of plain texts, with the white space before them, and which word is each text's first."""
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(r) for r in raw])
+    data = b"".join(raw)
+    white = _white(np.frombuffer(data, np.uint8))
+    opens = white.copy()
+    opens[1:] &= ~white[:-1]
+    opens[0] = opens[ends[:-1]] = True
+    at = np.append(np.flatnonzero(opens), len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+    return words, np.searchsorted(at, ends - [len(r) for r in raw])
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does for ``path``, without added special tokens."""
 
@@ -79,22 +97,25 @@ class Encoder:
         return out
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """``encode`` for each of ``texts``; a word that plain texts share is encoded once."""
+        """``encode`` for each of ``texts``; a word that plain texts of a block share is encoded once."""
         out = [None] * len(texts)
-        block, size = [], 0
+        block, part, size, left = [], [], 0, BLOCK_CHARS
         for i, text in enumerate(texts):
-            if not text or not is_plain(text):
+            if not text or len(text) >= BLOCK_CHARS or not is_plain(text):
                 out[i] = np.array(self.encode(text), np.uint32)
                 continue
-            block.append(i)
+            part.append(i)
             size += len(text)
-            if size >= BLOCK_CHARS:
-                self._encode_block(texts, block, out)
-                block, size = [], 0
-        self._encode_block(texts, block, out)
+            if size >= PART_CHARS:
+                block.append(part)
+                part, size, left = [], 0, left - size
+            if size >= left:
+                self._encode_block(texts, [*block, part], out)
+                block, part, size, left = [], [], 0, BLOCK_CHARS
+        self._encode_block(texts, [*block, part], out)
         return out
 
-    def _encode_block(self, texts: list[str], block: list[int], out: list) -> None:
+    def _encode_block(self, texts: list[str], parts: list[list[int]], out: list) -> None:
         """Ids of the plain texts of a block.
 
         A word is a run of white space and what follows up to the next one. No piece of the pattern
@@ -102,25 +123,21 @@ class Encoder:
         and different words can be encoded in one string. Words without white space before or
         anything behind it (the first and last of a text) are encoded alone.
         """
-        if not block:
+        parts = [part for part in parts if part]
+        if not parts:
             return
-        raw = [texts[i].encode() for i in block]
-        ends = np.cumsum([len(r) for r in raw])
-        data = b"".join(raw)
-        white = _white(np.frombuffer(data, np.uint8))
-        opens = white.copy()
-        opens[1:] &= ~white[:-1]
-        opens[0] = opens[ends[:-1]] = True
-        at = np.append(np.flatnonzero(opens), len(data)).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        start, count, ids = self._encode_words(words.dictionary)
-
-        word = words.indices.to_numpy()
-        n = count[word]
-        done = np.cumsum(n)
-        found = ids[np.repeat(start[word] - done + n, n) + np.arange(done[-1])]
-        for i, own in zip(block, np.split(found, done[np.searchsorted(at, ends[:-1]) - 1])):
-            out[i] = own
+        cut = [_words([texts[i] for i in part]) for part in parts]
+        words = pa.chunked_array([w for w, _ in cut]).dictionary_encode()
+        firsts = [first for _, first in cut]
+        del cut
+        start, count, ids = self._encode_words(words.chunk(0).dictionary)
+        for part, chunk, first in zip(parts, words.chunks, firsts):
+            word = chunk.indices.to_numpy()
+            n = count[word]
+            done = np.cumsum(n, dtype=np.int32)
+            found = ids[np.repeat(start[word] - done + n, n) + np.arange(done[-1], dtype=np.int32)]
+            for i, own in zip(part, np.split(found, done[first[1:] - 1])):
+                out[i] = own
 
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each word's ids start, how many it has, and the ids."""
@@ -128,15 +145,17 @@ class Encoder:
         byte = np.frombuffer(words.buffers()[2], np.uint8, at[-1])
         white, size = _white(byte), np.diff(at)
         joined = white[at[:-1]] & ~white[at[1:] - 1]
-        ids = [self.plain.encode_to_numpy(byte[np.repeat(joined, size)].tobytes().decode(), disallowed_special=())]
+        text, ends = byte[np.repeat(joined, size)].tobytes(), np.cumsum(size[joined])
+        cuts = [0, *ends[SLICE_WORDS - 1 :: SLICE_WORDS].tolist(), len(text)]
+        ids = np.concatenate([np.array(self.plain.encode_ordinary(text[a:b].decode()), np.uint32) for a, b in zip(cuts, cuts[1:])])
         alone = np.flatnonzero(~joined)
-        ids += [self.plain.encode_to_numpy(words[i].as_py().decode(), disallowed_special=()) for i in alone.tolist()]
+        others = [self.plain.encode_ordinary(words[i].as_py().decode()) for i in alone.tolist()]
 
-        count = np.zeros(len(words), np.int64)
-        last = np.searchsorted(np.cumsum(self.sizes[ids[0]]), np.cumsum(size[joined])) + 1
+        count = np.zeros(len(words), np.int32)
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
         count[joined] = np.diff(last, prepend=0)
-        count[alone] = [len(x) for x in ids[1:]]
+        count[alone] = [len(x) for x in others]
         order = np.concatenate((np.flatnonzero(joined), alone))
-        start = np.empty(len(words), np.int64)
+        start = np.empty(len(words), np.int32)
         start[order] = np.cumsum(count[order]) - count[order]
-        return start, count, np.concatenate(ids)
+        return start, count, np.concatenate((ids, np.array([x for own in others for x in own], np.uint32)))

@@ -102,8 +102,10 @@ def test_shared_words_are_encoded_once(monkeypatch):
     texts = [None, "", " ", "\n", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000))]
     encoder = tokens.Encoder()
     expected = [encoder.library.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
-    for size in (1, 50, 8_000_000):
+    for size, part, words in ((1, 1, 1), (50, 10, 1), (10_000, 700, 7), (500, 1_000, 100), (32_000_000, 4_000_000, 1 << 16)):
         monkeypatch.setattr(tokens, "BLOCK_CHARS", size)
+        monkeypatch.setattr(tokens, "PART_CHARS", part)
+        monkeypatch.setattr(tokens, "SLICE_WORDS", words)
         assert [x.tolist() for x in encoder.encode_all(texts)] == expected
 
     class Counted:
