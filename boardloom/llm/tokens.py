@@ -4,6 +4,7 @@ tiktoken holds the same vocabulary as ranks, splits with the same pattern and is
 faster, so it encodes texts of plain Latin letters and punctuation when ids are asked for. All other texts (other
 alphabets, where the two libraries' Unicode tables could differ, odd white space, the special
 string, which the library turns into its id) go to the tokenizers library whole.
+Many texts are encoded together: words that plain ones share are encoded once.
 """
 
 from __future__ import annotations
