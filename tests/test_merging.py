@@ -125,3 +125,31 @@ def test_orders_are_brought_to_equal_boards(spark):
         for board, g in loop.family.items():
             sizes[variant[board], g] = sizes.get((variant[board], g), 0) + 1
         assert {(r.variant, r.group): r.boards for r in run.groups.where(own).collect()} == sizes
+
+
+def test_refused_pairs_end_no_round(spark, monkeypatch):
+    """What a merge brings about ends a round only if it is accepted, and orders that meet the same groups measure them once."""
+    vectors, variant = {}, {}
+    for family in range(5):
+        for k, first in enumerate((1.0, 2.0, 20.0)):  # the third is too far from the other two
+            for i in range(2):
+                board = ("w0", f"{family}-{k}-{i}", 0)
+                vectors[board] = {f"{family}{u}": first if u == "a" else 1.0 for u in "abcde"}
+                variant[board] = 3 * family + k
+    rows, parts = frames(spark, vectors, variant)
+    measured, measure = [], me._measured
+
+    def counted(pairs, *how):
+        measured.append(pairs.count())
+        return measure(pairs, *how)
+
+    monkeypatch.setattr(me, "_measured", counted)
+    alone = me.merge_in_order(rows, parts, keep_posts=False)
+    loop = held_to(alone, vectors, variant, me.MergeRules())["w0"]
+    assert [a[6] for a in loop.attempts] == ["accepted", "similarity"] * 5
+    assert alone.rounds == 2
+    pairs, measured[:] = sum(measured), []
+    same = F.array(*[F.struct(F.lit(i).alias("copy")) for i in range(3)])
+    many = me.merge_in_order(rows, parts, within=["balance_window", "copy"], orders=same, keep_posts=False)
+    assert sum(measured) == pairs == 20
+    assert many.attempts.count() == 3 * len(loop.attempts)
