@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from boardloom.operators import evidence as ev
@@ -123,3 +125,12 @@ def test_orphans_bring_each_side_in_once(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("LogicalRDD") == 2
+
+
+def test_champion_pages_deal_units_out_once(spark, sf_dir):
+    """60,000 lines: lists of evidence come from one row a board, so only lines, orders and counts are shuffled."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for name in ("a37_champion_pages", "s25_publish_pages"):
+        got, records = shuffled(spark, lambda name=name: all_queries()[name](spark, sf_dir))
+        assert len(got) == 175
+        assert records < 4.5 * lines
