@@ -17,7 +17,7 @@ RANKED = "click"
 def _published(b: Boards) -> DataFrame:
     """The bound tables as documents, written as JSON and read again."""
     path = shared_folder(b.spark, "matches")
-    dc.nested(b.matches, b.participants, b.units, b.traits).write.json(path)
+    dc.write_matches(dc.nested(b.matches, b.participants, b.units, b.traits), path)
     return dc.read_matches(b.spark, path)
 
 

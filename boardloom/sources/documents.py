@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardloom.functions.rules import ItemSets, completed_items
@@ -79,14 +79,28 @@ def traits(matches: DataFrame) -> DataFrame:
 def nested(matches: DataFrame, boards: DataFrame, own_units: DataFrame, own_traits: DataFrame) -> DataFrame:
     """The four tables as documents in the shape that :func:`read_matches` takes.
 
-    Lists hold the units of a board and the boards of a match, so their length is bounded by the game.
+    Units, traits and boards are grouped by match, each on its own, so that tables which are dealt out by
+    match are not dealt out again; lists hold what a match holds, so their length is bounded by the game.
     """
+
+    def lists(rows: DataFrame, entry: Column, name: str) -> DataFrame:
+        by_board = rows.where("participant_index is not null").groupBy(*BOARD).agg(F.array_sort(F.collect_list(entry)).alias("x"))
+        return by_board.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("participant_index", "x"))).alias(name))
+
     u = F.struct("unit_index", "character_id", (F.col("cost") - 1).alias("rarity"), "tier", F.col("items").alias("itemNames"))
-    by_board = own_units.groupBy(*BOARD).agg(F.transform(F.array_sort(F.collect_list(u)), lambda x: x.dropFields("unit_index")).alias("units"))
     t = F.struct(F.col("trait_name").alias("name"), "num_units", "style", "tier_current")
-    by_trait = own_traits.groupBy(*BOARD).agg(F.array_sort(F.collect_list(t)).alias("traits"))
-    board = F.struct("participant_index", "placement", "level", "units", "traits")
-    joined = boards.join(by_board, BOARD, "left").join(by_trait, BOARD, "left")
-    lists = joined.groupBy("match_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("participant_index", board.alias("b")))), lambda x: x["b"].dropFields("participant_index")).alias("participants"))
+    seats = boards.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("participant_index", "placement", "level"))).alias("boards"))
+    rows = seats.join(lists(own_units, u, "units"), "match_id", "left").join(lists(own_traits, t, "traits"), "match_id", "left")
+
+    def whole(board: Column) -> Column:
+        own = lambda name: F.try_element_at(F.col(name), board["participant_index"])
+        return F.struct(board["placement"].alias("placement"), board["level"].alias("level"), F.transform(own("units"), lambda x: x.dropFields("unit_index")).alias("units"), own("traits").alias("traits"))
+
+    told = rows.select("match_id", F.transform("boards", whole).alias("participants"))
     info = F.struct("game_version", "queue_id", "game_datetime", "participants")
-    return matches.join(lists, "match_id", "left").select(F.struct("match_id").alias("metadata"), info.alias("info"))
+    return matches.join(told, "match_id", "left").select(F.struct("match_id").alias("metadata"), info.alias("info"))
+
+
+def write_matches(docs: DataFrame, path: str) -> None:
+    """Documents as compressed text, one JSON object a line; :func:`read_matches` reads them as they are."""
+    docs.write.option("compression", "gzip").json(path)

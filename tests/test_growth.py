@@ -141,3 +141,32 @@ def test_rules_are_compared_in_one_pass(spark, sf_dir):
     got, records = shuffled(spark, lambda: all_queries()["j13_rule_comparison"](spark, sf_dir))
     assert len(got) == 175
     assert records < 2.5 * lines
+
+
+def test_documents_are_compressed_and_dealt_out_once(spark, sf_dir, tmp_path, monkeypatch):
+    """Documents take less disk than twice their tables; their lists need no shuffle beyond that of lines and orders."""
+    from boardloom.plans import arrivals
+
+    monkeypatch.setattr(arrivals, "shared_folder", lambda *_: str(tmp_path / "documents"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    matches, records = shuffled(spark, lambda: arrivals._published(arrivals.Boards(spark, sf_dir)).select("match_id", F.size("boards")))
+    size = sum(p.stat().st_size for p in (tmp_path / "documents").glob("part-*"))
+    assert sum(n for _, n in matches) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert size < 2 * sum((Path(sf_dir) / f"{t}.parquet").stat().st_size for t in ("orders", "lineitem"))
+    assert records < 3 * lines
+
+
+def test_documents_of_boards_without_units(spark):
+    """A board without units or traits keeps its place with nulls, a match without boards has none, lists keep their order."""
+    from boardloom.sources import documents as dc
+
+    matches = spark.createDataFrame([("m", "v", 1, 5), ("n", "v", 1, 6)], "match_id string, game_version string, queue_id int, game_datetime long")
+    boards = spark.createDataFrame([("m", 2, 1, 7), ("m", 0, 2, 8)], "match_id string, participant_index int, placement int, level int")
+    units = spark.createDataFrame([("m", 2, 1, "B", 2, 1, ["x"]), ("m", 2, 0, "A", 1, 3, [])], "match_id string, participant_index int, unit_index int, character_id string, cost int, tier int, items array<string>")
+    traits = spark.createDataFrame([("m", 0, "T", 2, 1, 1)], "match_id string, participant_index int, trait_name string, num_units int, style int, tier_current int")
+    docs = {r.metadata.match_id: r.info.participants for r in dc.nested(matches, boards, units, traits).collect()}
+    assert docs["n"] is None
+    first, second = docs["m"]
+    assert (first.placement, first.units, [t.name for t in first.traits]) == (2, None, ["T"])
+    assert (second.placement, second.traits) == (1, None)
+    assert [(u.character_id, u.rarity, u.tier, u.itemNames) for u in second.units] == [("A", 0, 3, []), ("B", 1, 1, ["x"])]
